@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, chat, license, lines, media, packing, simhash, topk, toxicity
+from tidemill.llm import bpe, chat, license, lines, media, packing, simhash, suffix, topk, toxicity
 from tidemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -78,12 +78,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_license, op3_topk, op4_bpe, op5_simhash, op6_media, op7_toxicity, op8_packing, op10_lines)}
+    return {f.__name__: f for f in (op1_chat, op2_license, op3_topk, op4_bpe, op5_simhash, op6_media, op7_toxicity, op8_packing, op9_suffix, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
