@@ -58,7 +58,7 @@ def test_links_against_all_pairs():
         t = np.uint64(16 * turn)
         y = (x << t) | (x >> (np.uint64(64) - t)) if turn else x
         o = np.argsort(simhash.gray_rank(y))
-        for i, j in enumerate(simhash.links(y[o], 16, 3)):
+        for i, j in enumerate(simhash.links(y[o], 16, 3)[0]):
             a, b = label[o[i]], label[o[j]]
             label = [min(a, b) if v in (a, b) else v for v in label]
     group = lambda l: {frozenset(i for i, v in enumerate(l) if v == k) for k in l}
@@ -71,7 +71,7 @@ def test_dense_group_small_blocks(monkeypatch):
     base = rnd.getrandbits(64) | 1
     x = np.array(sorted({base ^ (1 << a) ^ (1 << b) for a in range(48) for b in range(48)}), np.uint64)
     x = x[np.argsort(simhash.gray_rank(x))]
-    assert len(set(simhash.links(x, 16, 3).tolist())) == 1
+    assert len(set(simhash.links(x, 16, 3)[0].tolist())) == 1
 
 
 def test_near_duplicates(spark):
@@ -87,3 +87,38 @@ def test_near_duplicates(spark):
     assert got[None, f"{prints[5]:016x}"] == label[5]
     assert simhash.near_duplicates(df).count() == len(rows)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def jaccard(a, b, size=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_dedup(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(2, 8))) for _ in range(2000)]
+    texts = []
+    for g in range(25):
+        base = [rnd.choice(words) for _ in range(rnd.randrange(60, 400))]
+        texts.append(" ".join(base))
+        for _ in range(rnd.randrange(4)):
+            copy = list(base)
+            for _ in range(len(base) // 60):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            texts.append(" ".join(copy))
+    texts += [texts[0], "", None, "one", "One", "two words", "other words"]
+    rows = [(i, t, i % 3, "c") for i, t in enumerate(texts)] + [(0, texts[0], 0, "c"), (None, texts[3], 1, None), (None, "only here", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tid int, key string")
+    out = simhash.dedup(df).collect()
+    assert out[0].asDict().keys() == {"doc_id", "text", "tid", "key"}
+    label = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if jaccard(a or "", texts[j] or "") >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    want = sorted({*label}) + [None]
+    assert sorted((r.doc_id for r in out), key=lambda x: (x is None, x)) == want
+    assert simhash.dedup(df.limit(0)).count() == 0

@@ -16,10 +16,12 @@ name one. Results don't depend on the order of rows. Repeated rows give repeated
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import Scratch
@@ -74,10 +76,13 @@ class Forest:
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.partner = np.full(n, n)
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         """Hooks larger roots below smaller ones until every pair has one root."""
         parent = self.label
+        np.minimum.at(self.partner, a, b)
+        np.minimum.at(self.partner, b, a)
         while len(a):
             x, y = parent[a], parent[b]
             open_ = x != y
@@ -96,13 +101,14 @@ def expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def links(values: np.ndarray, lead: int, most: int) -> np.ndarray:
+def links(values: np.ndarray, lead: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """values: distinct fingerprints, with the mask's bits foremost, in Gray order. Those with equal `lead` leading
-    bits are compared. Returns for each the place of a fingerprint it is linked to, itself if none."""
+    bits are compared. Returns for each the least place in its class, and the least place that it differs from in at
+    most `most` bits among those that were compared (n if none)."""
     n = len(values)
     forest = Forest(n)
     if n < 2:
-        return forest.label
+        return forest.label, forest.partner
     prefix = lambda bits: values >> np.uint64(64 - bits)
     near = np.flatnonzero((prefix(lead)[1:] == prefix(lead)[:-1]) & (np.bitwise_count(values[1:] ^ values[:-1]) <= most))
     forest.link(near, near + 1)  # Gray neighbours first: most of a dense group is one class from then on
@@ -158,45 +164,47 @@ def links(values: np.ndarray, lead: int, most: int) -> np.ndarray:
                 work.append((k + 1, x, y))
             else:
                 forest.link(x, y)
-    return forest.label
+    return forest.label, forest.partner
 
 
-def near_pairs(distinct: DataFrame, most: int = 3) -> DataFrame:
-    """distinct: fp long, each once. Edges u, v whose components are those of the links of at most `most` differing
-    bits. Fingerprints go to the tasks by mask and pattern: most + 1 rows for each."""
+def near_pairs(distinct: DataFrame, most: int = 3, direct: bool = False) -> DataFrame:
+    """distinct: k, fp, each pair once; only fingerprints with equal k are compared. Edges k, u, v whose components are
+    those of the links of at most `most` differing bits; with direct, edges that are links themselves, one for each
+    fingerprint and mask that has any. Fingerprints go to the tasks by k, mask and pattern: most + 1 rows for each."""
     bands = most + 1
     width = 64 // bands
 
     def run(batches):
-        held = {band: [] for band in range(bands)}
+        held: dict[tuple[int, int], list] = {}
         for b in batches:
-            fp, band = b.column("fp").to_numpy().view(np.uint64), b.column("band").to_numpy()
-            for k in held:
-                held[k].append(fp[band == k])
-        for k, parts in held.items():
-            x = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            turn = np.uint64(k * width)
-            if k:
-                x = (x << turn) | (x >> (np.uint64(64) - turn))
+            k, fp, band = (b.column(c).to_numpy() for c in ("k", "fp", "band"))
+            for lot in {*zip(k.tolist(), band.tolist())}:
+                held.setdefault(lot, []).append(fp.view(np.uint64)[(k == lot[0]) & (band == lot[1])])
+        for k, band in sorted(held):
+            x = np.concatenate(held.pop((k, band)))
+            turn, rest = np.uint64(band * width), np.uint64(64 - band * width)
+            if band:
+                x = (x << turn) | (x >> rest)
             x = x[np.argsort(gray_rank(x), kind="stable")]
-            label = links(x, width, most)
-            if k:
-                x = (x >> turn) | (x << (np.uint64(64) - turn))
-            own = np.flatnonzero(label != np.arange(len(x)))
+            label, partner = links(x, width, most)
+            if band:
+                x = (x << rest) | (x >> turn)
+            to = partner if direct else label
+            own = np.flatnonzero((to != np.arange(len(x))) & (to < len(x)))
             for i in range(0, len(own), 1 << 16):
                 part = own[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[part].view(np.int64)), pa.array(x[label[part]].view(np.int64))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(x[part].view(np.int64)), pa.array(x[to[part]].view(np.int64))], names=["k", "u", "v"])
 
-    hung = distinct.select("fp", F.explode(F.array(*[F.lit(k) for k in range(bands)])).alias("band"))
+    hung = distinct.select(F.col("k").cast("int").alias("k"), "fp", F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
     pattern = F.expr(f"shiftrightunsigned(shiftleft(fp, band * {width}), {64 - width})")
-    return hung.select("fp", "band", pattern.alias("pattern")).repartition("band", "pattern").mapInArrow(run, "u long, v long")
+    return hung.select("k", "fp", "band", pattern.alias("pattern")).repartition("k", "band", "pattern").mapInArrow(run, "k int, u long, v long")
 
 
 def classes(docs: DataFrame, scratch: Scratch, size: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fp, component_id for each row of docs: component_id is the smallest doc_id that links lead to."""
     prints = scratch.write("prints", fingerprints(docs, size))
     first = scratch.write("first", prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    found = components(near_pairs(first.select("fp"), most), scratch).withColumnRenamed("node", "fp")
+    found = components(near_pairs(first.select(F.lit(0).alias("k"), "fp"), most), scratch).withColumnRenamed("node", "fp")
     named = first.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = scratch.write("named", named.join(least, "component").select("fp", "component_id"))
@@ -207,3 +215,107 @@ def classes(docs: DataFrame, scratch: Scratch, size: int = 3, most: int = 3) ->
 def near_duplicates(docs: DataFrame) -> DataFrame:
     out = classes(docs, Scratch(docs.sparkSession))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Removing near copies
+
+
+def word_prints(words: list[bytes], prints: int) -> bytes:
+    """Fingerprints of the set of words, under independent hashes."""
+    if not words:
+        return bytes(8 * prints)
+    base = np.array([xxhash.xxh64_intdigest(w, 42) for w in {*words}], np.uint64)
+    out = []
+    for k in range(prints):
+        h = (base ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+        h ^= h >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(h), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the distinct word shingles, ascending; of a shorter text the one of all its words."""
+    words = words_of(text)
+    flat = b" ".join(words)
+    stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(flat)], "<u8")
+    start = np.r_[0, stop[:-1] + 1][: len(words) - size + 1].tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(flat[a:b]) for a, b in zip(start, stop[size - 1 :].tolist())], "<u8"))
+
+
+def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, prints: int = 8, most: int = 3, sent: int = 500_000) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays (null ids come last; of repeated
+    rows one stays). Texts are linked if their sets of `size`-word shingles have a Jaccard similarity of at least
+    `similarity`. Which pairs are compared, the index says: those within `most` bits in one of several fingerprints of
+    their word sets; with the defaults that misses few pairs (see the README). All other columns are kept.
+
+    sent: up to so many texts, the ids of those to be compared are broadcast; beyond, they are shuffled."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+
+    def scan(batches):
+        for b in batches:
+            found = [t.as_py() or "" for t in b.column("text")]
+            keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array([word_prints(words_of(t), prints) for t in found], pa.binary())], names=["doc_id", "key", "prints"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, prints binary")
+    # equal texts together; tid numbers the distinct ones
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least")
+    texts = scratch.write("distinct", rows.groupBy("key").agg(least, F.first("prints").alias("prints")).withColumn("tid", F.monotonically_increasing_id()))
+
+    def spread(batches):
+        for b in batches:
+            n = len(b)
+            all_ = np.frombuffer(b"".join(x.as_py() for x in b.column("prints")), "<i8").reshape(n, prints)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(prints, dtype=np.int32), n)), pa.array(all_.ravel()), pa.array(np.repeat(b.column("tid").to_numpy(), prints))], names=["k", "fp", "tid"])
+
+    each = texts.select("tid", "prints").mapInArrow(spread, "k int, fp long, tid long")
+    heads = scratch.write("heads", each.groupBy("k", "fp").agg(F.min("tid").alias("head"), F.count(F.lit(1)).alias("n")))
+    same = each.join(heads.where("n > 1").select("k", "fp", "head"), ["k", "fp"]).where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
+    near = near_pairs(heads.select("k", "fp"), most, direct=True)
+    of = lambda x, y: heads.select("k", F.col("fp").alias(x), F.col("head").alias(y))
+    near = near.join(of("u", "a"), ["k", "u"]).join(of("v", "b"), ["k", "v"]).select("a", "b")
+    pairs = scratch.write("pairs", same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    need = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
+    need = scratch.write("need", need.join(texts.select("tid", "key", "least"), "tid").select("tid", "key", F.col("least.doc_id").alias("id")))
+    few = need.count() <= sent
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([shingle_set(t.as_py(), size).tobytes() for t in b.column("text")], pa.binary())], names=["tid", "shingles"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    chosen = chosen.join(F.broadcast(need) if few else need, "key").where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["tid"]).select("tid", "text")
+    shingles = scratch.write("shingles", chosen.mapInArrow(sets, "tid long, shingles binary"))
+
+    def compare(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    sides = pairs.join(shingles.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b")
+    edges = scratch.write("edges", sides.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long"))
+    group = components(edges, scratch).withColumnRenamed("node", "tid")
+    named = texts.select("tid", "key", "least").join(group, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
+    best = named.groupBy("component").agg(F.min(F.struct("least", "tid")).alias("best"))
+    stay = named.join(best, "component").where("tid = best.tid").select(F.col("key").alias("_key"), F.col("least.doc_id").alias("_id"))
+    stay = scratch.write("stay", stay)
+    scratch.drop("distinct", "heads", "pairs", "need", "shingles", "edges", "components")
+    text_key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    out = docs.withColumn("_text_key", text_key).join(stay, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    first = Window.partitionBy("_text_key", "doc_id").orderBy(F.lit(0))
+    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
