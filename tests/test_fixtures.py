@@ -59,8 +59,8 @@ def test_within(spark):
 
 
 def test_small(spark):
-    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(small(spark.range(5), 5)) and "broadcast" not in plan(small(spark.range(6), 5))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString().lower()
+    assert "resolvedhint" in plan(small(spark.range(5), 5)) and "resolvedhint" not in plan(small(spark.range(6), 5))
 
 
 def test_late_events_are_dropped_by_the_watermark(spark):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.dates import fraction, hour_of, money
@@ -29,7 +29,8 @@ def query(sql: str | None = None):
     return add
 
 
-N = F.count(F.lit(1))
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 @query("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS sum_price,
@@ -37,7 +38,7 @@ N = F.count(F.lit(1))
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY ALL""")
 def fx_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum(money("l_extendedprice")).alias("sum_price"), F.sum(money("l_quantity")).alias("sum_qty"), N.alias("n"))
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum(money("l_extendedprice")).alias("sum_price"), F.sum(money("l_quantity")).alias("sum_qty"), rows().alias("n"))
 
 
 @query("""SELECT l_orderkey, l_partkey, l_quantity FROM lineitem
@@ -48,12 +49,12 @@ def fx_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def fx_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), N.alias("n"))
+    return read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), rows().alias("n"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS BIGINT) AS level, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def fx_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().alias("level"), N.alias("n"))
+    return read(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().alias("level"), rows().alias("n"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT date_trunc('day', ts)) AS days FROM events GROUP BY event_type")
@@ -86,7 +87,7 @@ def fx_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def fx_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the lines are counted before the shuffle, then joined
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(N.alias("n_lines"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows().alias("n_lines"))
     return read(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"))
 
 
@@ -162,29 +163,29 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 @query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in TYPES) + " FROM events GROUP BY user_id")
 def fx_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = read(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", TYPES).agg(N)
+    wide = read(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", TYPES).agg(rows())
     return wide.select("user_id", *[F.coalesce(t, F.lit(0).cast("long")).alias(t) for t in TYPES])
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM events GROUP BY ALL")
 def fx_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy(hour_of("ts").alias("hour"), "event_type").agg(N.alias("n"), F.sum(money("value")).alias("total"))
+    return read(spark, sf_dir, "events").groupBy(hour_of("ts").alias("hour"), "event_type").agg(rows().alias("n"), F.sum(money("value")).alias("total"))
 
 
 @query("""SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY w""")
 def fx_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy(F.window("ts", "2 hours", "1 hour")).agg(N.alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
+    return read(spark, sf_dir, "events").groupBy(F.window("ts", "2 hours", "1 hour")).agg(rows().alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query("""SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM
     (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""")
 def fx_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours")).agg(N.alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), "n")
+    return read(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours")).agg(rows().alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
 @query("SELECT event_type, round(count(*) FILTER (value > 100) / CAST(count(*) AS DOUBLE), 6) AS share FROM events GROUP BY event_type")
 def fx_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(fraction(F.count_if(F.col("value") > 100), N.cast("double")).alias("share"))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(fraction(F.count_if(F.col("value") > 100), rows().cast("double")).alias("share"))
 
 
 @query()
