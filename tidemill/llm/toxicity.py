@@ -94,17 +94,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int
         return Model(weights, float(np.log(p / (1 - p))))
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most 2 * sample rows
-    rows = scratch.write("labelled", docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"))
+    rows = scratch.write("labelled", docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").repartition(8))  # few tasks, as each counts into an array of all slots
+
+    size = len(weights)
 
     def count(batches):
-        counts = np.zeros((2, len(weights)), np.int64)
+        counts = np.zeros((2, size), np.int32)
         for b in batches:
             for text, y in zip(b.column("text"), b.column("toxic").to_pylist()):
                 counts[y, np.unique(grams(text.as_py()))] += 1
         used = np.flatnonzero(counts.any(0))
         for i in range(0, len(used), 100_000):
             part = used[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[1, part]), pa.array(counts[0, part])], names=["slot", "toxic", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[1, part], pa.int64()), pa.array(counts[0, part], pa.int64())], names=["slot", "toxic", "other"])
 
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (n.get(0) and n.get(1)):
