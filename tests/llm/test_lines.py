@@ -71,16 +71,3 @@ def test_dedup_keeps_columns(spark):
     got = {r.doc_id: (r.text, r.key) for r in lines.dedup(df).collect()}
     assert got == {1: (rows[0][1], "x"), 2: ("third\n", None), 4: ("", "z"), 5: (None, "n"), None: ("\nnew", "q")}
     assert lines.dedup(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("most", [1, 2, 3])
-def test_banded_distance(spark, most):
-    rnd = random.Random(9)
-    pairs = []
-    for _ in range(300):
-        a = "".join(rnd.choice("abé世") for _ in range(rnd.randrange(0, 12)))
-        pairs.append((a, edited(rnd, a, rnd.randrange(most + 3)) if rnd.random() < 0.8 else a[::-1]))
-    pairs += [("", ""), ("", "a"), ("a", ""), ("", "aaaa"), ("a\0b", "ab"), ("x" * 500, "x" * 498 + "yy")]
-    df = spark.createDataFrame(pairs, "x string, y string")
-    for r in df.select("x", "y", lines.within(df["x"], df["y"], most).alias("near")).collect():
-        assert r.near == (distance(r.x, r.y) <= most), (r.x, r.y)

@@ -63,8 +63,24 @@ def test_expansion_finds_the_repeated_windows():
     assert sorted(sorted(v) for v in got.values()) == sorted(v for v in want.values() if len(v) > 1)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_report_against_brute_force(spark, seed, monkeypatch):
+def test_segments_cover_all_windows_in_blocks(monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK", 100)
+    texts = [(t or "").encode() for _, t in corpus(1)]
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    first, last, at, h, ends, doc = suffix.segments(buf, off, 50)
+    windows = [w for a, z in zip(first, last) for w in range(a, z + 1)]
+    assert windows == [w for a, z in zip(off, off[1:]) for w in range(a, z - 49)]
+    anchors = {}
+    for a, z, p, x, d in zip(first, last, at, h, doc):
+        for w in range(a, z + 1):
+            assert off[d] <= w and w + 50 <= off[d + 1] and w <= p <= w + 34
+            assert anchors.setdefault(buf[w : w + 50].tobytes(), (p - w, x)) == (p - w, x)
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(0, 20_000), (1, 20_000), (2, 3), (3, 1)])
+def test_report_against_brute_force(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "HEAVY", 2)
     monkeypatch.setattr(suffix, "PIECE", 3000)
     monkeypatch.setattr(suffix, "SHARE", 9000)
     monkeypatch.setattr(suffix, "CHUNK", 1000)
