@@ -78,6 +78,36 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+OP9 = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
+), sized AS (
+    SELECT doc_id, hx, length(hx) // 2 AS n FROM d
+), w AS (
+    SELECT doc_id, i, substr(hx, 2 * i + 1, 100) AS s FROM (SELECT doc_id, hx, unnest(range(0, n - 49)) AS i FROM sized WHERE n >= 50)
+), m AS (
+    SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hit AS (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh
+    FROM w JOIN m USING (s) WHERE first_id < doc_id
+), numbered AS (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit
+), span AS (
+    SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY doc_id, k
+), lost AS (
+    SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS z FROM span GROUP BY doc_id
+), part AS (
+    SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM span
+    UNION ALL SELECT doc_id, coalesce(z, 0), n FROM sized LEFT JOIN lost USING (doc_id)
+), kept AS (
+    SELECT doc_id, string_agg(substr(hx, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS hx FROM part JOIN sized USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(kept.hx)) AS kept_sha256
+FROM sized LEFT JOIN lost USING (doc_id) JOIN kept USING (doc_id)
+"""
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
@@ -91,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1, "op3_topk": OP3}
+    return {"op1_chat": OP1, "op3_topk": OP3, "op9_suffix": OP9}
