@@ -11,6 +11,8 @@ Work is split by content, so that equal strings meet in one task whatever docume
    anchor that is in very many documents makes one entry for each piece.
 3. Consecutive windows with one anchor form a segment. The segments with anchors of several documents go, each
    distinct one once for a piece with its smallest doc_id, to the task of the anchor.
+   An anchor with very many different segments is hot: its windows go one by one, each to the task that its own
+   content names.
 4. There, distinct segments whose anchor has others too are suffix-sorted. From the transform the intervals of
    common strings are expanded backward, breadth first, STEP symbols at a time: members of an interval that are
    preceded by the same symbols form an interval of the next length. Those alone in theirs are dropped. At length
@@ -29,6 +31,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +43,12 @@ STEP = 5
 PIECE = 4 << 20
 CHUNK = 1 << 20
 #: Bytes of text whose anchors one task gets.
-SHARE = 32 << 20
+SHARE = 12 << 20
+#: An anchor with so many different segments in a piece tells their number; from HOT on in all, its windows go to the
+#: tasks one by one, by their own content, and not by the anchor.
+HEAVY, HOT = 8, 20_000
+#: Symbols that are suffix-sorted at a time, unless one anchor has more.
+SYMBOLS = 3 << 19
 LAST = np.iinfo(np.int64).max
 
 
@@ -87,7 +95,7 @@ def hashes(buf: np.ndarray) -> np.ndarray:
 
 def segments(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Segments of the documents buf[off[i]:off[i + 1]]: first and last window, place and hash (48 bits) of the anchor,
-    document."""
+    a hash of the segment's ends, document."""
     found = []
     ends = off[1:-1]
     for a in range(0, max(0, len(buf) - least + 1), CHUNK):
@@ -103,11 +111,14 @@ def segments(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray,
         first = np.flatnonzero(inside & ~np.r_[False, same])
         last = np.flatnonzero(inside & ~np.r_[same, False])
         at = anchor[first]
-        found.append((first + a, last + a, at + a, h[at] >> np.uint64(16)))
+        named = h[at] * np.uint64(0xD6E8FEB86659FD93)  # anchors have small hashes: mixed again, they spread over the tasks
+        named ^= named >> np.uint64(32)
+        named *= np.uint64(0xD6E8FEB86659FD93)
+        found.append((first + a, last + a, at + a, named >> np.uint64(16), h[first] * np.uint64(3) ^ h[last + least - K]))
     if not found:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
-    first, last, at, h = map(np.concatenate, zip(*found))
-    return first, last, at, h, np.searchsorted(off, first, "right") - 1
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+    first, last, at, h, ends_ = map(np.concatenate, zip(*found))
+    return first, last, at, h, ends_, np.searchsorted(off, first, "right") - 1
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -123,6 +134,22 @@ def told(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], doc[first] != doc[last]
 
 
+def heavy(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors with at least HEAVY different segments, and their numbers."""
+    order = np.lexsort((ends, h))
+    h, ends = h[order], ends[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (ends[1:] != ends[:-1])] if len(h) else np.empty(0, bool)
+    own, count = np.unique(h[new], return_counts=True)
+    return own[count >= HEAVY], count[count >= HEAVY]
+
+
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of h are in known, which ascends."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
 class Piece:
     """Documents of one piece, with all that can be worked out from it."""
 
@@ -134,37 +161,47 @@ class Piece:
         self.text = body[8 * (2 * n + 1) :]
         self.buf = np.frombuffer(self.text, np.uint8)
         self.least = least
-        self.first, self.last, self.at, self.h, self.doc = segments(self.buf, self.off, least)
+        self.first, self.last, self.at, self.h, self.ends, self.doc = segments(self.buf, self.off, least)
 
-    def shared(self, heard: list[bytes]) -> np.ndarray:
-        """Places of the segments whose anchors other documents have."""
+    def units(self, heard: list[dict]) -> tuple[np.ndarray, ...]:
+        """What is compared with other documents: segments whose anchors they have as well, and of hot anchors each
+        window for itself. First and last window, place of the anchor, its hash (0 for a window), document."""
         h, several = told(self.h, self.doc)
-        known = np.concatenate([h[several], *map(unpack, heard)])
+        known = np.concatenate([h[several], *(unpack(x["shared"]) for x in heard)])
+        hot = np.concatenate([np.empty(0, np.uint64), *(unpack(x["hot"]) for x in heard)])
         known.sort()
-        if not len(known):
-            return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(known, self.h), len(known) - 1)
-        return np.flatnonzero(known[at] == self.h)
-
-    def entries(self, own: np.ndarray, buckets: int) -> tuple[np.ndarray, dict[int, tuple[list, list, list]], np.ndarray]:
-        """The distinct segments among own, by bucket: texts, places of the anchor, smallest doc_ids. Also for each of
-        own its bucket and its number there."""
-        bucket = bucket_of(self.h[own], buckets)
+        hot.sort()
+        own = np.flatnonzero(among(self.h, known))
+        split = among(self.h[own], hot)
+        n = np.where(split, self.last[own] - self.first[own] + 1, 1)
+        row = np.repeat(np.arange(len(own)), n)
+        split, own = split[row], own[row]
+        first = self.first[own] + np.where(split, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), 0)
+        return first, np.where(split, first, self.last[own]), self.at[own], np.where(split, 0, self.h[own]), self.doc[own]
+
+    def entries(self, units: tuple[np.ndarray, ...], buckets: int) -> tuple[np.ndarray, dict[int, tuple[list, list, list]], np.ndarray]:
+        """The distinct units, by bucket: texts, places of the anchor, smallest doc_ids. Also for each unit its bucket
+        and its number there."""
+        first, last, at, h, doc = units
+        bucket = bucket_of(h, buckets)
+        text, least = self.text, self.least
+        own = np.flatnonzero(h == 0)  # windows go where their own content says
+        if len(own):
+            content = np.fromiter((xxhash.xxh64_intdigest(text[a : a + least]) for a in first[own].tolist()), np.uint64, len(own))
+            bucket[own] = bucket_of(content >> np.uint64(16), buckets)
         by: dict[int, tuple[dict, list, list]] = {}
-        number = np.empty(len(own), np.int64)
-        text, ids, least = self.text, self.ids, self.least
-        rows = zip(bucket.tolist(), self.first[own].tolist(), self.last[own].tolist(), self.at[own].tolist(), ids[self.doc[own]].tolist())
-        for i, (b, first, last, at, doc) in enumerate(rows):
+        number = np.empty(len(first), np.int64)
+        rows = zip(bucket.tolist(), first.tolist(), last.tolist(), at.tolist(), self.ids[doc].tolist())
+        for i, (b, a, z, p, d) in enumerate(rows):
             if b not in by:
                 by[b] = {}, [], []
             seen, places, docs = by[b]
-            segment = text[first : last + least]
-            k = seen.setdefault(segment, len(seen))
+            k = seen.setdefault(text[a : z + least], len(seen))
             if k == len(docs):
-                docs.append(doc)
-                places.append(at - first)
-            elif doc < docs[k]:
-                docs[k] = doc
+                docs.append(d)
+                places.append(p - a)
+            elif d < docs[k]:
+                docs[k] = d
             number[i] = k
         return bucket, {b: (list(seen), places, docs) for b, (seen, places, docs) in by.items()}, number
 
@@ -272,20 +309,28 @@ def smaller(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]], lea
     new = np.r_[True, (gram[order][1:] != gram[order][:-1]).any(1)]
     lot = np.cumsum(new) - 1
     many = np.zeros(count, bool)
-    many[order] = np.bincount(lot)[lot] > 1
+    # single windows are distinct by now; a lot that has only these needs no more
+    longest = np.maximum.reduceat(length[order], np.flatnonzero(new))
+    many[order] = ((np.bincount(lot) > 1) & (longest > least))[lot]
     windows = length - least + 1
     first = np.cumsum(windows) - windows
     least_doc = np.repeat(low, windows)
-    pick = np.flatnonzero(many)
-    if len(pick):
-        inner = np.repeat(begin[pick] - np.r_[0, np.cumsum(length[pick])[:-1]], length[pick]) + np.arange(length[pick].sum())
-        at, group = classes(flat[inner].tobytes(), length[pick], least)
+    pick = order[many[order]]  # anchor by anchor
+    done = np.cumsum(length[pick] + 1)
+    anchor = lot[many[order]]
+    a = 0
+    while a < len(pick):  # some whole anchors at a time
+        z = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + SYMBOLS, "right")))
+        z = int(np.searchsorted(anchor, anchor[z - 1], "right"))
+        own, a = pick[a:z], z
+        stop = np.cumsum(length[own])
+        inner = np.repeat(begin[own] - np.r_[0, stop[:-1]], length[own]) + np.arange(stop[-1])
+        at, group = classes(flat[inner].tobytes(), length[own], least)
         if len(at):
-            stop = np.cumsum(length[pick])
             string = np.searchsorted(stop, at, "right")
-            window = first[pick][string] + at - (stop[string] - length[pick][string])
+            window = first[own][string] + at - (stop[string] - length[own][string])
             start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            best = np.minimum.reduceat(low[pick][string], start)
+            best = np.minimum.reduceat(low[own][string], start)
             least_doc[window] = np.repeat(best, np.diff(np.r_[start, len(group)]))
     out = []
     for doc, o in zip(docs, owner):
@@ -297,20 +342,20 @@ def smaller(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]], lea
     return out
 
 
-def covered(piece: Piece, heard: list[bytes], masks: dict[int, bytes], buckets: int) -> np.ndarray:
+def covered(piece: Piece, heard: list[dict], masks: dict[int, bytes], buckets: int) -> np.ndarray:
     """Which bytes of a piece are removed."""
-    own = piece.shared(heard)
-    bucket, by, number = piece.entries(own, buckets)
-    low, mask = np.empty(len(own), np.int64), np.empty(len(own), np.uint64)
+    first, last, _, _, doc = units = piece.units(heard)
+    bucket, by, number = piece.entries(units, buckets)
+    low, mask = np.empty(len(first), np.int64), np.empty(len(first), np.uint64)
     for b, (_, _, docs) in by.items():
         here = np.flatnonzero(bucket == b)
         low[here] = np.array(docs)[number[here]]
         mask[here] = np.frombuffer(unsqueeze(masks[b]), "<u8")[number[here]]
-    mask[piece.ids[piece.doc[own]] > low] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    size = piece.last[own] - piece.first[own] + 1
-    row = np.repeat(np.arange(len(own)), size)
+    mask[piece.ids[doc] > low] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    size = last - first + 1
+    row = np.repeat(np.arange(len(first)), size)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    start = (piece.first[own][row] + offset)[(mask[row] >> offset.astype(np.uint64) & np.uint64(1)).astype(bool)]
+    start = (first[row] + offset)[(mask[row] >> offset.astype(np.uint64) & np.uint64(1)).astype(bool)]
     edge = np.zeros(len(piece.buf) + 1, np.int32)
     edge[start] = 1
     np.subtract.at(edge, start + piece.least, 1)
@@ -356,6 +401,8 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, in
     total = pieces.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // SHARE), min(2 * docs.sparkSession.sparkContext.defaultParallelism, total // (1 << 20)))
 
+    told_names = ["bucket", "piece", "blob", "heavy", "count"]
+
     def tell(batches):
         for b in batches:
             for name, data in zip(b.column("piece").to_pylist(), b.column("data")):
@@ -363,36 +410,44 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, in
                 h, several = told(p.h, p.doc)
                 edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
                 line = h << np.uint64(1) | several.astype(np.uint64)
-                out = [(k, name, pack(line[x:y])) for k, (x, y) in enumerate(zip(edge, edge[1:])) if y > x]
+                large, count = heavy(p.h, p.ends)
+                cut_at = np.searchsorted(bucket_of(large, buckets), np.arange(buckets + 1))
+                out = [(k, name, pack(line[x:y]), pack(large[v:w]), squeeze(count[v:w].astype("<i8").tobytes())) for k, (x, y, v, w) in enumerate(zip(edge, edge[1:], cut_at, cut_at[1:])) if y > x]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "piece", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=told_names)
 
     def answer(batches):
-        for bucket, rows in by_bucket(batches, ["bucket", "piece", "blob"]):
+        for bucket, rows in by_bucket(batches, told_names):
             lots = [unpack(r["blob"]) for r in rows]
             line = np.concatenate(lots)
             who = np.repeat(np.arange(len(lots)), [len(x) for x in lots])
             h = line >> np.uint64(1)
             order = np.argsort(h, kind="stable")
             h, who, knows = h[order], who[order], (line[order] & np.uint64(1)).astype(bool)
-            same = h[1:] == h[:-1]
-            say = (np.r_[False, same] | np.r_[same, False]) & ~knows
-            h, who = h[say], who[say]
-            order = np.argsort(who, kind="stable")
-            h, edge = h[order], np.searchsorted(who[order], np.arange(len(lots) + 1))
-            for r, x, y in zip(rows, edge, edge[1:]):
-                if y > x:
-                    yield pa.RecordBatch.from_arrays([pa.array([r["piece"]], pa.int64()), pa.array([pack(h[x:y])], pa.binary())], names=["piece", "blob"])
-
-    anchors = pieces.select("piece", "data").mapInArrow(tell, "bucket long, piece long, blob binary")
-    heard = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "piece long, blob binary")
-    heard = scratch.write("heard", heard.groupBy("piece").agg(F.collect_list("blob").alias("heard")))  # no more than a piece has anchors
+            new = np.r_[True, h[1:] != h[:-1]]
+            first = np.flatnonzero(new)
+            pieces_of = np.diff(np.r_[first, len(h)])
+            number = pieces_of.copy()  # of different segments, at least
+            for r in rows:
+                np.add.at(number, np.searchsorted(h[first], unpack(r["heavy"])), np.frombuffer(unsqueeze(r["count"]), "<i8"))
+            lot = np.cumsum(new) - 1
+            hot = (number >= HOT)[lot]
+            say = (pieces_of > 1)[lot] & ~knows
+            shared, hot = ((h[x][np.argsort(who[x], kind="stable")], np.searchsorted(np.sort(who[x]), np.arange(len(lots) + 1))) for x in (say, hot))
+            for i, r in enumerate(rows):
+                mine = [x[e[i] : e[i + 1]] for x, e in (shared, hot)]
+                if len(mine[0]) or len(mine[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array([r["piece"]], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in mine)], names=["piece", "shared", "hot"])
+
+    anchors = pieces.select("piece", "data").mapInArrow(tell, "bucket long, piece long, blob binary, heavy binary, count binary")
+    heard = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "piece long, shared binary, hot binary")
+    heard = scratch.write("heard", heard.groupBy("piece").agg(F.collect_list(F.struct("shared", "hot")).alias("heard")))  # no more than a piece has anchors
 
     def send(batches):
         for b in batches:
             for name, data, said in zip(b.column("piece").to_pylist(), b.column("data"), b.column("heard")):
                 p = Piece(data.as_py(), least)
-                for k, lot in p.entries(p.shared(said.as_py() or []), buckets)[1].items():
+                for k, lot in p.entries(p.units(said.as_py() or []), buckets)[1].items():
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name], pa.int64()), pa.array([write_entries(*lot)], pa.binary())], names=["bucket", "piece", "blob"])
 
     def compare(batches):
