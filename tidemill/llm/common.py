@@ -5,9 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,12 +49,3 @@ class Scratch:
         for name in names:
             if name in self.paths:
                 _delete(self.spark, self.paths.pop(name))
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """The texts of a batch, null as empty."""
-    return [x or "" for x in batch.column(name).to_pylist()]

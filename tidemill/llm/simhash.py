@@ -256,7 +256,7 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, prints: int =
     """docs without near copies: of each group the row with the smallest doc_id stays (null ids come last; of repeated
     rows one stays). Texts are linked if their sets of `size`-word shingles have a Jaccard similarity of at least
     `similarity`. Which pairs are compared, the index says: those within `most` bits in one of several fingerprints of
-    their word sets; with the defaults that misses few pairs (see the README). All other columns are kept.
+    their word sets; with the defaults that misses few pairs. All other columns are kept.
 
     sent: up to so many texts, the ids of those to be compared are broadcast; beyond, they are shuffled."""
     spark = docs.sparkSession
