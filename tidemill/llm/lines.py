@@ -8,7 +8,8 @@ a smaller doc_id, or further up in the same one.
 Join: a line of n characters is cut into most + 1 segments of like length. A line within `most` edits contains one of
 them unchanged, at a place that the difference of the lengths and the segment's number bound. So each distinct line is
 entered under the hashes of (its length, segment number, segment) and looks up those of its substrings at the possible
-places for every length from n - most to n. Lines that meet are compared by the edit distance within a band of
+places for every length from n - most to n. Lines that meet, and in which some letters occur about as often (each edit
+changes these numbers by two in all, at most), are compared by the edit distance within a band of
 2 * most + 1 diagonals. Distinct lines are found before, so a line that is repeated often is joined once.
 
 Null texts have no lines; rows with null doc_id come after all others; rows with equal doc_id and text are the same
@@ -17,11 +18,15 @@ document and lose the same lines. Extra columns are kept by dedup() and ignored
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import Scratch
 
+#: Letters whose numbers in two lines are compared before their texts are.
+LETTERS = "etaniorsh "
 #: Lines up to which those that met others are sent to all executors; beyond, they are shuffled. 24 bytes each.
 SENT = 1_000_000
 
@@ -32,8 +37,8 @@ def line_array(text: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, line of every line that isn't blank."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), F.posexplode(line_array(F.col("text"))).alias("line_no", "line"))
-    return rows.where("line <> ''")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), line_array(F.col("text")).alias("lines"))
+    return keyed.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line")).where("line <> ''")
 
 
 def key(line: Column) -> Column:
@@ -74,14 +79,30 @@ def lookups(line: Column, most: int) -> Column:
     return F.array(*out)
 
 
+def tally(line: Column) -> Column:
+    """How often each of LETTERS occurs, modulo 64, six bits for each, in one long."""
+    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(n.bitwiseAND(63).cast("long"), 6 * i) for i, n in enumerate(counts)])
+
+
+def apart(x: Column, y: Column) -> Column:
+    """By how much two tallies differ at least. An edit changes a tally by two at most."""
+    out = []
+    for i in range(len(LETTERS)):
+        d = (F.shiftrightunsigned(x, 6 * i).bitwiseAND(63) - F.shiftrightunsigned(y, 6 * i).bitwiseAND(63)).bitwiseAND(63)
+        out.append(F.least(d, F.lit(64) - d))
+    return reduce(lambda x, y: x + y, out)
+
+
 def candidates(lines: DataFrame, most: int, shortest: int) -> DataFrame:
-    """a < b: ids (xxhash64) of lines that meet. lines: line."""
-    own = lines.where(F.char_length("line") >= shortest).select(F.xxhash64("line").alias("id"), entries(F.col("line"), most).alias("entered"), lookups(F.col("line"), most).alias("asked")).distinct()
-    both = F.concat(F.transform("entered", lambda h: F.struct(h.alias("h"), F.lit(True).alias("entry"))), F.transform("asked", lambda h: F.struct(h.alias("h"), F.lit(False).alias("entry"))))
-    met = own.select("id", F.inline(both))
-    # only hashes under which something is entered and something else is found go on
-    index = met.where("entry").select("h", F.col("id").alias("other"))
-    pairs = met.join(index, "h").where("id <> other and (not entry or id < other)")
+    """a < b: ids (xxhash64) of lines that meet and whose tallies are not too far apart. lines: line."""
+    own = lines.where(F.char_length("line") >= shortest).select(F.xxhash64("line").alias("id"), tally(F.col("line")).alias("tally"), entries(F.col("line"), most).alias("entered"), lookups(F.col("line"), most).alias("asked")).distinct()
+    # a lookup has the tally's highest bit set, which no letter uses
+    both = F.concat(F.transform("entered", lambda h: F.struct(h.alias("h"), F.lit(False).alias("ask"))), F.transform("asked", lambda h: F.struct(h.alias("h"), F.lit(True).alias("ask"))))
+    met = own.select("id", "tally", F.inline(both)).select("h", "id", F.when(F.col("ask"), F.col("tally").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("tally")).alias("tally"))
+    index = met.where("tally >= 0").select("h", F.col("id").alias("other"), F.col("tally").alias("theirs"))
+    close = apart(F.col("tally"), F.col("theirs")) <= 2 * most
+    pairs = met.join(index, (met["h"] == index["h"]) & (F.col("id") != F.col("other")) & ((F.col("tally") < 0) | (F.col("id") < F.col("other"))) & close)
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
