@@ -122,3 +122,47 @@ def test_dedup(spark):
     want = sorted({*label}) + [None]
     assert sorted((r.doc_id for r in out), key=lambda x: (x is None, x)) == want
     assert simhash.dedup(df.limit(0)).count() == 0
+
+
+def kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.dedup(df).collect())
+
+
+def first_of_groups(texts, size=5):
+    label = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if jaccard(a, texts[j], size) >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return sorted({*label})
+
+
+def test_dedup_of_texts_with_one_word_set(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(40)]
+    orders = [rnd.sample(words, 40) for _ in range(6)]
+    texts = ["alpha beta gamma", "gamma beta alpha", "gamma  beta alpha"]
+    for o in orders:  # each order twice, the second time with its first word at the end
+        texts += [" ".join(o), " ".join(o[1:] + o[:1])]
+    want = first_of_groups(texts)
+    assert want == [0, 1, *range(3, 15, 2)] and kept(spark, texts) == want
+
+
+def test_dedup_of_many_texts_with_one_core(spark, monkeypatch):
+    """Most of these share their shingles and aren't similar; some pairs far from the first are."""
+    monkeypatch.setattr(simhash, "LISTED", 4)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "COUNTED", 64)
+    rnd = random.Random(10)
+    core = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(40):
+        own = list(core)
+        for i in rnd.sample(range(60), rnd.choice([1, 1, 2, 3])):
+            own[i] = f"x{k}{i}"
+        texts.append(" ".join(own))
+        if k % 5 == 0:
+            texts.append(" ".join(own + ["end"]))
+    want = first_of_groups(texts)
+    assert 5 < len(want) < len(texts) and kept(spark, texts) == want

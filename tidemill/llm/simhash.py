@@ -17,6 +17,7 @@ name one. Results don't depend on the order of rows. Repeated rows give repeated
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -167,10 +168,10 @@ def links(values: np.ndarray, lead: int, most: int) -> tuple[np.ndarray, np.ndar
     return forest.label, forest.partner
 
 
-def near_pairs(distinct: DataFrame, most: int = 3, direct: bool = False) -> DataFrame:
+def near_pairs(distinct: DataFrame, most: int = 3) -> DataFrame:
     """distinct: k, fp, each pair once; only fingerprints with equal k are compared. Edges k, u, v whose components are
-    those of the links of at most `most` differing bits; with direct, edges that are links themselves, one for each
-    fingerprint and mask that has any. Fingerprints go to the tasks by k, mask and pattern: most + 1 rows for each."""
+    those of the links of at most `most` differing bits. Fingerprints go to the tasks by k, mask and pattern: most + 1
+    rows for each."""
     bands = most + 1
     width = 64 // bands
 
@@ -186,11 +187,10 @@ def near_pairs(distinct: DataFrame, most: int = 3, direct: bool = False) -> Data
             if band:
                 x = (x << turn) | (x >> rest)
             x = x[np.argsort(gray_rank(x), kind="stable")]
-            label, partner = links(x, width, most)
+            to = links(x, width, most)[0]
             if band:
                 x = (x << rest) | (x >> turn)
-            to = partner if direct else label
-            own = np.flatnonzero((to != np.arange(len(x))) & (to < len(x)))
+            own = np.flatnonzero(to != np.arange(len(x)))
             for i in range(0, len(own), 1 << 16):
                 part = own[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(x[part].view(np.int64)), pa.array(x[to[part]].view(np.int64))], names=["k", "u", "v"])
@@ -219,22 +219,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 # Removing near copies
 
-
-def word_prints(words: list[bytes], prints: int) -> bytes:
-    """Fingerprints of the set of words, under independent hashes."""
-    if not words:
-        return bytes(8 * prints)
-    base = np.array([xxhash.xxh64_intdigest(w, 42) for w in {*words}], np.uint64)
-    out = []
-    for k in range(prints):
-        h = (base ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
-        h ^= h >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(h), bitorder="little").tobytes())
-    return b"".join(out)
+#: One of so many documents is looked at for shingles that are common, and in how many of those one must stand.
+SAMPLED, COMMON = 32, 4
+#: Common shingles that are known to all tasks, 8 bytes each.
+KNOWN = 200_000
+#: Texts that share a shingle up to which all their pairs are listed; more are compared in blocks.
+LISTED = 256
+#: Texts in a block, and shingles of it that are counted at a time.
+BLOCK, COUNTED = 256, 8192
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -252,42 +244,117 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(flat[a:b]) for a, b in zip(start, stop[size - 1 :].tolist())], "<u8"))
 
 
-def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, prints: int = 8, most: int = 3, sent: int = 500_000) -> DataFrame:
+def lead(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of all tasks, common ones last: two sets of that similarity have at
+    least one of these in common."""
+    hot = np.isin(shingles, common, assume_unique=True) if len(common) else np.zeros(len(shingles), bool)
+    return np.concatenate([shingles[~hot], shingles[hot]])[: len(shingles) - math.ceil(similarity * len(shingles)) + 1]
+
+
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles of many documents, ascending. They only set the order that lead() takes, so a sample is enough."""
+
+    def run(batches):
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size).view(np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
+    found = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(KNOWN).select("h")
+    return np.sort(found.toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of pairs, one of left and one of right, that are similar and not of one group: a spanning forest."""
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    column, owner = place[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(left), len(right)))
+    for at in range(0, int(shared.sum()), COUNTED):
+        a, z = np.searchsorted(column, [at, at + COUNTED])
+        grid = np.zeros((len(sets), COUNTED), np.float32)
+        grid[owner[a:z], column[a:z] - at] = 1
+        both += grid[left] @ grid[right].T
+    x, y = np.nonzero(both >= similarity * (sizes[left][:, None] + sizes[right][None] - both))
+    x, y = left[x], right[y]
+    root = np.unique(group, return_inverse=True)[1].tolist()
+    root = [root.index(r) for r in root]
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist()):
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 500_000) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays (null ids come last; of repeated
     rows one stays). Texts are linked if their sets of `size`-word shingles have a Jaccard similarity of at least
-    `similarity`. Which pairs are compared, the index says: those within `most` bits in one of several fingerprints of
-    their word sets; with the defaults that misses few pairs. All other columns are kept.
+    `similarity`, whatever was changed. All other columns are kept.
+
+    Texts with equal sets are brought together by a hash of the set. Of the others, those that share one of their
+    leading shingles (see lead) may be similar. Where few share a shingle, all pairs whose sizes and places in the order
+    allow the similarity are compared. Where many do, each is first compared with one of them; what is not one group
+    then is compared block by block, all with all of like size; texts that are linked already are not linked again.
 
     sent: up to so many texts, the ids of those to be compared are broadcast; beyond, they are shuffled."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    common = common_shingles(docs, size)
 
     def scan(batches):
         for b in batches:
             found = [t.as_py() or "" for t in b.column("text")]
             keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array([word_prints(words_of(t), prints) for t in found], pa.binary())], names=["doc_id", "key", "prints"])
+            sets = [shingle_set(t, size) for t in found]
+            columns = [pa.array(keys, pa.binary()), pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([lead(x, common, similarity).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "key", "set", "n", "lead"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, prints binary")
-    # equal texts together; tid numbers the distinct ones
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least")
-    texts = scratch.write("distinct", rows.groupBy("key").agg(least, F.first("prints").alias("prints")).withColumn("tid", F.monotonically_increasing_id()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary")
+    # equal sets together; tid numbers the distinct ones
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least")
+    texts = scratch.write("distinct", rows.groupBy("set").agg(least, F.first("n").alias("n"), F.first("lead").alias("lead")).withColumn("tid", F.monotonically_increasing_id()))
 
     def spread(batches):
         for b in batches:
-            n = len(b)
-            all_ = np.frombuffer(b"".join(x.as_py() for x in b.column("prints")), "<i8").reshape(n, prints)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(prints, dtype=np.int32), n)), pa.array(all_.ravel()), pa.array(np.repeat(b.column("tid").to_numpy(), prints))], names=["k", "fp", "tid"])
-
-    each = texts.select("tid", "prints").mapInArrow(spread, "k int, fp long, tid long")
-    heads = scratch.write("heads", each.groupBy("k", "fp").agg(F.min("tid").alias("head"), F.count(F.lit(1)).alias("n")))
-    same = each.join(heads.where("n > 1").select("k", "fp", "head"), ["k", "fp"]).where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
-    near = near_pairs(heads.select("k", "fp"), most, direct=True)
-    of = lambda x, y: heads.select("k", F.col("fp").alias(x), F.col("head").alias(y))
-    near = near.join(of("u", "a"), ["k", "u"]).join(of("v", "b"), ["k", "v"]).select("a", "b")
-    pairs = scratch.write("pairs", same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            leads = [np.frombuffer(x.as_py(), "<i8") for x in b.column("lead")]
+            count = np.array([len(x) for x in leads], np.int64)
+            if not len(count):
+                continue
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            own = [np.repeat(b.column(c).to_numpy(), count) for c in ("tid", "n")]
+            for i in range(0, len(at), 1 << 16):
+                j = i + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (np.concatenate(leads), *own, own[1] - at)], names=["h", "tid", "n", "rest"])
+
+    # rest: how many shingles stand from this one on
+    each = scratch.write("each", texts.select("tid", "n", "lead").mapInArrow(spread, "h long, tid long, n long, rest long"))
+    keys = scratch.write("keys", each.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("head")).where("members > 1"))
+    met = scratch.write("members", each.join(keys, "h"))
+    scratch.drop("each", "keys")
+    few_share = met.where(F.col("members") <= LISTED)
+    other = few_share.select("h", F.col("tid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("left"))
+    could = F.least("rest", "left") >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+    listed = few_share.join(other, "h").where((F.col("tid") < F.col("b")) & could).select(F.col("tid").alias("a"), "b")
+    many_share = met.where(F.col("members") > LISTED)
+    first = many_share.where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
+    pairs = scratch.write("pairs", listed.unionByName(first).distinct())
     need = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
-    need = scratch.write("need", need.join(texts.select("tid", "key", "least"), "tid").select("tid", "key", F.col("least.doc_id").alias("id")))
+    need = scratch.write("need", need.join(texts.select("tid", "least"), "tid").select("tid", F.col("least.key").alias("key"), F.col("least.doc_id").alias("id")))
     few = need.count() <= sent
 
     def sets(batches):
@@ -310,11 +377,57 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, prints: int =
     sides = pairs.join(shingles.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b")
     edges = scratch.write("edges", sides.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long"))
     group = components(edges, scratch).withColumnRenamed("node", "tid")
-    named = texts.select("tid", "key", "least").join(group, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
-    best = named.groupBy("component").agg(F.min(F.struct("least", "tid")).alias("best"))
-    stay = named.join(best, "component").where("tid = best.tid").select(F.col("key").alias("_key"), F.col("least.doc_id").alias("_id"))
-    stay = scratch.write("stay", stay)
-    scratch.drop("distinct", "heads", "pairs", "need", "shingles", "edges", "components")
+
+    # shingles of many texts that are not one group yet; the texts that such shingles lead to are a cluster
+    held = many_share.join(group, "tid", "left").select("h", "tid", "n", "head", F.coalesce("component", "tid").alias("component"))
+    open_ = held.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+    held = scratch.write("held", held.join(open_, "h"))
+    if held.limit(1).count():
+        inner = Scratch(spark)
+        cluster = components(held.select(F.col("head").alias("u"), F.col("tid").alias("v")), inner).withColumnRenamed("node", "head").withColumnRenamed("component", "cluster")
+        # a cluster is compared at once if that is less work than to do it for each of its shingles
+        work = held.groupBy("h", "head").agg(F.count(F.lit(1)).alias("m")).join(cluster, "head").select("h", "cluster", "m")
+        whole = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("all")).join(work.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("single")), "cluster")
+        lots = work.join(whole, "cluster").withColumn("one", F.col("all") * F.col("all") <= F.col("single")).select("h", "one", F.when(F.col("one"), F.col("cluster")).otherwise(F.col("h")).alias("lot"))
+        # similar sets are of one class of sizes or of two that follow each other
+        size_class = F.floor(F.log(F.col("n").cast("double")) / (-1.001 * math.log(similarity))) if similarity < 1 else F.col("n")
+        placed = scratch.write("placed", held.join(lots, "h").select("one", "lot", "tid", F.col("component").alias("grp"), size_class.cast("long").alias("cls")).distinct())
+        blocks = placed.groupBy("one", "lot", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        placed = placed.join(blocks, ["one", "lot", "cls"]).withColumn("own", F.struct("cls", F.pmod(F.xxhash64("tid"), "blocks").alias("block")))
+        placed = placed.drop("blocks").withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).join(blocks, ["one", "lot", "cls"])
+        placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("with", F.struct("cls", "block"))
+        placed = placed.select("tid", "grp", "one", "lot", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(shingles, "tid")
+        placed = placed.repartition("one", "lot", "i", "j").sortWithinPartitions("one", "lot", "i", "j")
+
+        def units(batches):
+            now, rows = None, []
+            for b in batches:
+                for r in b.to_pylist():
+                    if (unit := (r["one"], r["lot"], r["i"], r["j"])) != now:
+                        yield now, rows
+                        now, rows = unit, []
+                    rows.append(r)
+            yield now, rows
+
+        def meet(batches):
+            for unit, rows in units(batches):
+                if not rows:
+                    continue
+                left, right = (np.array([k for k, r in enumerate(rows) if r["own"] == side], np.int64) for side in unit[2:])
+                if not len(left) or not len(right):
+                    continue
+                found = linked([np.frombuffer(r["shingles"], "<u8") for r in rows], left, right, np.array([r["grp"] for r in rows]), similarity)
+                if found:
+                    u, v = ([rows[p[k]]["tid"] for p in found] for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        more = scratch.write("more", placed.mapInArrow(meet, "u long, v long"))
+        inner.drop("components")
+        group = components(edges.unionByName(more), scratch).withColumnRenamed("node", "tid")
+    named = texts.select("tid", "least").join(group, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
+    best = named.groupBy("component").agg(F.min("least").alias("best"))
+    stay = scratch.write("stay", best.select(F.col("best.key").alias("_key"), F.col("best.doc_id").alias("_id")))
+    scratch.drop("distinct", "members", "pairs", "need", "shingles", "edges", "held", "placed", "more", "components")
     text_key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     out = docs.withColumn("_text_key", text_key).join(stay, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     first = Window.partitionBy("_text_key", "doc_id").orderBy(F.lit(0))
