@@ -149,6 +149,19 @@ def test_dedup_of_texts_with_one_word_set(spark):
     assert want == [0, 1, *range(3, 15, 2)] and kept(spark, texts) == want
 
 
+def test_dedup_of_texts_with_blocks_added_or_cut(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(4000)]
+    texts = []
+    for n in [*range(20, 300, 14)]:
+        base = [rnd.choice(words) for _ in range(n)]
+        texts += [" ".join(base), " ".join(base + [rnd.choice(words) for _ in range(n // 6)]), " ".join(base[n // 7 :])]
+        other = [rnd.choice(words) for _ in range(13)]
+        texts += [" ".join(other), " ".join(other[:-1] + ["changed"])]
+    want = first_of_groups(texts)
+    assert len(want) < len(texts) / 2 and kept(spark, texts) == want
+
+
 def test_dedup_of_many_texts_with_one_core(spark, monkeypatch):
     """Most of these share their shingles and aren't similar; some pairs far from the first are."""
     monkeypatch.setattr(simhash, "LISTED", 4)
