@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -69,3 +71,9 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_last_stage_holds_the_sequences(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40")
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32 for r in rows)
