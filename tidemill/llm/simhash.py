@@ -227,6 +227,8 @@ KNOWN = 200_000
 LISTED = 256
 #: Texts in a block, and shingles of it that are counted at a time.
 BLOCK, COUNTED = 256, 8192
+#: Bits of a set's parities.
+PARITIES = 1024
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -251,6 +253,13 @@ def lead(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
     return np.concatenate([shingles[~hot], shingles[hot]])[: len(shingles) - math.ceil(similarity * len(shingles)) + 1]
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Of the shingles that fall on each bit, whether their number is odd. A shingle that only one of two sets has
+    changes one bit, so as many bits differ at most as there are such shingles."""
+    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles of many documents, ascending. They only set the order that lead() takes, so a sample is enough."""
 
@@ -321,13 +330,13 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 5
             found = [t.as_py() or "" for t in b.column("text")]
             keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in found]
             sets = [shingle_set(t, size) for t in found]
-            columns = [pa.array(keys, pa.binary()), pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([lead(x, common, similarity).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "key", "set", "n", "lead"])
+            columns = [pa.array(keys, pa.binary()), pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([lead(x, common, similarity).tobytes() for x in sets], pa.binary()), pa.array([parities(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "key", "set", "n", "lead", "parities"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary, parities binary")
     # equal sets together; tid numbers the distinct ones
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least")
-    texts = scratch.write("distinct", rows.groupBy("set").agg(least, F.first("n").alias("n"), F.first("lead").alias("lead")).withColumn("tid", F.monotonically_increasing_id()))
+    texts = scratch.write("distinct", rows.groupBy("set").agg(least, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("parities").alias("parities")).withColumn("tid", F.monotonically_increasing_id()))
 
     def spread(batches):
         for b in batches:
@@ -352,8 +361,20 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 5
     listed = few_share.join(other, "h").where((F.col("tid") < F.col("b")) & could).select(F.col("tid").alias("a"), "b")
     many_share = met.where(F.col("members") > LISTED)
     first = many_share.where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
-    pairs = scratch.write("pairs", listed.unionByName(first).distinct())
-    need = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
+    pairs = scratch.write("listed", listed.unionByName(first).distinct())
+
+    def may_be(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(len(b), PARITIES // 64) for c in ("x", "y"))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            ok = differ <= (1 - similarity) / (1 + similarity) * (b.column("n").to_numpy() + b.column("m").to_numpy()) + 1e-6
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    one = texts.select(F.col("tid").alias("a"), "n", F.col("parities").alias("x"))
+    two = texts.select(F.col("tid").alias("b"), F.col("n").alias("m"), F.col("parities").alias("y"))
+    pairs = scratch.write("pairs", pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(may_be, "a long, b long"))
+    scratch.drop("listed")
+    need = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).unionByName(many_share.select("tid")).distinct()
     need = scratch.write("need", need.join(texts.select("tid", "least"), "tid").select("tid", F.col("least.key").alias("key"), F.col("least.doc_id").alias("id")))
     few = need.count() <= sent
 
