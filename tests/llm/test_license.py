@@ -51,3 +51,9 @@ def test_expressions(text, labels, score):
 def test_tags():
     row = lic.scan_text("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nint x;")
     assert row[5] == "apache-2.0,bsd-3-clause,mit" and row[6] == pytest.approx(0.2) and row[7] == 1
+
+
+@pytest.mark.parametrize("tag", ["SPDX-LIcense-Identifier:", "SPDX-LicENSe-IDENTIFIER:", "SPDX-LICENSe-Identifier:"])
+def test_tags_in_any_case(tag):
+    row = lic.scan_text(f"// {tag} MIT OR Apache-2.0")
+    assert row[5] == "apache-2.0,mit" and row[7] == 1

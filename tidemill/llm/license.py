@@ -135,8 +135,8 @@ def scan_text(text: str) -> tuple:
         if is_base:
             base.add(label)
             starts.append(end - size)  # where the phrase's first word begins in flat
-    if b"icense" in raw or b"ICENSE" in raw:
-        lower = raw.translate(LOWER)
+    lower = raw.translate(LOWER)
+    if b"icense" in lower:
         for end, _ in tags.iter(lower.decode("latin-1")):
             line = lower[end + 1 :].split(b"\n", 1)[0]
             if found := evaluate([t.decode().rstrip(".-") for t in TOKEN.findall(line)]):
