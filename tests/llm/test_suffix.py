@@ -47,11 +47,11 @@ def corpus(seed):
     return rows
 
 
-def test_expansion_finds_the_repeated_windows():
+def test_expansion_finds_the_equal_windows():
     rnd = random.Random(4)
-    strings = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(20, 40))) for _ in range(60)]
+    strings = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randrange(20, 40))) for _ in range(60)]
     text = b"".join(strings)
-    at, group = suffix.classes(text, np.array([len(s) for s in strings]), 10)
+    at, group = suffix.classes(np.frombuffer(text, np.uint8), np.array([len(s) for s in strings]), 10)
     start, want = 0, {}
     for s in strings:
         for i in range(len(s) - 9):
@@ -60,27 +60,42 @@ def test_expansion_finds_the_repeated_windows():
     got = {}
     for a, g in zip(at.tolist(), group.tolist()):
         got.setdefault(g, []).append(a)
-    assert sorted(sorted(v) for v in got.values()) == sorted(v for v in want.values() if len(v) > 1)
+    assert sorted(sorted(v) for v in got.values()) == sorted(want.values())
+    assert group.tolist() == sorted(group.tolist())
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "\0a"])
+def test_common_prefixes_against_brute_force(alphabet):
+    rnd = random.Random(len(alphabet))
+    strings = [[ord(rnd.choice(alphabet)) + 1 for _ in range(rnd.randrange(1, 30))] for _ in range(40)] + [[98] * 25] * 3
+    sym = np.array([x for s in strings for x in [*s, 0]])
+    rest = np.array([len(s) - i for s in strings for i in range(len(s) + 1)])
+    sa = suffix.suffix_array(sym, rest, 12)
+    ends = [sym[i : i + r].tolist() for i, r in enumerate(rest)]
+    heads = [tuple(ends[i][:12]) for i in sa]
+    assert heads == sorted(heads)
+    common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    want = [0] + [min(12, common(ends[a], ends[b])) for a, b in zip(sa, sa[1:])]
+    assert suffix.common_prefixes(sym, sa, 12).tolist() == want
 
 
 def test_segments_cover_all_windows_in_blocks(monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 100)
     texts = [(t or "").encode() for _, t in corpus(1)]
     buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
-    first, last, at, h, ends, doc = suffix.segments(buf, off, 50)
+    first, last, h, ends, doc = suffix.segments(buf, off, 50)
     windows = [w for a, z in zip(first, last) for w in range(a, z + 1)]
     assert windows == [w for a, z in zip(off, off[1:]) for w in range(a, z - 49)]
     anchors = {}
-    for a, z, p, x, d in zip(first, last, at, h, doc):
+    for a, z, x, d in zip(first, last, h, doc):
         for w in range(a, z + 1):
-            assert off[d] <= w and w + 50 <= off[d + 1] and w <= p <= w + 34
-            assert anchors.setdefault(buf[w : w + 50].tobytes(), (p - w, x)) == (p - w, x)
+            assert off[d] <= w and w + 50 <= off[d + 1]
+            assert anchors.setdefault(buf[w : w + 50].tobytes(), x) == x
 
 
 @pytest.mark.parametrize(("seed", "hot"), [(0, 20_000), (1, 20_000), (2, 3), (3, 1)])
 def test_report_against_brute_force(spark, seed, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "HEAVY", 2)
     monkeypatch.setattr(suffix, "PIECE", 3000)
     monkeypatch.setattr(suffix, "SHARE", 9000)
     monkeypatch.setattr(suffix, "CHUNK", 1000)
@@ -96,6 +111,14 @@ def test_dedup_keeps_columns_and_characters(spark):
     rows = [(1, "one " + p, "k", 1), (2, p + " two", None, 1), (3, p, "gone", 1), (4, "", "e", 0), (5, None, "n", None)]
     df = spark.createDataFrame(rows, "doc_id int, text string, data string, n_chars long")
     got = {r.doc_id: (r.text, r.data, r.n_chars) for r in suffix.dedup(df).collect()}
-    assert got == {1: ("one " + p, "k", 84), 2: (" two", None, 4), 4: ("", "e", 0), 5: ("", "n", 0)}
+    assert got == {1: ("one " + p, "k", 84), 2: (" two", None, 4), 4: ("", "e", 0), 5: (None, "n", None)}
     assert suffix.report(df.limit(0)).count() == 0
     assert suffix.dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("least", [18, 33, 124])
+def test_other_lengths(spark, least):
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted([tuple(r) for r in suffix.report(df, least).collect()], key=key) == sorted(brute(rows, least), key=key)

@@ -6,50 +6,53 @@ Texts are taken as UTF-8, matches never cross documents, and strings are judged
 Work is split by content, so that equal strings meet in one task whatever documents they are in:
 
 1. Documents are written in pieces of some MB, which are never larger than that but for one very long text.
-2. Each window of `least` bytes has an anchor, the K-gram in it with the smallest hash, leftmost first. Each piece tells
-   each of its anchors once to the task that the hash names, and hears which of them other pieces have as well. So an
-   anchor that is in very many documents makes one entry for each piece.
-3. Consecutive windows with one anchor form a segment. The segments with anchors of several documents go, each
-   distinct one once for a piece with its smallest doc_id, to the task of the anchor.
-   An anchor with very many different segments is hot: its windows go one by one, each to the task that its own
-   content names.
-4. There, distinct segments whose anchor has others too are suffix-sorted. From the transform the intervals of
-   common strings are expanded backward, breadth first, STEP symbols at a time: members of an interval that are
-   preceded by the same symbols form an interval of the next length. Those alone in theirs are dropped. At length
-   `least` an interval is a class of equal windows, and has a smallest doc_id. A segment alone under its anchor has no
-   window in common with another, so its own smallest doc_id is that of all its windows.
-5. Each piece hears which windows of its segments also start in a smaller doc_id, and marks their bytes.
-
-Null texts are empty; null doc_ids count as larger than all others. Rows with the same doc_id don't remove each other's
-bytes. Extra columns are kept by dedup() and ignored by report(). An empty table gives nothing.
+2. Each window of `least` bytes has an anchor, the gram in it (see gram) with the smallest hash, leftmost first. Each
+   piece tells its distinct anchors to the tasks that the hashes name, and hears which of them other pieces have too.
+3. Consecutive windows with one anchor form a segment. The segments whose anchors several documents have go, each
+   distinct one once for a piece, to the task of the anchor, with the doc_ids and places where they stand. Of an anchor
+   that has very many different segments each window goes for itself, to the task that its own content names.
+4. There, distinct segments of anchors that have several are suffix-sorted and transformed. Common prefixes are derived
+   by increasing value: where two neighbours in suffix order differ after n symbols, the intervals that stand before
+   them break in two as well, so one backward step for all intervals at once gives the places with n + 1. At `least`
+   symbols it ends; what hasn't broken is a class of equal windows, and has a smallest doc_id.
+5. Each piece hears which of its windows also start in a smaller doc_id, and marks their bytes.
+
+Rows between tasks hold lists: all that a piece has for a task. So there are never more rows than anchors or segments,
+however many pieces and tasks there are.
+
+Null texts are empty and stay null in dedup(); null doc_ids count as larger than all others. Rows with the same doc_id
+don't remove each other's bytes; repeated rows lose the same. Extra columns, whatever their names, are kept by dedup()
+and ignored by report(). An empty table gives nothing. A very long text is one piece, and needs some 20 times its size
+of memory in its task.
 """
 
 from __future__ import annotations
 
 import struct
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, sha
+from tidemill.llm.common import Scratch, columns, free_name, sha
 
-K = 16
-STEP = 5
 PIECE = 4 << 20
-CHUNK = 1 << 20
+#: Windows whose anchors are looked for at a time: their arrays stay in a core's cache.
+CHUNK = 1 << 15
 #: Bytes of text whose anchors one task gets.
-SHARE = 12 << 20
-#: An anchor with so many different segments in a piece tells their number; from HOT on in all, its windows go to the
-#: tasks one by one, by their own content, and not by the anchor.
-HEAVY, HOT = 8, 20_000
+SHARE = 16 << 20
+#: From so many different segments on, counted by piece, an anchor's windows go one by one to the tasks that their
+#: content names. They are transformed there like all others.
+HOT = 20_000
 #: Symbols that are suffix-sorted at a time, unless one anchor has more.
-SYMBOLS = 3 << 19
+SYMBOLS = 30_000
 LAST = np.iinfo(np.int64).max
+STANDS = np.dtype([("doc", "<i8"), ("first", "<u4")])
+HIT = np.dtype([("first", "<u4"), ("windows", "<u8")])
 
 
 def squeeze(data: bytes) -> bytes:
@@ -60,15 +63,9 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Ascending numbers as differences, byte by byte of all of them."""
-    d = np.diff(x, prepend=np.uint64(0)).astype("<u8")
-    return squeeze(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def gram(least: int) -> int:
+    """Bytes of an anchor: nearly half a window, so that few anchors are shared by chance, also in a large corpus."""
+    return least // 2 - 1
 
 
 def slide(v: np.ndarray, width: int) -> np.ndarray:
@@ -81,66 +78,88 @@ def slide(v: np.ndarray, width: int) -> np.ndarray:
     return v
 
 
-def hashes(buf: np.ndarray) -> np.ndarray:
-    """Of each K-gram."""
-    h, done = buf.astype(np.uint64) + np.uint64(1), 1
-    while done < K:
-        x = h[:-done] * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(31)
-        h = x + h[done:]
-        done *= 2
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def hashes(buf: np.ndarray, k: int) -> np.ndarray:
+    """Of each run of k bytes, put together from runs of powers of two."""
+    n = len(buf) - k + 1
+    run, size, out, done = buf.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if k & size:
+            out = run[:n] if out is None else mixed(out) + run[done : done + n]
+            done += size
+        if done == k:
+            break
+        run = mixed(run[:-size]) + run[size:]
+        size *= 2
+    out = out * np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(33)
+    return out
 
 
 def segments(buf: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Segments of the documents buf[off[i]:off[i + 1]]: first and last window, place and hash (48 bits) of the anchor,
-    a hash of the segment's ends, document."""
+    """Segments of the documents buf[off[i]:off[i + 1]]: first and last window, hash of the anchor (48 bits), a hash of
+    the segment's ends (16 bits), document."""
     found = []
-    ends = off[1:-1]
+    ends, k = off[1:-1], gram(least)
+    number = np.arange(CHUNK + least, dtype=np.uint64)
     for a in range(0, max(0, len(buf) - least + 1), CHUNK):
         part = buf[a : a + CHUNK + least - 1]
-        h = hashes(part)
-        low = slide((h & np.uint64(0xFFFFFFFF << 32)) | np.arange(len(h), dtype=np.uint64), least - K + 1)
-        anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        h = hashes(part, k)
+        low = slide((h & np.uint64(0xFFFFFFFF << 32)) | number[: len(h)], least - k + 1)
+        anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int32)
         inside = np.ones(len(anchor), bool)
         near = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, a + len(part))]
-        cross = (near[:, None] - np.arange(1, least)).ravel() - a
-        inside[cross[(cross >= 0) & (cross < len(inside))]] = False
+        if len(near):
+            cross = (near[:, None] - np.arange(1, least)).ravel() - a
+            inside[cross[(cross >= 0) & (cross < len(inside))]] = False
         same = inside[1:] & inside[:-1] & (anchor[1:] == anchor[:-1])
         first = np.flatnonzero(inside & ~np.r_[False, same])
         last = np.flatnonzero(inside & ~np.r_[same, False])
-        at = anchor[first]
-        named = h[at] * np.uint64(0xD6E8FEB86659FD93)  # anchors have small hashes: mixed again, they spread over the tasks
+        named = h[anchor[first]] * np.uint64(0xD6E8FEB86659FD93)  # anchors have small hashes: mixed again, they spread over the tasks
         named ^= named >> np.uint64(32)
         named *= np.uint64(0xD6E8FEB86659FD93)
-        found.append((first + a, last + a, at + a, named >> np.uint64(16), h[first] * np.uint64(3) ^ h[last + least - K]))
+        both = (h[first] * np.uint64(3)) ^ h[last + least - k]
+        found.append((first + a, last + a, named >> np.uint64(16), both >> np.uint64(48)))
     if not found:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-    first, last, at, h, ends_ = map(np.concatenate, zip(*found))
-    return first, last, at, h, ends_, np.searchsorted(off, first, "right") - 1
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64))
+    first, last, h, ends_ = map(np.concatenate, zip(*found))
+    return first, last, h, ends_, np.searchsorted(off, first, "right") - 1
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def told(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors in ascending order, and which are in several documents."""
-    order = np.argsort(h, kind="stable")  # documents ascend already
-    h, doc = h[order], doc[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-    last = np.r_[first[1:], len(h)] - 1 if len(first) else first
-    return h[first], doc[first] != doc[last]
+def lists(stop: np.ndarray, values) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), values)
+
+
+def blobs(stop: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other in data; stop: where each ends, in elements, 0 first."""
+    return pa.Array.from_buffers(pa.binary(), len(stop) - 1, [None, pa.py_buffer((stop * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def heavy(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors with at least HEAVY different segments, and their numbers."""
-    order = np.lexsort((ends, h))
-    h, ends = h[order], ends[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (ends[1:] != ends[:-1])] if len(h) else np.empty(0, bool)
-    own, count = np.unique(h[new], return_counts=True)
-    return own[count >= HEAVY], count[count >= HEAVY]
+def starts_of(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.empty(0, np.int64)
+
+
+def told(h: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The distinct anchors of a piece, ascending: hash, number of different segments (15 bits), and whether they are
+    in several of its documents (lowest bit)."""
+    key = h << np.uint64(16) | ends
+    order = np.argsort(key)
+    key, doc, h = key[order], doc[order], h[order]
+    at = starts_of(h)
+    if not len(at):
+        return np.empty(0, np.uint64)
+    different = np.add.reduceat(np.r_[True, key[1:] != key[:-1]].astype(np.int64), at)
+    several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+    return h[at] << np.uint64(16) | np.minimum(different, (1 << 15) - 1).astype(np.uint64) << np.uint64(1) | several.astype(np.uint64)
 
 
 def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -151,325 +170,338 @@ def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Piece:
-    """Documents of one piece, with all that can be worked out from it."""
+    """Documents of one piece."""
 
-    def __init__(self, data: bytes, least: int):
+    def __init__(self, data: bytes):
         n, size = struct.unpack("<qq", data[:16])
         body = unsqueeze(data[16:])
         self.ids = np.frombuffer(body, "<i8", n)
         self.off = np.frombuffer(body, "<i8", n + 1, 8 * n)
-        self.text = body[8 * (2 * n + 1) :]
+        at = 8 * (2 * n + 1)
+        self.text = body[at : at + size]
         self.buf = np.frombuffer(self.text, np.uint8)
-        self.least = least
-        self.first, self.last, self.at, self.h, self.ends, self.doc = segments(self.buf, self.off, least)
-
-    def units(self, heard: list[dict]) -> tuple[np.ndarray, ...]:
-        """What is compared with other documents: segments whose anchors they have as well, and of hot anchors each
-        window for itself. First and last window, place of the anchor, its hash (0 for a window), document."""
-        h, several = told(self.h, self.doc)
-        known = np.concatenate([h[several], *(unpack(x["shared"]) for x in heard)])
-        hot = np.concatenate([np.empty(0, np.uint64), *(unpack(x["hot"]) for x in heard)])
-        known.sort()
-        hot.sort()
-        own = np.flatnonzero(among(self.h, known))
-        split = among(self.h[own], hot)
-        n = np.where(split, self.last[own] - self.first[own] + 1, 1)
-        row = np.repeat(np.arange(len(own)), n)
-        split, own = split[row], own[row]
-        first = self.first[own] + np.where(split, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), 0)
-        return first, np.where(split, first, self.last[own]), self.at[own], np.where(split, 0, self.h[own]), self.doc[own]
-
-    def entries(self, units: tuple[np.ndarray, ...], buckets: int) -> tuple[np.ndarray, dict[int, tuple[list, list, list]], np.ndarray]:
-        """The distinct units, by bucket: texts, places of the anchor, smallest doc_ids. Also for each unit its bucket
-        and its number there."""
-        first, last, at, h, doc = units
-        bucket = bucket_of(h, buckets)
-        text, least = self.text, self.least
-        own = np.flatnonzero(h == 0)  # windows go where their own content says
-        if len(own):
-            content = np.fromiter((xxhash.xxh64_intdigest(text[a : a + least]) for a in first[own].tolist()), np.uint64, len(own))
-            bucket[own] = bucket_of(content >> np.uint64(16), buckets)
-        by: dict[int, tuple[dict, list, list]] = {}
-        number = np.empty(len(first), np.int64)
-        rows = zip(bucket.tolist(), first.tolist(), last.tolist(), at.tolist(), self.ids[doc].tolist())
-        for i, (b, a, z, p, d) in enumerate(rows):
-            if b not in by:
-                by[b] = {}, [], []
-            seen, places, docs = by[b]
-            k = seen.setdefault(text[a : z + least], len(seen))
-            if k == len(docs):
-                docs.append(d)
-                places.append(p - a)
-            elif d < docs[k]:
-                docs[k] = d
-            number[i] = k
-        return bucket, {b: (list(seen), places, docs) for b, (seen, places, docs) in by.items()}, number
-
-
-def write_piece(ids: list, texts: list[bytes]) -> bytes:
-    off = np.cumsum([0] + [len(t) for t in texts], dtype="<i8")
-    known = np.array([LAST if i is None else i for i in ids], "<i8")
-    return struct.pack("<qq", len(ids), int(off[-1])) + squeeze(known.tobytes() + off.tobytes() + b"".join(texts))
-
+        self.rest = body[at + size :]
 
-def write_entries(texts: list[bytes], places: list[int], docs: list[int]) -> bytes:
-    size = np.array([len(t) for t in texts], "<u2")
-    return struct.pack("<q", len(texts)) + squeeze(np.array(docs, "<i8").tobytes() + size.tobytes() + np.array(places, "<u2").tobytes() + b"".join(texts))
 
-
-def read_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    n = struct.unpack("<q", data[:8])[0]
-    body = unsqueeze(data[8:])
-    return np.frombuffer(body, "<i8", n), np.frombuffer(body, "<u2", n, 8 * n).astype(np.int64), np.frombuffer(body, "<u2", n, 10 * n).astype(np.int64), body[12 * n :]
+def write_piece(ids: list, texts: list[bytes], rest: bytes) -> bytes:
+    off = np.cumsum([0] + [len(t) for t in texts], dtype="<i8")
+    known = np.array([LAST if i is None else i for i in ids], "<i8")
+    return struct.pack("<qq", len(ids), int(off[-1])) + squeeze(known.tobytes() + off.tobytes() + b"".join(texts) + rest)
+
+
+def units(p: Piece, said: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+    """What is compared with other documents: segments whose anchors they have as well, and of hot anchors each window
+    for itself. First and last window, hash that names the task, document."""
+    first, last, h, ends, doc = segments(p.buf, p.off, least)
+    line = told(h, ends, doc)
+    heard = np.frombuffer(b"".join(said), "<u8")
+    known = np.concatenate([line[(line & np.uint64(1)) > 0] >> np.uint64(16), heard >> np.uint64(1)])
+    hot = heard[(heard & np.uint64(1)) > 0] >> np.uint64(1)
+    known.sort()
+    hot.sort()
+    own = np.flatnonzero(among(h, known))
+    first, last, h, doc = first[own], last[own], h[own], doc[own]
+    if len(hot) and (split := among(h, hot)).any():
+        n = np.where(split, last - first + 1, 1)
+        row = np.repeat(np.arange(len(h)), n)
+        first = first[row] + np.where(split[row], np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), 0)
+        split, last, h, doc = split[row], last[row], h[row], doc[row]
+        last = np.where(split, first, last)
+        h[split] = np.fromiter((xxhash.xxh64_intdigest(p.text[a : a + least]) >> 16 for a in first[split].tolist()), np.uint64, int(split.sum()))
+    return first, last, h, doc
+
+
+def texts_of(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    stop = np.r_[0, np.cumsum(size)]
+    at = np.repeat(first - stop[:-1], size) + np.arange(stop[-1])
+    return blobs(stop, buf[at])
+
+
+SENT = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("h", pa.list_(pa.int64())), ("text", pa.list_(pa.binary())), ("stands", pa.list_(pa.binary()))])
+
+
+def entries(p: Piece, name: int, said: list[bytes], buckets: int, least: int):
+    """Rows of SENT: by bucket, the distinct units of a piece and where each stands."""
+    first, last, h, doc = units(p, said, least)
+    if not len(first):
+        return
+    coded = texts_of(p.buf, first, last - first + least).dictionary_encode()
+    code, text = coded.indices.to_numpy(), coded.dictionary
+    order = np.argsort(code, kind="stable")
+    at = starts_of(code[order])
+    stands = np.empty(len(order), STANDS)
+    stands["doc"], stands["first"] = p.ids[doc[order]], first[order]
+    h = h[order][at]
+    stands = blobs(np.r_[at, len(order)], stands)
+    order = np.argsort(h)
+    h = h[order]
+    bucket = bucket_of(h, buckets)
+    at = starts_of(bucket)
+    stop = np.r_[at, len(h)]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), name)), lists(stop, pa.array(h.view(np.int64))), lists(stop, text.take(pa.array(order))), lists(stop, stands.take(pa.array(order)))], schema=SENT)
+
+
+def ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys of so many bits, and the number of each key among the different ones, from 1 on."""
+    n = len(key)
+    wide = n.bit_length()
+    if bits + wide <= 64:  # key and place as one number: sorted by value
+        both = key << np.uint64(wide) | np.arange(n, dtype=np.uint64)
+        both.sort()
+        order, key = (both & np.uint64((1 << wide) - 1)).astype(np.int64), both >> np.uint64(wide)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.cumsum(np.r_[True, key[1:] != key[:-1]]).astype(np.uint64)
+    return order, rank
 
 
-def suffix_array(sym: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Places of sym (0 ends each string) sorted by the rest of their string, ties by place. rest: symbols before the
-    next 0. Prefixes of 7 symbols, then twice as many each time."""
+def suffix_array(sym: np.ndarray, rest: np.ndarray, least: int) -> np.ndarray:
+    """Places of sym (0 ends each string) sorted by the first `least` symbols at least of the rest of their string.
+    rest: symbols before the next 0. Some symbols first, then twice as many each time."""
     n = len(sym)
+    code = np.cumsum(np.bincount(sym, minlength=1) > 0) - 1  # the symbols in use, without gaps; 0 is
+    sym = code[sym].astype(np.uint64)
+    bits = int(code[-1]).bit_length()
+    done = min(max(1, (64 - n.bit_length()) // bits), least)
     key = np.zeros(n, np.uint64)
-    for j in range(7):
-        ahead = np.zeros(n, np.uint64)
-        ahead[: n - j] = sym[j:]
-        key = key << np.uint64(9) | np.where(rest > j, ahead, 0).astype(np.uint64)
-    done, longest = 7, int(rest.max(initial=0))
-    while True:
-        order = np.argsort(key, kind="stable")
-        if done > longest:
-            return order
-        ranked = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]]).astype(np.uint64)
+    for j in range(done):
+        key <<= np.uint64(bits)
+        key[: n - j] |= np.where(rest[: n - j] > j, sym[j:], 0)
+    order, rank = ranked(key, done * bits)
+    while done < least:
+        top = int(rank.max())
+        if top == n:
+            break
         after = np.zeros(n, np.uint64)
-        after[: n - done] = rank[done:]
-        key = rank << np.uint64(32) | np.where(rest >= done, after, 0).astype(np.uint64)
+        after[: n - done] = np.where(rest[: n - done] >= done, rank[done:], 0)
+        order, rank = ranked(rank << np.uint64(top.bit_length()) | after, 2 * top.bit_length())
         done *= 2
+    return order
+
 
+def common_prefixes(sym: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
+    """How many symbols the suffixes at sa[i - 1] and sa[i] have in common, up to `least`; no 0 equals another.
 
-def classes(text: bytes, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings lie one after the other in text. Returns windows (places in text, of which the string follows) and
-    their class numbers, ascending, of those windows of `least` bytes that occur more than once."""
-    stop = np.cumsum(size)
-    begin = stop - size
-    n = len(text) + len(size)
-    sym = np.zeros(n, np.uint16)
-    place = np.arange(len(text)) + np.repeat(np.arange(len(size)), size)  # of each byte, with a 0 after each string
-    sym[place] = np.frombuffer(text, np.uint8).astype(np.uint16) + 1
+    The transform tells what stands before each suffix; here it is used the other way, from a suffix to the one that
+    it stands before (`after`). A place is a break once its value is known. Values come by increasing size: suffixes
+    with the same first symbol differ after n + 1 if the shortest break between what follows them is n."""
+    n = len(sym)
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.arange(n, dtype=np.int32)
+    after = np.zeros(n, np.int32)
+    after[:] = rank[np.minimum(sa + 1, n - 1)]
+    head = sym[sa]
+    out = np.full(n, least, np.int32)
+    broken = np.r_[True, (head[1:] != head[:-1]) | (head[1:] == 0)]
+    out[broken] = 0
+    open_ = np.flatnonzero(~broken).astype(np.int32)
+    low, high = np.minimum(after[open_ - 1], after[open_]), np.maximum(after[open_ - 1], after[open_])
+    for value in range(1, least):
+        before = np.cumsum(broken, dtype=np.int32)
+        new = before[low] != before[high]
+        found = open_[new]
+        if not len(found):
+            break
+        broken[found] = True
+        out[found] = value
+        keep = ~new
+        open_, low, high = open_[keep], low[keep], high[keep]
+    return out
+
+
+def classes(flat: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of size[i] bytes lie one after the other in flat. Returns the windows (places in flat of which `least`
+    bytes follow in their string) in suffix order, and the number of their class, ascending: equal windows have one."""
+    n = len(flat) + len(size)
     owner = np.repeat(np.arange(len(size)), size + 1)
-    start = begin + np.arange(len(size))
-    before = np.arange(n) - start[owner]
-    rest = size[owner] - before
-    sa = suffix_array(sym, rest)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.arange(n)
-    # the transform: what stands before each suffix; here the STEP symbols from each place on, as a number
-    ahead = np.zeros(n, np.uint64)
-    for j in range(STEP):
-        ahead[: n - j] |= sym[j:].astype(np.uint64) << np.uint64(9 * (STEP - 1 - j))
-    now = rank[np.flatnonzero(before >= least)]  # the empty string, at the ends of windows
-    now.sort()
-    group = np.zeros(len(now), np.int64)
-    for _ in range(least // STEP):
-        at = sa[now] - STEP
-        back = rank[at]
-        order = np.argsort(back, kind="stable")
-        back, old, symbols = back[order], group[order], ahead[at[order]]
-        new = np.r_[True, (old[1:] != old[:-1]) | (symbols[1:] != symbols[:-1])] if len(back) else np.empty(0, bool)
-        group = np.cumsum(new)
-        many = np.bincount(group, minlength=1)[group] > 1
-        now, group = back[many], group[many]
-    at = sa[now]
-    return at - owner[at], group
-
-
-def smaller(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]], least: int) -> list[np.ndarray]:
-    """For each lot of segments: of each one a mask of its windows that also start in a doc_id smaller than its own."""
-    number: dict[bytes, int] = {}
-    docs, size, places, owner = [], [], [], []
-    for doc, n, place, text in entries:
-        stop = np.cumsum(n).tolist()
-        own = np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip([0, *stop], stop)), np.int64, len(n))
-        owner.append(own)
-        docs.append(doc)
-        size.append(n)
-        places.append(place)
-    every, own = np.concatenate(docs), np.concatenate(owner)
-    count = len(number)
+    start = np.cumsum(size + 1) - size - 1
+    rest = size[owner] - (np.arange(n) - start[owner])
+    sym = np.zeros(n, np.int64)
+    sym[rest > 0] = flat.astype(np.int64) + 1
+    sa = suffix_array(sym, rest, least)
+    group = np.cumsum(common_prefixes(sym, sa, least) < least)
+    window = rest[sa] >= least
+    at = sa[window]
+    return at - owner[at], group[window]
+
+
+def smaller(h: np.ndarray, text: pa.Array, stands: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
+    """text: strings in rows, h: by row; stands: where they stand, of row `row`. For each of these a mask of the
+    windows that also start in a doc_id smaller than its own."""
+    coded = text.dictionary_encode()
+    own, strings = coded.indices.to_numpy()[row], coded.dictionary
+    count = len(strings)
+    stop = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + count + 1].astype(np.int64)
+    flat = np.frombuffer(strings.buffers()[2], np.uint8) if stop[-1] else np.empty(0, np.uint8)
+    begin, length = stop[:-1], np.diff(stop)
+    lot = np.empty(count, np.uint64)
+    lot[coded.indices.to_numpy()] = h
+    doc = stands["doc"]
     low = np.full(count, LAST)
-    np.minimum.at(low, own, every)
-    length, place = np.empty(count, np.int64), np.empty(count, np.int64)
-    length[own], place[own] = np.concatenate(size), np.concatenate(places)
-    text = b"".join(number)
-    number.clear()
-    begin = np.cumsum(length) - length
-    # segments with others under their anchor; the anchor's K bytes as two numbers
-    flat = np.frombuffer(text, np.uint8)
-    gram = flat[(begin + place)[:, None] + np.arange(K)].copy().view("<u8")
-    order = np.lexsort((gram[:, 1], gram[:, 0]))
-    new = np.r_[True, (gram[order][1:] != gram[order][:-1]).any(1)]
-    lot = np.cumsum(new) - 1
-    many = np.zeros(count, bool)
-    # single windows are distinct by now; a lot that has only these needs no more
-    longest = np.maximum.reduceat(length[order], np.flatnonzero(new))
-    many[order] = ((np.bincount(lot) > 1) & (longest > least))[lot]
+    np.minimum.at(low, own, doc)
     windows = length - least + 1
     first = np.cumsum(windows) - windows
     least_doc = np.repeat(low, windows)
-    pick = order[many[order]]  # anchor by anchor
+    order = np.argsort(lot)
+    at = starts_of(lot[order])
+    many = np.repeat(np.diff(np.r_[at, count]) > 1, np.diff(np.r_[at, count]))  # a string alone under its anchor has no window in common with others
+    pick, anchor = order[many], lot[order][many]
     done = np.cumsum(length[pick] + 1)
-    anchor = lot[many[order]]
     a = 0
     while a < len(pick):  # some whole anchors at a time
         z = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + SYMBOLS, "right")))
-        z = int(np.searchsorted(anchor, anchor[z - 1], "right"))
-        own, a = pick[a:z], z
-        stop = np.cumsum(length[own])
-        inner = np.repeat(begin[own] - np.r_[0, stop[:-1]], length[own]) + np.arange(stop[-1])
-        at, group = classes(flat[inner].tobytes(), length[own], least)
-        if len(at):
-            string = np.searchsorted(stop, at, "right")
-            window = first[own][string] + at - (stop[string] - length[own][string])
-            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            best = np.minimum.reduceat(low[own][string], start)
-            least_doc[window] = np.repeat(best, np.diff(np.r_[start, len(group)]))
-    out = []
-    for doc, o in zip(docs, owner):
-        n = windows[o]
-        row = np.repeat(np.arange(len(o)), n)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        hit = (least_doc[first[o][row] + offset] < doc[row]).astype(np.uint64) << offset.astype(np.uint64)
-        out.append(np.bitwise_or.reduceat(hit, np.cumsum(n) - n) if len(o) else np.empty(0, np.uint64))
+        if z < len(pick) and anchor[z] == anchor[z - 1]:
+            whole = int(np.searchsorted(anchor, anchor[z - 1]))
+            z = whole if whole > a else int(np.searchsorted(anchor, anchor[z - 1], "right"))
+        part, a = pick[a:z], z
+        end = np.cumsum(length[part])
+        inner = np.repeat(begin[part] - np.r_[0, end[:-1]], length[part]) + np.arange(end[-1])
+        place, group = classes(flat[inner], length[part], least)
+        string = np.searchsorted(end, place, "right")
+        window = first[part][string] + place - (end[string] - length[part][string])
+        start = starts_of(group)
+        best = np.minimum.reduceat(low[part][string], start)
+        least_doc[window] = np.repeat(best, np.diff(np.r_[start, len(group)]))
+    out = np.zeros(len(own), np.uint64)
+    for offset in range(int(windows.max(initial=0))):
+        here = np.flatnonzero(windows[own] > offset)
+        out[here] |= (least_doc[first[own[here]] + offset] < doc[here]).astype(np.uint64) << np.uint64(offset)
     return out
 
 
-def covered(piece: Piece, heard: list[dict], masks: dict[int, bytes], buckets: int) -> np.ndarray:
+def covered(p: Piece, heard: list[bytes], least: int) -> np.ndarray:
     """Which bytes of a piece are removed."""
-    first, last, _, _, doc = units = piece.units(heard)
-    bucket, by, number = piece.entries(units, buckets)
-    low, mask = np.empty(len(first), np.int64), np.empty(len(first), np.uint64)
-    for b, (_, _, docs) in by.items():
-        here = np.flatnonzero(bucket == b)
-        low[here] = np.array(docs)[number[here]]
-        mask[here] = np.frombuffer(unsqueeze(masks[b]), "<u8")[number[here]]
-    mask[piece.ids[doc] > low] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    size = last - first + 1
-    row = np.repeat(np.arange(len(first)), size)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    start = (first[row] + offset)[(mask[row] >> offset.astype(np.uint64) & np.uint64(1)).astype(bool)]
-    edge = np.zeros(len(piece.buf) + 1, np.int32)
-    edge[start] = 1
-    np.subtract.at(edge, start + piece.least, 1)
+    hits = np.frombuffer(b"".join(heard), HIT)
+    first, windows = hits["first"].astype(np.int64), hits["windows"]
+    edge = np.zeros(len(p.buf) + 1, np.int32)
+    for offset in range(least - gram(least) + 1):
+        start = first[(windows >> np.uint64(offset) & np.uint64(1)) > 0] + offset
+        edge[start] += 1  # a window is in one unit only
+        edge[start + least] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
-def by_bucket(batches, names):
-    """The rows of each bucket, in partitions sorted by it."""
-    rows = ((r["bucket"], r) for b in batches for r in b.select(names).to_pylist())
-    for bucket, group in groupby(rows, key=lambda x: x[0]):
-        yield bucket, [r for _, r in group]
+def gathered(batches, names: list[str]) -> pa.Table | None:
+    """All rows of a partition; its size is set by the number of buckets."""
+    found = [b.select(names) for b in batches if len(b)]
+    return pa.Table.from_batches(found).combine_chunks() if found else None
+
 
+def whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
-def marked(docs: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """piece, data, rest, heard, masks: all that covered() asks for; and the number of buckets. rest: the columns of
-    the piece's rows other than text, as an Arrow stream."""
-    if least < 2 * K or least % STEP or least - K + 1 > 64:
-        raise ValueError(f"least must be a multiple of {STEP} from {2 * K} to {K + 63}")
+
+def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """data, hits: pieces (see Piece; rest: the columns of the piece's rows other than text, as an Arrow stream, with
+    a last column that tells null texts) and what covered() asks for."""
+    k = gram(least)
+    if k < 8 or least - k + 1 > 64:
+        raise ValueError("least must be from 18 to 124")
     names = [c for c in docs.columns if c != "text"]
+    null = free_name(docs, "null")
 
     def cut(batches):
         def piece(rows, texts):
-            ids = rows.column("doc_id").cast(pa.int64()).to_pylist()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as w:
                 w.write_batch(rows)
-            return pa.RecordBatch.from_arrays([pa.array([write_piece(ids, texts)], pa.binary()), pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary()), pa.array([sum(map(len, texts))], pa.int64())], names=["data", "rest", "size"])
+            ids = rows.column("doc_id").cast(pa.int64()).to_pylist()
+            data = write_piece(ids, [t or b"" for t in texts], sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([sum(len(t or b"") for t in texts)], pa.int64())], names=["data", "size"])
 
         for b in batches:
-            rows, texts, a, size = b.select(names), [], 0, 0
+            rows, texts, a, size = b.select(names).append_column(null, b.column("text").is_null()), [], 0, 0
             for i, t in enumerate(b.column("text")):
-                t = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                if texts and size + len(t) > PIECE:
+                t = t.as_py()
+                t = None if t is None else t.encode("utf-8", "surrogatepass")
+                if texts and size + len(t or b"") > PIECE:
                     yield piece(rows.slice(a, i - a), texts)
                     texts, a, size = [], i, 0
                 texts.append(t)
-                size += len(t)
+                size += len(t or b"")
             if texts:
                 yield piece(rows.slice(a, len(b) - a), texts)
 
-    cut_docs = docs.select(*names, "text").mapInArrow(cut, "data binary, rest binary, size long").withColumn("piece", F.monotonically_increasing_id())
+    cut_docs = docs.select(*columns(docs, "text"), "text").mapInArrow(cut, "data binary, size long").withColumn("piece", F.monotonically_increasing_id())
     pieces = scratch.write("pieces", cut_docs)
     total = pieces.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // SHARE), min(2 * docs.sparkSession.sparkContext.defaultParallelism, total // (1 << 20)))
-
-    told_names = ["bucket", "piece", "blob", "heavy", "count"]
+    pieces = pieces.select("piece", "data")  # the same columns for both joins: their exchange is one
 
     def tell(batches):
         for b in batches:
             for name, data in zip(b.column("piece").to_pylist(), b.column("data")):
-                p = Piece(data.as_py(), least)
-                h, several = told(p.h, p.doc)
-                edge = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-                line = h << np.uint64(1) | several.astype(np.uint64)
-                large, count = heavy(p.h, p.ends)
-                cut_at = np.searchsorted(bucket_of(large, buckets), np.arange(buckets + 1))
-                out = [(k, name, pack(line[x:y]), pack(large[v:w]), squeeze(count[v:w].astype("<i8").tobytes())) for k, (x, y, v, w) in enumerate(zip(edge, edge[1:], cut_at, cut_at[1:])) if y > x]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=told_names)
+                p = Piece(data.as_py())
+                _, _, h, ends, doc = segments(p.buf, p.off, least)
+                line = told(h, ends, doc)
+                bucket = bucket_of(line >> np.uint64(16), buckets)
+                at = starts_of(bucket)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), name)), blobs(np.r_[at, len(line)], line) if len(at) else pa.array([], pa.binary())], names=["bucket", "piece", "lines"])
 
     def answer(batches):
-        for bucket, rows in by_bucket(batches, told_names):
-            lots = [unpack(r["blob"]) for r in rows]
-            line = np.concatenate(lots)
-            who = np.repeat(np.arange(len(lots)), [len(x) for x in lots])
-            h = line >> np.uint64(1)
-            order = np.argsort(h, kind="stable")
-            h, who, knows = h[order], who[order], (line[order] & np.uint64(1)).astype(bool)
-            new = np.r_[True, h[1:] != h[:-1]]
-            first = np.flatnonzero(new)
-            pieces_of = np.diff(np.r_[first, len(h)])
-            number = pieces_of.copy()  # of different segments, at least
-            for r in rows:
-                np.add.at(number, np.searchsorted(h[first], unpack(r["heavy"])), np.frombuffer(unsqueeze(r["count"]), "<i8"))
-            lot = np.cumsum(new) - 1
-            hot = (number >= HOT)[lot]
-            say = (pieces_of > 1)[lot] & ~knows
-            shared, hot = ((h[x][np.argsort(who[x], kind="stable")], np.searchsorted(np.sort(who[x]), np.arange(len(lots) + 1))) for x in (say, hot))
-            for i, r in enumerate(rows):
-                mine = [x[e[i] : e[i + 1]] for x, e in (shared, hot)]
-                if len(mine[0]) or len(mine[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array([r["piece"]], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in mine)], names=["piece", "shared", "hot"])
-
-    anchors = pieces.select("piece", "data").mapInArrow(tell, "bucket long, piece long, blob binary, heavy binary, count binary")
-    heard = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "piece long, shared binary, hot binary")
-    heard = scratch.write("heard", heard.groupBy("piece").agg(F.collect_list(F.struct("shared", "hot")).alias("heard")))  # no more than a piece has anchors
+        rows = gathered(batches, ["piece", "lines"])
+        if rows is None:
+            return
+        lines = whole(rows.column("lines"))
+        line = np.frombuffer(b"".join(lines.to_pylist()), "<u8")
+        who = np.repeat(rows.column("piece").to_numpy(), [len(x.as_buffer()) // 8 for x in lines])
+        order = np.argsort(line)
+        line, who = line[order], who[order]
+        h = line >> np.uint64(16)
+        at = starts_of(h)
+        pieces_of = np.diff(np.r_[at, len(h)])
+        different = np.add.reduceat((line >> np.uint64(1) & np.uint64(0x7FFF)).astype(np.int64), at)
+        hot = np.repeat(different >= HOT, pieces_of)
+        say = np.repeat(pieces_of > 1, pieces_of) & ~(line & np.uint64(1)).astype(bool) | hot
+        said, who = (h << np.uint64(1) | hot.astype(np.uint64))[say], who[say]
+        order = np.argsort(who, kind="stable")
+        said, who = said[order], who[order]
+        at = starts_of(who)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(who[at]), blobs(np.r_[at, len(who)], said)], names=["piece", "said"])
+
+    lines = pieces.mapInArrow(tell, "bucket long, piece long, lines binary")
+    heard = lines.repartition(buckets, "bucket").mapInArrow(answer, "piece long, said binary")
+    heard = scratch.write("heard", heard.groupBy("piece").agg(F.collect_list("said").alias("said")))  # no more than a piece has anchors
 
     def send(batches):
         for b in batches:
-            for name, data, said in zip(b.column("piece").to_pylist(), b.column("data"), b.column("heard")):
-                p = Piece(data.as_py(), least)
-                for k, lot in p.entries(p.units(said.as_py() or []), buckets)[1].items():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name], pa.int64()), pa.array([write_entries(*lot)], pa.binary())], names=["bucket", "piece", "blob"])
+            for name, data, said in zip(b.column("piece").to_pylist(), b.column("data"), b.column("said")):
+                yield from entries(Piece(data.as_py()), name, said.as_py() or [], buckets, least)
 
     def compare(batches):
-        for bucket, rows in by_bucket(batches, ["bucket", "piece", "blob"]):
-            for r, mask in zip(rows, smaller([read_entries(r["blob"]) for r in rows], least)):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([r["piece"]], pa.int64()), pa.array([squeeze(mask.astype("<u8").tobytes())], pa.binary())], names=["bucket", "piece", "blob"])
+        rows = gathered(batches, ["piece", "h", "text", "stands"])
+        if rows is None:
+            return
+        h, text, stands = (whole(rows.column(c)) for c in ("h", "text", "stands"))
+        n = np.diff(np.asarray(h.offsets))
+        stands = stands.flatten()
+        each = np.diff(np.frombuffer(stands.buffers()[1], np.int32)[stands.offset : stands.offset + len(stands) + 1]) // STANDS.itemsize
+        who = np.repeat(np.repeat(rows.column("piece").to_numpy(), n), each)
+        stands = np.frombuffer(b"".join(stands.to_pylist()), STANDS)
+        mask = smaller(h.flatten().to_numpy().view(np.uint64), text.flatten(), stands, np.repeat(np.arange(len(each)), each), least)
+        hit = np.flatnonzero(mask)
+        hit = hit[np.argsort(who[hit], kind="stable")]
+        out = np.empty(len(hit), HIT)
+        out["first"], out["windows"] = stands["first"][hit], mask[hit]
+        at = starts_of(who[hit])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(who[hit][at]), blobs(np.r_[at, len(hit)], out)], names=["piece", "hits"])
 
-    known = pieces.select("piece", "data").join(heard, "piece", "left")
-    sent = known.mapInArrow(send, "bucket long, piece long, blob binary")
-    masks = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "bucket long, piece long, blob binary")
-    masks = scratch.write("masks", masks.groupBy("piece").agg(F.collect_list(F.struct("bucket", "blob")).alias("masks")))
-    return pieces.drop("size").join(heard, "piece", "left").join(masks, "piece", "left"), buckets
+    sent = pieces.join(heard, "piece", "left").mapInArrow(send, "bucket long, piece long, h array<long>, text array<binary>, stands array<binary>")
+    hits = sent.repartition(buckets, "bucket").mapInArrow(compare, "piece long, hits binary")
+    hits = hits.groupBy("piece").agg(F.collect_list("hits").alias("hits"))  # no more than a piece has segments
+    return pieces.join(hits, "piece", "left").select("data", "hits")
 
 
-def opened(batches, least: int, buckets: int):
+def opened(batches, least: int):
     """Pieces with the bytes they lose, and the other columns of their rows."""
     for b in batches:
-        for r in range(len(b)):
-            one = {c: b.column(c)[r].as_py() for c in ("data", "rest", "heard", "masks")}
-            p = Piece(one["data"], least)
-            masks = {m["bucket"]: m["blob"] for m in one["masks"] or []}
-            yield p, covered(p, one["heard"] or [], masks, buckets), pa.ipc.open_stream(unsqueeze(one["rest"])).read_next_batch()
+        for data, hits in zip(b.column("data"), b.column("hits")):
+            p = Piece(data.as_py())
+            yield p, covered(p, hits.as_py() or [], least), pa.ipc.open_stream(p.rest).read_next_batch()
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -478,45 +510,46 @@ REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def report(docs: DataFrame, least: int = 50) -> DataFrame:
     """Of each row: what it loses, and the hash of the bytes that are left."""
     scratch = Scratch(docs.sparkSession)
-    rows, buckets = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, scratch)
+    rows = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, scratch)
     names = [x.split(" ")[0] for x in REPORT.split(", ")]
 
     def run(batches):
-        for p, lost, rest in opened(batches, least, buckets):
+        for p, lost, rest in opened(batches, least):
             out = []
             for a, z in zip(p.off.tolist(), p.off[1:].tolist()):
                 gone = lost[a:z]
-                out.append((z - a, int(gone.sum()), int((gone[1:] > gone[:-1]).sum()) + int(z > a and gone[0]), sha(p.buf[a:z][~gone].tobytes())))
+                out.append((z - a, int(np.count_nonzero(gone)), int(np.count_nonzero(gone[1:] > gone[:-1])) + int(z > a and gone[0]), sha(p.buf[a:z][~gone].tobytes())))
             yield pa.RecordBatch.from_arrays([rest.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=names)
 
     out = scratch.write("report", rows.mapInArrow(run, REPORT))
-    scratch.drop("pieces", "heard", "masks")
+    scratch.drop("pieces", "heard")
     return out
 
 
 def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     """docs without the repeated passages. A character goes if all its bytes do; a text that loses all of it goes as
-    a row. n_chars, if there is such a column, is counted again."""
+    a row. n_chars, if there is such a column, is counted again where the text isn't null."""
     scratch = Scratch(docs.sparkSession)
     plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows, buckets = marked(plain, least, scratch)
-    schema = plain.schema
+    rows = marked(plain, least, scratch)
     names = plain.columns
+    null = free_name(plain, "null")
 
     def run(batches):
-        for p, lost, rest in opened(batches, least, buckets):
+        for p, lost, rest in opened(batches, least):
             lead = np.flatnonzero((p.buf & 0xC0) != 0x80)
             kept = ~lost
             if len(lead):  # texts begin with whole characters
                 kept = np.repeat(np.maximum.reduceat(kept, lead), np.diff(np.r_[lead, len(kept)]))
             texts, stay = [], []
-            for a, z in zip(p.off.tolist(), p.off[1:].tolist()):
+            for a, z, none in zip(p.off.tolist(), p.off[1:].tolist(), rest.column(null).to_pylist()):
                 t = p.buf[a:z][kept[a:z]].tobytes()
                 stay.append(bool(t) or a == z)
-                texts.append(t.decode("utf-8", "surrogatepass"))
-            columns = {c: rest.column(c) for c in rest.schema.names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names).filter(pa.array(stay))
-
-    return rows.mapInArrow(run, schema)
+                texts.append(None if none else t.decode("utf-8", "surrogatepass"))
+            found = {c: rest.column(c) for c in rest.schema.names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                counted = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(found["n_chars"].type)
+                found["n_chars"] = pc.coalesce(counted, found["n_chars"])
+            yield pa.RecordBatch.from_arrays([found[c] for c in names], names=names).filter(pa.array(stay))
+
+    return rows.mapInArrow(run, plain.schema)
