@@ -50,6 +50,8 @@ SHARE = 16 << 20
 HOT = 20_000
 #: Symbols that are suffix-sorted at a time, unless one anchor has more.
 SYMBOLS = 30_000
+#: Bytes of a list from which on it is squeezed.
+SMALL = 2048
 LAST = np.iinfo(np.int64).max
 STANDS = np.dtype([("doc", "<i8"), ("first", "<u4")])
 HIT = np.dtype([("first", "<u4"), ("windows", "<u8")])
@@ -63,6 +65,26 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def dense(data: bytes) -> bytes:
+    """Squeezed if that is worth it; the length of data tells."""
+    return squeeze(data) if len(data) > SMALL else data
+
+
+def undense(data: bytes, size: int) -> bytes:
+    return unsqueeze(data) if size > SMALL else data
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte of all of them."""
+    d = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    return dense(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unplanes(data: bytes, n: int) -> np.ndarray:
+    d = np.frombuffer(undense(data, 8 * n), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(d.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def gram(least: int) -> int:
     """Bytes of an anchor: nearly half a window, so that few anchors are shared by chance, also in a large corpus."""
     return least // 2 - 1
@@ -135,10 +157,6 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def lists(stop: np.ndarray, values) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), values)
-
-
 def blobs(stop: np.ndarray, data: np.ndarray) -> pa.Array:
     """Binary values that lie one after the other in data; stop: where each ends, in elements, 0 first."""
     return pa.Array.from_buffers(pa.binary(), len(stop) - 1, [None, pa.py_buffer((stop * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
@@ -217,7 +235,15 @@ def texts_of(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
     return blobs(stop, buf[at])
 
 
-SENT = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("h", pa.list_(pa.int64())), ("text", pa.list_(pa.binary())), ("stands", pa.list_(pa.binary()))])
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each binary value ends in the flat bytes, 0 first, and these."""
+    stop = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    flat = np.frombuffer(texts.buffers()[2], np.uint8)[stop[0] : stop[-1]] if stop[-1] > stop[0] else np.empty(0, np.uint8)
+    return stop - stop[0], flat
+
+
+SENT = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("h", pa.binary()), ("size", pa.binary()), ("times", pa.binary()), ("stands", pa.binary()), ("text", pa.binary())])
+SENT_SQL = "bucket long, piece long, h binary, size binary, times binary, stands binary, text binary"
 
 
 def entries(p: Piece, name: int, said: list[bytes], buckets: int, least: int):
@@ -231,14 +257,18 @@ def entries(p: Piece, name: int, said: list[bytes], buckets: int, least: int):
     at = starts_of(code[order])
     stands = np.empty(len(order), STANDS)
     stands["doc"], stands["first"] = p.ids[doc[order]], first[order]
-    h = h[order][at]
+    h, times = h[order][at], np.diff(np.r_[at, len(order)])
     stands = blobs(np.r_[at, len(order)], stands)
     order = np.argsort(h)
-    h = h[order]
+    h, times = h[order], times[order].astype("<u4")
+    size = (last - first + least).astype("<u2")[np.unique(code, return_index=True)[1]][order]
+    stands, text = stands.take(pa.array(order)), text.take(pa.array(order))
     bucket = bucket_of(h, buckets)
     at = starts_of(bucket)
     stop = np.r_[at, len(h)]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), name)), lists(stop, pa.array(h.view(np.int64))), lists(stop, text.take(pa.array(order))), lists(stop, stands.take(pa.array(order)))], schema=SENT)
+    (stand_stop, stands), (text_stop, text) = bytes_of(stands), bytes_of(text)
+    texts = [dense(text[a:z].tobytes()) for a, z in zip(text_stop[stop], text_stop[stop[1:]])]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), name)), blobs(stop, h), blobs(stop, size), blobs(stop, times), blobs(stand_stop[stop], stands), pa.array(texts, pa.binary())], schema=SENT)
 
 
 def ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -333,8 +363,7 @@ def smaller(h: np.ndarray, text: pa.Array, stands: np.ndarray, row: np.ndarray,
     coded = text.dictionary_encode()
     own, strings = coded.indices.to_numpy()[row], coded.dictionary
     count = len(strings)
-    stop = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + count + 1].astype(np.int64)
-    flat = np.frombuffer(strings.buffers()[2], np.uint8) if stop[-1] else np.empty(0, np.uint8)
+    stop, flat = bytes_of(strings)
     begin, length = stop[:-1], np.diff(stop)
     lot = np.empty(count, np.uint64)
     lot[coded.indices.to_numpy()] = h
@@ -438,15 +467,17 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
                 line = told(h, ends, doc)
                 bucket = bucket_of(line >> np.uint64(16), buckets)
                 at = starts_of(bucket)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), name)), blobs(np.r_[at, len(line)], line) if len(at) else pa.array([], pa.binary())], names=["bucket", "piece", "lines"])
+                stop = np.r_[at, len(line)].tolist()
+                lots = [planes(line[a:z]) for a, z in zip(stop, stop[1:])] if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), name)), pa.array(np.diff(np.r_[at, len(line)])[: len(at)]), pa.array(lots, pa.binary())], names=["bucket", "piece", "n", "lines"])
 
     def answer(batches):
-        rows = gathered(batches, ["piece", "lines"])
+        rows = gathered(batches, ["piece", "n", "lines"])
         if rows is None:
             return
-        lines = whole(rows.column("lines"))
-        line = np.frombuffer(b"".join(lines.to_pylist()), "<u8")
-        who = np.repeat(rows.column("piece").to_numpy(), [len(x.as_buffer()) // 8 for x in lines])
+        n = rows.column("n").to_numpy()
+        line = np.concatenate([unplanes(x.as_py(), k) for x, k in zip(rows.column("lines"), n.tolist())])
+        who = np.repeat(rows.column("piece").to_numpy(), n)
         order = np.argsort(line)
         line, who = line[order], who[order]
         h = line >> np.uint64(16)
@@ -462,7 +493,7 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(who[at]), blobs(np.r_[at, len(who)], said)], names=["piece", "said"])
 
-    lines = pieces.mapInArrow(tell, "bucket long, piece long, lines binary")
+    lines = pieces.mapInArrow(tell, "bucket long, piece long, n long, lines binary")
     heard = lines.repartition(buckets, "bucket").mapInArrow(answer, "piece long, said binary")
     heard = scratch.write("heard", heard.groupBy("piece").agg(F.collect_list("said").alias("said")))  # no more than a piece has anchors
 
@@ -472,16 +503,18 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
                 yield from entries(Piece(data.as_py()), name, said.as_py() or [], buckets, least)
 
     def compare(batches):
-        rows = gathered(batches, ["piece", "h", "text", "stands"])
+        rows = gathered(batches, SENT.names[1:])
         if rows is None:
             return
-        h, text, stands = (whole(rows.column(c)) for c in ("h", "text", "stands"))
-        n = np.diff(np.asarray(h.offsets))
-        stands = stands.flatten()
-        each = np.diff(np.frombuffer(stands.buffers()[1], np.int32)[stands.offset : stands.offset + len(stands) + 1]) // STANDS.itemsize
-        who = np.repeat(np.repeat(rows.column("piece").to_numpy(), n), each)
-        stands = np.frombuffer(b"".join(stands.to_pylist()), STANDS)
-        mask = smaller(h.flatten().to_numpy().view(np.uint64), text.flatten(), stands, np.repeat(np.arange(len(each)), each), least)
+        h, size, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("h", "<u8"), ("size", "<u2"), ("times", "<u4")))
+        stands = np.frombuffer(b"".join(rows.column("stands").to_pylist()), STANDS)
+        n = np.array([len(x.as_buffer()) // 8 for x in whole(rows.column("h"))])
+        each = np.add.reduceat(size.astype(np.int64), np.cumsum(n) - n)
+        text = b"".join(undense(t, k) for t, k in zip(rows.column("text").to_pylist(), each.tolist()))
+        text = blobs(np.r_[0, np.cumsum(size, dtype=np.int64)], np.frombuffer(text, np.uint8))
+        row = np.repeat(np.arange(len(h)), times)
+        who = np.repeat(rows.column("piece").to_numpy(), n)[row]
+        mask = smaller(h, text, stands, row, least)
         hit = np.flatnonzero(mask)
         hit = hit[np.argsort(who[hit], kind="stable")]
         out = np.empty(len(hit), HIT)
@@ -490,7 +523,7 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(who[hit][at]), blobs(np.r_[at, len(hit)], out)], names=["piece", "hits"])
 
-    sent = pieces.join(heard, "piece", "left").mapInArrow(send, "bucket long, piece long, h array<long>, text array<binary>, stands array<binary>")
+    sent = pieces.join(heard, "piece", "left").mapInArrow(send, SENT_SQL)
     hits = sent.repartition(buckets, "bucket").mapInArrow(compare, "piece long, hits binary")
     hits = hits.groupBy("piece").agg(F.collect_list("hits").alias("hits"))  # no more than a piece has segments
     return pieces.join(hits, "piece", "left").select("data", "hits")
