@@ -44,8 +44,10 @@ def edited(rnd, line, n):
     return "".join(s)
 
 
-@pytest.mark.parametrize("most", [1, 2, 3])
-def test_against_all_pairs(spark, most):
+@pytest.mark.parametrize(("most", "hot", "sent"), [(1, 256, 100), (2, 256, 0), (3, 256, 100), (1, 1, 100), (2, 1, 0), (3, 2, 100)])
+def test_against_all_pairs(spark, most, hot, sent, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "SENT", sent)
     rnd = random.Random(most)
     base = ["".join(rnd.choice("ab é") for _ in range(rnd.randrange(1, 60))) for _ in range(25)]
     rows = []
@@ -63,6 +65,41 @@ def test_against_all_pairs(spark, most):
     assert seen == {k: {n for n, _ in v} for k, v in want.items()}
     one = {r.doc_id: r for r in got if r.doc_id not in (None, 3, rows[5][0])}
     assert all(one[k[1]].n_near == sum(x for _, x in v) for k, v in want.items() if k[1] in one and not k[0])
+    each = lambda text: {x.strip(" \t\r\x0b\x0c") for x in (text or "").split("\n")} - {""}
+    every = set().union(*(each(t) for _, t in rows))
+    texts = dict(rows)
+    for d, r in one.items():
+        assert r.n_links == sum(a != b and min(len(a), len(b)) >= 12 and abs(len(a) - len(b)) <= most and distance(a, b) <= most for a in lines_of(texts[d]) for b in every), d
+
+
+def lines_of(text):
+    return [x for x in (y.strip(" \t\r\x0b\x0c") for y in (text or "").split("\n")) if x]
+
+
+def test_many_lines_that_share_a_segment(spark, monkeypatch):
+    """A segment of 4,000 different lines makes about as many pairs as there are near ones, not their square."""
+    rnd = random.Random(7)
+    say = lambda n: "".join(rnd.choice("etaniorshlmc") for _ in range(n))
+    middle = say(30)
+    rows = [(i, say(30) + middle + say(30)) for i in range(4000)]
+    rows += [(5000 + i, edited(rnd, rows[i][1], 2)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written = {}
+    write = lines.Scratch.write
+    monkeypatch.setattr(lines.Scratch, "write", lambda self, name, df: written.setdefault(name, write(self, name, df).cache()))
+    got = {r.doc_id: r.removed for r in lines.report(df).collect()}
+    assert {d for d, r in got.items() if r} == {5000 + i for i in range(50)}
+    assert written["hot"].count() >= 1
+    assert written["met"].count() < 500
+
+
+@pytest.mark.parametrize("name", ["_key", "_id", "_removed", "_text", "row", "row_key", "row_id", "kept", "removed", "text_key", "a.b", "lines"])
+def test_dedup_keeps_columns_of_any_name(spark, name):
+    rows = [(1, "one\ntwo", "x"), (2, "two\nthree", None), (3, None, "z")]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` string")
+    out = lines.dedup(df)
+    assert out.columns == ["doc_id", "text", name]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "one\ntwo", "x"), (2, "three", None), (3, None, "z")]
 
 
 def test_dedup_keeps_columns(spark):

@@ -6,18 +6,27 @@ compared for equality. An occurrence of a line is removed if an equal or near li
 a smaller doc_id, or further up in the same one.
 
 Join: a line of n characters is cut into most + 1 segments of like length. A line within `most` edits contains one of
-them unchanged, at a place that the difference of the lengths and the segment's number bound. So each distinct line is
-entered under the hashes of (its length, segment number, segment) and looks up those of its substrings at the possible
-places for every length from n - most to n. Lines that meet, and in which some letters occur about as often (each edit
-changes these numbers by two in all, at most), are compared by the edit distance within a band of
-2 * most + 1 diagonals. Distinct lines are found before, so a line that is repeated often is joined once.
-
-Null texts have no lines; rows with null doc_id come after all others; rows with equal doc_id and text are the same
-document and lose the same lines. Extra columns are kept by dedup() and ignored by report().
+them unchanged, at a place that the difference of the lengths and the segment's number bound. So each line is entered
+under the hashes of (its length, segment number, segment) and looks up those of its substrings at the possible places
+for every length from n - most to n.
+
+1. One pass over the texts writes each line's hashes and place. Hashes that different lines have are found by an
+   aggregation, so a line or segment that is repeated often is summed up before the shuffle.
+2. The texts of lines that have such a hash are fetched, once for each distinct line. Lines that meet under a hash, and
+   in which some letters occur about as often (each edit changes these numbers by two in all, at most), are pairs.
+3. Under a hash that very many lines have, only those meet that share a segment of what is left of them without the
+   first one, too: left and right of an unchanged segment there are no more edits than in the whole line.
+4. Pairs are compared by the edit distance within a band of 2 * most + 1 diagonals, those of 3. inside their join.
+   Lines of which very many agree in nearly everything (variants of one line) are still compared in pairs.
+
+Null texts have no lines and stay null; rows with null doc_id come after all others; rows with equal doc_id and text are
+the same document and lose the same lines. Very long texts and lines are handled whole. Extra columns, whatever their
+names, are kept by dedup() and ignored by report(). An empty table gives nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,22 +36,25 @@ from tidemill.llm.common import Scratch
 
 #: Letters whose numbers in two lines are compared before their texts are.
 LETTERS = "etaniorsh "
-#: Lines up to which those that met others are sent to all executors; beyond, they are shuffled. 24 bytes each.
+#: Hashes, or lines, up to which they are sent to all executors; beyond, they are shuffled. 24 bytes each.
 SENT = 1_000_000
+#: Lines under one hash from which on they must share another segment to meet.
+HOT = 256
+BLANK = " \t\r\x0b\x0c"
 
 
 def line_array(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(BLANK)))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, line of every line that isn't blank."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), line_array(F.col("text")).alias("lines"))
-    return keyed.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line")).where("line <> ''")
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def key(line: Column) -> Column:
-    return F.unhex(F.md5(line))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, line_no, line, n of every line that isn't blank; n: its characters."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), line_array(F.col("text")).alias("lines"))
+    return keyed.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line")).where("line <> ''").withColumn("n", F.char_length("line"))
 
 
 def segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -52,31 +64,18 @@ def segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     return F.lit(1) + F.lit(i - 1) * base + extra, base + F.when(longer >= parts - i + 1, 1).otherwise(0)
 
 
-def signature(n: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), part)
-
-
-def entries(line: Column, most: int) -> Column:
-    """The hashes under which a line is entered."""
-    n, parts = F.char_length(line), most + 1
-    out = []
-    for i in range(1, parts + 1):
-        at, size = segment(n, i, parts)
-        out.append(signature(n, i, F.substring(line, at, size)))
-    return F.array(*out)
-
-
-def lookups(line: Column, most: int) -> Column:
-    """The hashes that a line looks up. Those that equal its own entries are left out: entries meet as well."""
-    n, parts = F.char_length(line), most + 1
-    out = []
+def slots(line: Column, n: Column, most: int) -> Iterator[tuple[Column, Column, Column]]:
+    """Hash, place and length of what a line is entered under (the first most + 1) and of what it looks up. A lookup
+    that would equal an entry of its own is left out: entries meet as well."""
+    parts = most + 1
+    asked = [(0, i, 0) for i in range(1, parts + 1)]
     for less in range(most + 1):
         for i in range(1, parts + 1):
-            at, size = segment(n - less, i, parts)
-            for shift in range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1):
-                if less or shift:
-                    out.append(signature(n - less, i, F.substring(line, at + F.lit(shift), size)))
-    return F.array(*out)
+            asked += [(less, i, shift) for shift in range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1) if less or shift]
+    for less, i, shift in asked:
+        at, size = segment(n - less, i, parts)
+        at = at + F.lit(shift)
+        yield F.xxhash64(n - less, F.lit(i), F.substring(line, at, size)), at, size
 
 
 def tally(line: Column) -> Column:
@@ -94,68 +93,109 @@ def apart(x: Column, y: Column) -> Column:
     return reduce(lambda x, y: x + y, out)
 
 
-def candidates(lines: DataFrame, most: int, shortest: int) -> DataFrame:
-    """a < b: ids (xxhash64) of lines that meet and whose tallies are not too far apart. lines: line."""
-    own = lines.where(F.char_length("line") >= shortest).select(F.xxhash64("line").alias("id"), tally(F.col("line")).alias("tally"), entries(F.col("line"), most).alias("entered"), lookups(F.col("line"), most).alias("asked")).distinct()
-    # a lookup has the tally's highest bit set, which no letter uses
-    both = F.concat(F.transform("entered", lambda h: F.struct(h.alias("h"), F.lit(False).alias("ask"))), F.transform("asked", lambda h: F.struct(h.alias("h"), F.lit(True).alias("ask"))))
-    met = own.select("id", "tally", F.inline(both)).select("h", "id", F.when(F.col("ask"), F.col("tally").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("tally")).alias("tally"))
-    index = met.where("tally >= 0").select("h", F.col("id").alias("other"), F.col("tally").alias("theirs"))
+def few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def meet(members: DataFrame, most: int, whole: bool = False) -> DataFrame:
+    """a < b: keys of lines that meet under one h, one of them entered there, and whose tallies aren't too far apart.
+    members: h, key, tally, ask; with whole also line, and then pairs are compared here, so that only near ones leave
+    the join."""
+    index = members.where("not ask").select("h", F.col("key").alias("other"), F.col("tally").alias("theirs"), *[F.col("line").alias("other_line")] * whole)
     close = apart(F.col("tally"), F.col("theirs")) <= 2 * most
-    pairs = met.join(index, (met["h"] == index["h"]) & (F.col("id") != F.col("other")) & ((F.col("tally") < 0) | (F.col("id") < F.col("other"))) & close)
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def near(lines: DataFrame, scratch: Scratch, most: int, shortest: int) -> DataFrame:
-    """x, y: keys of near lines, each pair both ways."""
-    pairs = scratch.write("met", candidates(lines, most, shortest))
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = scratch.write("needed", needed)
-    few = needed.count() <= SENT
-    texts = lines.withColumn("id", F.xxhash64("line")).where(F.char_length("line") >= shortest).join(F.broadcast(needed) if few else needed, "id", "left_semi")
-    texts = scratch.write("texts", texts.groupBy("id", key(F.col("line")).alias("key")).agg(F.first("line").alias("line")))
-    one = texts.select(F.col("id").alias("a"), F.col("key").alias("x"), F.col("line").alias("line_x"))
-    two = texts.select(F.col("id").alias("b"), F.col("key").alias("y"), F.col("line").alias("line_y"))
-    found = pairs.join(one, "a").join(two, "b").where(F.levenshtein("line_x", "line_y", most) >= 0).select("x", "y")
+    if whole:
+        close = close & (F.levenshtein("line", "other_line", most) >= 0)
+    pairs = members.join(index, (members["h"] == index["h"]) & (F.col("key") != F.col("other")) & (F.col("ask") | (F.col("key") < F.col("other"))) & close)
+    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+
+
+def members_of(lines: DataFrame, line: str, n: str, most: int, *kept: str) -> DataFrame:
+    """Each line's hashes with the place and length of what they stand for; kept: other columns."""
+    found = [F.struct(h.alias("h"), F.lit(k > most).alias("ask"), at.alias("at"), size.alias("size")) for k, (h, at, size) in enumerate(slots(F.col(line), F.col(n), most))]
+    return lines.select(*kept, F.inline(F.array(*found)))
+
+
+def near_pairs(texts: DataFrame, shared: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """a < b: keys of near lines. texts: key, line, n, tally."""
+    members = scratch.write("members", members_of(texts, "line", "n", most, "key", "tally").join(few(shared), "h"))
+    counts = members.groupBy("h").agg(F.count(F.lit(1)).alias("lines"))
+    hot = scratch.write("hot", counts.where(F.col("lines") > HOT).select("h"))
+    cold = members.join(few(hot), "h", "left_anti")
+    pairs = scratch.write("met", meet(cold, most).distinct())
+    one = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"))
+    two = texts.select(F.col("key").alias("b"), F.col("line").alias("line_b"))
+    found = pairs.join(one, "a").join(two, "b").where(F.levenshtein("line_a", "line_b", most) >= 0).select("a", "b")
+    if not hot.limit(1).count():
+        return found
+    # what is left of a line without the segment, under the hash of both
+    left = members.join(few(hot), "h", "left_semi").join(texts.select("key", "line"), "key")
+    left = left.select(F.col("h").alias("h1"), "key", "tally", "line", F.concat(F.expr("substring(line, 1, at - 1)"), F.expr("substring(line, at + size)")).alias("left"))
+    left = members_of(left.withColumn("n", F.char_length("left")), "left", "n", most, "h1", "key", "tally", "line")
+    left = left.select(F.xxhash64("h1", "h").alias("h"), "key", "tally", "ask", "line").distinct()
+    return found.unionByName(meet(left, most, whole=True)).distinct()
+
+
+def near(docs: DataFrame, lines: DataFrame, scratch: Scratch, most: int, shortest: int) -> DataFrame:
+    """x, y: keys of near lines, each pair both ways. lines: id and hashes, of lines that are long enough."""
+    each = lines.where("id is not null").select("id", F.posexplode("hashes").alias("slot", "h"))
+    # hashes of different lines, one of which is entered there
+    shared = each.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("slot").alias("slot"))
+    shared = scratch.write("shared", shared.where((F.col("low") < F.col("high")) & (F.col("slot") <= most)).select("h"))
+    needed = scratch.write("needed", each.join(few(shared), "h", "left_semi").select("id").distinct())
+    texts = occurrences(docs).where(F.col("n") >= shortest).withColumn("id", F.xxhash64("line")).join(few(needed), "id", "left_semi")
+    texts = texts.groupBy(F.unhex(F.md5("line")).alias("key")).agg(F.first("line").alias("line"))
+    texts = scratch.write("texts", texts.select("key", "line", F.char_length("line").alias("n"), tally(F.col("line")).alias("tally")))
+    found = scratch.write("pairs", near_pairs(texts, shared, scratch, most)).select(F.col("a").alias("x"), F.col("b").alias("y"))
     found = scratch.write("near", found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"))))
-    scratch.drop("met", "needed", "texts")
+    scratch.drop("shared", "needed", "texts", "members", "hot", "met", "pairs")
     return found
 
 
 def removals(docs: DataFrame, scratch: Scratch, most: int = 2, shortest: int = 20) -> DataFrame:
-    """doc_id, text_key, removed array<int>, n_near: of each document that loses lines, their numbers (from 0) in
-    order, and how many of them only have a near line before them."""
+    """doc_id, text_key, removed array<int>, n_near, n_links: of each document that loses lines or has near ones: the
+    numbers of its lost lines (from 0) in order, how many of them only have a near line before them, and to how many
+    different lines its own are near, in all."""
     every = occurrences(docs)
+    long = F.col("n") >= shortest
+    hashes = F.array(*[h for h, _, _ in slots(F.col("line"), F.col("n"), most)])
+    lines = scratch.write("lines", every.select("doc_id", "text_key", "line_no", F.unhex(F.md5("line")).alias("key"), F.when(long, F.xxhash64("line")).alias("id"), F.when(long, hashes).alias("hashes")))
+    links = near(docs, lines, scratch, most, shortest)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    firsts = scratch.write("firsts", every.groupBy(key(F.col("line")).alias("key")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    links = near(every.select("line"), scratch, most, shortest)
-    before = links.join(firsts.select(F.col("key").alias("y"), "first"), "y").groupBy(F.col("x").alias("key")).agg(F.min("first").alias("near"))
-    # only lines with something before them go on
-    marked = firsts.join(before, "key", "left").where("n > 1 or near < first").select("key", "first", "near")
-    marked = scratch.write("marked", marked)
-    hit = every.withColumn("key", key(F.col("line"))).select("doc_id", "text_key", "line_no", "key", place.alias("place")).join(marked, "key").where("first < place or near < place")
-    out = hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"), F.array_size(F.collect_set(F.when(F.col("first") >= F.col("place"), F.col("line_no")))).cast("long").alias("n_near"))
+    firsts = scratch.write("firsts", lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    before = links.join(firsts.select(F.col("key").alias("y"), "first"), "y").groupBy(F.col("x").alias("key")).agg(F.min("first").alias("near"), F.count(F.lit(1)).alias("links"))
+    # only lines with others that are equal or near go on
+    marked = scratch.write("marked", firsts.join(before, "key", "left").where("n > 1 or near is not null").select("key", "first", "near", "links"))
+    hit = lines.select("doc_id", "text_key", "line_no", "key", place.alias("place")).join(marked, "key")
+    hit = hit.select("doc_id", "text_key", "line_no", "links", (F.col("first") < F.col("place")).alias("again"), F.coalesce(F.col("near") < F.col("place"), F.lit(False)).alias("close")).where("again or close or links > 0")
+    out = hit.distinct().groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.collect_list(F.expr("if(again or close, line_no, null)"))).alias("removed"),
+        F.count_if(F.expr("close and not again")).alias("n_near"),
+        F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"),
+    )
     out = scratch.write("removals", out)
-    scratch.drop("firsts", "near", "marked")
+    scratch.drop("lines", "firsts", "near", "marked")
     return out
 
 
 def report(docs: DataFrame, most: int = 2, shortest: int = 20) -> DataFrame:
-    """For each row of docs: doc_id, n_lines, n_removed, n_near, removed (the line numbers, comma-joined)."""
-    lost = removals(docs, Scratch(docs.sparkSession), most, shortest).withColumnRenamed("doc_id", "_id")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), F.array_size(F.filter(line_array(F.col("text")), lambda x: x != "")).cast("long").alias("n_lines"))
-    both = own.join(lost.withColumnRenamed("text_key", "_key"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    """For each row of docs: doc_id, n_lines, n_removed, n_near, n_links, removed (the line numbers, comma-joined)."""
+    lost = removals(docs, Scratch(docs.sparkSession), most, shortest).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.array_size(F.filter(line_array(F.col("text")), lambda x: x != "")).cast("long").alias("n_lines"))
+    both = own.join(lost, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     none = F.lit(0).cast("long")
-    return both.select("doc_id", "n_lines", F.coalesce(F.array_size("removed").cast("long"), none).alias("n_removed"), F.coalesce("n_near", none).alias("n_near"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+    counts = [F.coalesce(F.array_size("removed").cast("long"), none).alias("n_removed"), *[F.coalesce(c, none).alias(c) for c in ("n_near", "n_links")]]
+    return both.select("doc_id", "n_lines", *counts, F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
 def dedup(docs: DataFrame, most: int = 2, shortest: int = 20) -> DataFrame:
     """docs without the removed lines; a document that had lines and lost all of them goes."""
     lost = removals(docs, Scratch(docs.sparkSession), most, shortest)
-    lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed").withColumnRenamed("removed", "_removed")
-    both = docs.join(lost, (F.md5(F.coalesce("text", F.lit(""))) == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda p: ~F.array_contains(F.col("_removed"), p["i"])), lambda p: p["line"]), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    out = both.withColumn("_text", text).where("_removed is null or trim(both ' \t\r\n\x0b\x0c' from _text) <> ''")
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    # the row's own columns stay in a struct, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), text_key(F.col("text")).alias("row_key"))
+    both = rows.join(lost.where(F.array_size("removed") > 0), (F.col("row_key") == F.col("text_key")) & F.col("row_id").eqNullSafe(F.col("doc_id")), "left")
+    parts = F.split(F.col("row")["text"], "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.array_size(parts) - 1), F.col("removed"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    out = both.select("row", "removed", F.when(F.col("removed").isNull(), F.col("row")["text"]).otherwise(kept).alias("kept"))
+    out = out.where(F.col("removed").isNull() | (F.trim("kept", F.lit(BLANK + "\n")) != ""))
+    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
