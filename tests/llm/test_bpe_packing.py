@@ -30,6 +30,24 @@ def test_against_the_library():
             assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point():
+    library, own = Tokenizer.from_file(WORD_BPE), bpe.WordBpe(WORD_BPE)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(every), 1 << 16):
+        lots = [every[k : k + 32] for k in range(i, min(i + (1 << 16), len(every)), 32)]
+        said = [" ".join(f"a{c}," for c in lot) for lot in lots]
+        for lot, x, y in zip(lots, own.encode(said), library.encode_batch(said, add_special_tokens=False)):
+            assert np.frombuffer(x, "<u4").tolist() == y.ids, ascii(lot)
+
+
+@pytest.mark.parametrize("name", ["a.b", "text_", "`"])
+def test_other_columns_stay(spark, name):
+    df = spark.createDataFrame([("one", 1), (None, 2), ("one", 1)], "text string, other long").withColumnRenamed("other", name)
+    out = bpe.decode(bpe.encode(df, WORD_BPE), WORD_BPE)
+    assert out.columns == ["text", name, "ids", "decoded"]
+    assert sorted(r[1] for r in out.collect()) == [1, 1, 2]
+
+
 def test_columns_and_digests(spark):
     rows = [(1, "two words", "k", None), (2, None, None, [1]), (None, "", "e", [2])]
     df = spark.createDataFrame(rows, "doc_id long, text string, decoded string, ids array<int>")

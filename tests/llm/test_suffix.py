@@ -106,6 +106,15 @@ def test_report_against_brute_force(spark, seed, hot, monkeypatch):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
+@pytest.mark.parametrize("name", ["data", "null", "piece", "hits", "a.b", "c0", "rest"])
+def test_dedup_keeps_columns_of_any_name(spark, name):
+    p = "a passage that is repeated and has more than fifty bytes"
+    df = spark.createDataFrame([("x", 1, "one " + p), (None, 2, p + " two"), ("z", 3, None)], f"`{name}` string, doc_id long, text string")
+    out = suffix.dedup(df)
+    assert out.columns == [name, "doc_id", "text"]
+    assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[1]) == [("x", 1, "one " + p), (None, 2, " two"), ("z", 3, None)]
+
+
 def test_dedup_keeps_columns_and_characters(spark):
     p = "éü" * 40
     rows = [(1, "one " + p, "k", 1), (2, p + " two", None, 1), (3, p, "gone", 1), (4, "", "e", 0), (5, None, "n", None)]

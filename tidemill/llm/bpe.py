@@ -5,25 +5,57 @@ together: the symbols of all their words stand in one flat array, and in each ro
 pair, found by binary search over the sorted keys of all pairs.
 
 Null texts count as empty and give no ids. Very long texts and words take more rounds, not more memory than their own
-symbols. Equal texts give equal ids. Other columns of the input are kept unless their names clash with new ones.
+symbols. Equal texts give equal ids, repeated rows repeated results. Other columns of the input, whatever their names,
+are kept unless they are called like a new one, which takes their place. An empty table gives nothing.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: White space as the tokenizer's own pattern has it, and its word pattern.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+from tidemill.llm.common import columns, numbered, sha
+
+#: White space as the tokenizer's own pattern has it, and what its word pattern splits off.
+BLANK = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = re.compile(f"[{BLANK}]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Letters, numbers and pairs of cases (first and last capital, distance to the small one) that the
+#: library knows and Python's own tables, of Unicode 15.1, don't: those of Unicode 16, and for cases also of 17.
+MORE_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+MORE_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+MORE_CASES = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+LOWER = {c: c + to for a, z, to in MORE_CASES for c in range(a, z + 1)}
+HAS_LOWER = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z, _ in MORE_CASES) + "]")
+
+
+def characters(kind: str, more: list[tuple[int, int]]) -> str:
+    """Ranges of a character class: the code points whose general category begins with kind, and more."""
+    known = {c for a, z in more for c in range(a, z + 1)}
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind or c in known]
+    first = [c for c, before in zip(found, [-2, *found]) if c != before + 1]
+    last = [c for c, after in zip(found, [*found[1:], -2]) if c != after - 1]
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(first, last))
+
+
+LETTERS, NUMBERS = characters("L", MORE_LETTERS), characters("N", MORE_NUMBERS)
+WORD = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{BLANK}{LETTERS}{NUMBERS}]+")
 STOP = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=[ \n])")
 #: Marks a special token among chunks; white space, so no chunk begins with it.
 SPECIAL = " "
@@ -103,6 +135,7 @@ class WordBpe:
         """The text in normal form, cut at white space and between a word and a stop that ends it."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = text.translate(LOWER) if HAS_LOWER.search(text) else text
         text = STOP.sub(r" \1", text.lower())
         return SPACE.split(text) if NOT_SPACE.search(text) else text.split()
 
@@ -161,46 +194,38 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _plus(df: DataFrame, new: str, drop: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    names = {x.split(" ")[0] for x in new.split(", ")} | {*drop}
-    kept = df.select(*[c for c in df.columns if c not in names])
-    return kept, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [new])
+def _plus(df: DataFrame, column: str, new: StructField, work) -> DataFrame:
+    """df and one more column: work, of a tokenizer's task, gives it for a batch of the values of column."""
+    df = df.select(*columns(df, *({new.name} - {column})))
+    at = df.columns.index(column)
+    inner = numbered(df)
+    names = [*inner.columns, "new"]
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, work(b.column(at).to_pylist())], names=names)
+
+    return inner.mapInArrow(run, StructType([*inner.schema.fields, StructField("new", new.dataType)])).toDF(*df.columns, new.name)
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ids array<int>; null texts give an empty array. The file at path is on every machine."""
-    df, schema = _plus(df, "ids array<int>")
-    names = df.columns
 
-    def run(batches):
-        bpe = load(path)
-        for b in batches:
-            ids = bpe.encode([x or "" for x in b.column(names.index(text)).to_pylist()])
-            stop = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
-            column = pa.ListArray.from_arrays(pa.array(stop), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*names, "ids"])
+    def work(texts):
+        ids = load(path).encode([x or "" for x in texts])
+        stop = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(stop), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
-    return df.mapInArrow(run, schema)
+    return _plus(df, text, StructField("ids", ArrayType(IntegerType())), work)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds decoded string; null ids give an empty string."""
-    df, schema = _plus(df, "decoded string")
-    names = df.columns
-
-    def run(batches):
-        bpe = load(path)
-        for b in batches:
-            texts = [bpe.decode(x or []) for x in b.column(names.index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
-
-    return df.mapInArrow(run, schema)
+    return _plus(df, ids, StructField("decoded", StringType()), lambda found: pa.array([load(path).decode(x or []) for x in found], pa.string()))
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding every text and decoding its ids."""
-    from tidemill.llm.common import sha
-
     def run(batches):
         bpe = load(path)
         for b in batches:

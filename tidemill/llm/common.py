@@ -36,6 +36,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, *kept: str) -> DataFrame:
+    """df with columns named by their place, but for kept: mapInArrow takes no names with dots or backticks."""
+    return df.toDF(*[c if c in kept else f"c{i}" for i, c in enumerate(df.columns)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local sessions get one of
     their own; on a cluster that would be a folder that executors can't see, so it is an error there."""

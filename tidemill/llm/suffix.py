@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, columns, free_name, sha
+from tidemill.llm.common import Scratch, columns, free_name, numbered, sha
 
 PIECE = 4 << 20
 #: Windows whose anchors are looked for at a time: their arrays stay in a core's cache.
@@ -564,9 +564,10 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     a row. n_chars, if there is such a column, is counted again where the text isn't null."""
     scratch = Scratch(docs.sparkSession)
     plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = marked(plain, least, scratch)
-    names = plain.columns
-    null = free_name(plain, "null")
+    inner = numbered(plain, "doc_id", "text", "n_chars")
+    rows = marked(inner, least, scratch)
+    names = inner.columns
+    null = free_name(inner, "null")
 
     def run(batches):
         for p, lost, rest in opened(batches, least):
@@ -585,4 +586,4 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
                 found["n_chars"] = pc.coalesce(counted, found["n_chars"])
             yield pa.RecordBatch.from_arrays([found[c] for c in names], names=names).filter(pa.array(stay))
 
-    return rows.mapInArrow(run, plain.schema)
+    return rows.mapInArrow(run, inner.schema).toDF(*plain.columns)

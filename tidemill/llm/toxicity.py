@@ -8,7 +8,9 @@ up to `sample` rows of each class, those whose ids hash lowest; both classes wei
 
 Null and empty texts are scored like any other (they have the feature of the two spaces at most). Rows with null labels or ids
 aren't learnt from. If one class has no labelled row, every score is that class's share (0.5 without any label).
-Repeated rows count as often as they occur; extra columns are ignored.
+Of several rows with one labelled id, the least text is learnt from, once for each label. Repeated rows are scored alike.
+Extra columns, whatever their names, are kept by score() and accepted() and ignored elsewhere. A very long text needs
+memory for the slots of all its n-grams. An empty documents table gives nothing.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidemill.llm.common import Scratch
+from tidemill.llm.common import Scratch, columns, free_name, numbered
 
 SIZES = (3, 4, 5, 6)
 SLOTS = 18
@@ -94,7 +97,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int
         return Model(weights, float(np.log(p / (1 - p))))
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most 2 * sample rows
-    rows = scratch.write("labelled", docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").repartition(8))  # few tasks, as each counts into an array of all slots
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # one text for each labelled id, so that the bound holds for rows as well; few tasks, as each counts into an array of all slots
+    rows = scratch.write("labelled", found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).repartition(8))
 
     size = len(weights)
 
@@ -144,20 +149,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score and predicted to all columns of docs."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*names)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["score double, predicted int"])
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the score and the predicted label under these names to all columns of docs; columns that are called so
+    already are replaced."""
+    docs = docs.select(*columns(docs, *names))
+    inner, at = numbered(docs), docs.columns.index("text")
+    own = [*inner.columns, "score", "predicted"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: the slots
 
     def run(batches):
         m = sent.value
         for b in batches:
-            s = [m.score(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*names, "score", "predicted"])
+            s = [m.score(t.as_py()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=own)
 
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*inner.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return inner.mapInArrow(run, schema).toDF(*docs.columns, *names)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic, with their own columns, whatever these are called."""
+    names = free_name(docs, "score"), free_name(docs, "predicted")
+    return score(docs, model, names).where(F.col(names[1]) == 0).select(*columns(docs))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
