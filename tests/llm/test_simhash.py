@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidemill.llm import simhash
@@ -97,6 +98,34 @@ def jaccard(a, b, size=5):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def alike(a, b, size=5):
+    return jaccard(a, b, size) >= 0.8 or (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 3
+
+
+def test_dedup_follows_fingerprints(spark):
+    """Texts that only the index links: their shingles of five words are less similar than 0.8."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(300)]
+    base = [rnd.choice(words) for _ in range(1500)]
+    texts = [" ".join(base)]
+    while len(texts) < 3:
+        copy = list(base)
+        for _ in range(80):
+            copy[rnd.randrange(len(copy))] = rnd.choice(words)
+        copy = " ".join(copy)
+        if jaccard(texts[0], copy) < 0.8 and (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(copy)).bit_count() <= 3:
+            texts.append(copy)
+    assert kept(spark, texts + ["another text"]) == [0, 3]
+
+
+@pytest.mark.parametrize("name", ["_key", "_id", "_n", "_text_key", "row", "text_key", "key", "id", "a.b", "doc"])
+def test_dedup_keeps_columns_of_any_name(spark, name):
+    df = spark.createDataFrame([(1, "one text", "x"), (2, "one text", "y"), (3, None, "z"), (3, None, "z")], f"doc_id long, text string, `{name}` string")
+    out = simhash.dedup(df)
+    assert out.columns == ["doc_id", "text", name]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "one text", "x"), (3, None, "z")]
+
+
 def test_dedup(spark):
     rnd = random.Random(6)
     words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(2, 8))) for _ in range(2000)]
@@ -117,7 +146,7 @@ def test_dedup(spark):
     label = list(range(len(texts)))
     for i, a in enumerate(texts):
         for j in range(i):
-            if jaccard(a or "", texts[j] or "") >= 0.8:
+            if alike(a or "", texts[j] or ""):
                 label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
     want = sorted({*label}) + [None]
     assert sorted((r.doc_id for r in out), key=lambda x: (x is None, x)) == want
@@ -133,7 +162,7 @@ def first_of_groups(texts, size=5):
     label = list(range(len(texts)))
     for i, a in enumerate(texts):
         for j in range(i):
-            if jaccard(a, texts[j], size) >= 0.8:
+            if alike(a, texts[j], size):
                 label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
     return sorted({*label})
 

@@ -85,8 +85,9 @@ class Scratch:
                 _delete(self.spark, path)
 
 
-def sweep(keep: set[str] = frozenset()) -> None:
-    """Deletes all tables of Scratch but those whose paths are in keep. To be called once their results are written."""
+def sweep(keep: frozenset[str] | set[str] = frozenset()) -> None:
+    """Deletes all tables of Scratch but those whose paths are in keep. To be called once their results are written,
+    with the paths that were alive before."""
     for path in [p for p in Scratch.alive if p not in keep]:
         _delete(Scratch.alive.pop(path), path)
 

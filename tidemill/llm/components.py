@@ -9,8 +9,8 @@ from tidemill.llm.common import Scratch
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the least neighbour of u. The minimum is aggregated before its shuffle and joined back, so
-    that a hub's edges need not come together in one task."""
+    """Edges (u, v) with the least neighbour of u. The minimum is aggregated before its shuffle and joined back; where
+    it can't be broadcast, adaptive execution splits the partition of a hub with very many edges, as it may in a join."""
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 

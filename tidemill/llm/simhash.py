@@ -22,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import Scratch
@@ -310,13 +310,13 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, group: n
     return out
 
 
-def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 500_000) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 500_000, most: int = 3) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays (null ids come last; of repeated
-    rows one stays). Texts are linked if their sets of `size`-word shingles have a Jaccard similarity of at least
-    `similarity`, whatever was changed. All other columns are kept.
+    rows one stays). Texts are linked if their fingerprints (see fingerprint) differ in at most `most` bits, found by
+    the index in Gray order, or if their sets of `size`-word shingles have a Jaccard similarity of at least
+    `similarity`, whatever was changed. All columns are kept, whatever their names.
 
-    Texts with equal sets are brought together by a hash of the set. Of the others, those that share one of their
-    leading shingles (see lead) may be similar. Where few share a shingle, all pairs whose sizes and places in the order
+    For the second kind, texts that share one of their leading shingles (see lead) may be similar. Where few share a shingle, all pairs whose sizes and places in the order
     allow the similarity are compared. Where many do, each is first compared with one of them; what is not one group
     then is compared block by block, all with all of like size; texts that are linked already are not linked again.
 
@@ -330,13 +330,18 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 5
             found = [t.as_py() or "" for t in b.column("text")]
             keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in found]
             sets = [shingle_set(t, size) for t in found]
-            columns = [pa.array(keys, pa.binary()), pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([lead(x, common, similarity).tobytes() for x in sets], pa.binary()), pa.array([parities(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "key", "set", "n", "lead", "parities"])
+            columns = [pa.array(keys, pa.binary()), pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([lead(x, common, similarity).tobytes() for x in sets], pa.binary()), pa.array([parities(x) for x in sets], pa.binary()), pa.array(np.array([fingerprint(t) for t in found], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "key", "set", "n", "lead", "parities", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary, parities binary")
-    # equal sets together; tid numbers the distinct ones
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary, parities binary, fp long")
+    # texts with equal sets and fingerprints together; tid numbers the distinct ones
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least")
-    texts = scratch.write("distinct", rows.groupBy("set").agg(least, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("parities").alias("parities")).withColumn("tid", F.monotonically_increasing_id()))
+    texts = scratch.write("distinct", rows.groupBy("set", "fp").agg(least, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("parities").alias("parities")).withColumn("tid", F.monotonically_increasing_id()))
+
+    prints = scratch.write("prints", texts.groupBy("fp").agg(F.min("tid").alias("head")))
+    index = near_pairs(prints.select(F.lit(0).alias("k"), "fp"), most)
+    index = index.join(prints.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select("a", "b")
+    index = scratch.write("index", index.unionByName(texts.join(prints, "fp").where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))))
 
     def spread(batches):
         for b in batches:
@@ -396,7 +401,8 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 5
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     sides = pairs.join(shingles.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b")
-    edges = scratch.write("edges", sides.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long"))
+    edges = sides.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long")
+    edges = scratch.write("edges", edges.unionByName(index.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     group = components(edges, scratch).withColumnRenamed("node", "tid")
 
     # shingles of many texts that are not one group yet; the texts that such shingles lead to are a cluster
@@ -447,9 +453,9 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 5
         group = components(edges.unionByName(more), scratch).withColumnRenamed("node", "tid")
     named = texts.select("tid", "least").join(group, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
     best = named.groupBy("component").agg(F.min("least").alias("best"))
-    stay = scratch.write("stay", best.select(F.col("best.key").alias("_key"), F.col("best.doc_id").alias("_id")))
-    scratch.drop("distinct", "members", "pairs", "need", "shingles", "edges", "held", "placed", "more", "components")
-    text_key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    out = docs.withColumn("_text_key", text_key).join(stay, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    first = Window.partitionBy("_text_key", "doc_id").orderBy(F.lit(0))
-    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = scratch.write("stay", best.select(F.col("best.key").alias("key"), F.col("best.doc_id").alias("id")))
+    scratch.drop("distinct", "prints", "index", "members", "pairs", "need", "shingles", "edges", "held", "placed", "more", "components")
+    # the row's own columns stay in a struct, so that no name of theirs meets one of ours
+    out = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), F.col("doc_id").cast("long").alias("doc"))
+    out = out.join(stay, (F.col("text_key") == F.col("key")) & F.col("doc").eqNullSafe(F.col("id"))).groupBy("text_key", "doc").agg(F.first("row").alias("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
