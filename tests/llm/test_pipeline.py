@@ -3,11 +3,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_suffix import brute as repeated
 from tests.llm.test_toxicity import BAD, corpus
 from tidemill.llm import packing
+from tidemill.llm.common import Scratch
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,3 +79,21 @@ def test_last_stage_holds_the_sequences(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40")
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32 for r in rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    names = ["_key", "_id", "_removed", "_text", "_n", "_text_key", "score", "predicted", "a.b", "row", "key", "tid", "piece", "data", "null", "kept", "c0"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id between 295 and 312")
+    docs = docs.select("*", *[F.concat(F.lit(n + " "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(list(r)[5:] == [f"{n} {r.doc_id}" for n in names] for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= 18
+
+
+def test_run_leaves_only_its_result(spark, folder):
+    before = {*Scratch.alive}
+    corpus_pipeline.run(spark, folder)
+    assert [p.rsplit("-", 1)[-1] for p in Scratch.alive.keys() - before] == ["packing"]
