@@ -72,7 +72,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """A tokenizer file of the kind BPE with end-of-word suffix: NFC, lower case, white space dropped."""
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import hashlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,13 @@ def numbered(df: DataFrame, *kept: str) -> DataFrame:
     return df.toDF(*[c if c in kept else f"c{i}" for i, c in enumerate(df.columns)])
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system. Workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local sessions get one of
     their own; on a cluster that would be a folder that executors can't see, so it is an error there."""

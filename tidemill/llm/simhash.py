@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch
+from tidemill.llm.common import Scratch, trim
 from tidemill.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -332,6 +332,7 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 5
             sets = [shingle_set(t, size) for t in found]
             columns = [pa.array(keys, pa.binary()), pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([lead(x, common, similarity).tobytes() for x in sets], pa.binary()), pa.array([parities(x) for x in sets], pa.binary()), pa.array(np.array([fingerprint(t) for t in found], np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "key", "set", "n", "lead", "parities", "fp"])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary, parities binary, fp long")
     # texts with equal sets and fingerprints together; tid numbers the distinct ones
@@ -399,6 +400,7 @@ def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 5
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        trim()
 
     sides = pairs.join(shingles.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b")
     edges = sides.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long")

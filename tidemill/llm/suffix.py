@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, columns, free_name, numbered, sha
+from tidemill.llm.common import Scratch, columns, free_name, numbered, sha, trim
 
 PIECE = 4 << 20
 #: Windows whose anchors are looked for at a time: their arrays stay in a core's cache.
@@ -470,6 +470,7 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
                 stop = np.r_[at, len(line)].tolist()
                 lots = [planes(line[a:z]) for a, z in zip(stop, stop[1:])] if len(at) else []
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), name)), pa.array(np.diff(np.r_[at, len(line)])[: len(at)]), pa.array(lots, pa.binary())], names=["bucket", "piece", "n", "lines"])
+        trim()
 
     def answer(batches):
         rows = gathered(batches, ["piece", "n", "lines"])
@@ -492,6 +493,8 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
         at = starts_of(who)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(who[at]), blobs(np.r_[at, len(who)], said)], names=["piece", "said"])
+        del rows, line, who, order, h, said
+        trim()
 
     lines = pieces.mapInArrow(tell, "bucket long, piece long, n long, lines binary")
     heard = lines.repartition(buckets, "bucket").mapInArrow(answer, "piece long, said binary")
@@ -501,6 +504,7 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
         for b in batches:
             for name, data, said in zip(b.column("piece").to_pylist(), b.column("data"), b.column("said")):
                 yield from entries(Piece(data.as_py()), name, said.as_py() or [], buckets, least)
+        trim()
 
     def compare(batches):
         rows = gathered(batches, SENT.names[1:])
@@ -522,6 +526,8 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
         at = starts_of(who[hit])
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(who[hit][at]), blobs(np.r_[at, len(hit)], out)], names=["piece", "hits"])
+        del rows, h, size, times, stands, text, row, who, mask, hit, out
+        trim()
 
     sent = pieces.join(heard, "piece", "left").mapInArrow(send, SENT_SQL)
     hits = sent.repartition(buckets, "bucket").mapInArrow(compare, "piece long, hits binary")
@@ -535,6 +541,7 @@ def opened(batches, least: int):
         for data, hits in zip(b.column("data"), b.column("hits")):
             p = Piece(data.as_py())
             yield p, covered(p, hits.as_py() or [], least), pa.ipc.open_stream(p.rest).read_next_batch()
+    trim()
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
