@@ -175,5 +175,16 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
-    """A table with one row for each turn as an event log."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+    """A table with one row for each turn as the log of chats that were streamed and revised: texts come in two parts;
+    an answer is first drafted, then regenerated, and what a user says is first drafted, then edited. Rows of a
+    conversation are numbered by turn (null first), role and text; that number is the turn of the log."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("turn", F.row_number().over(order).cast("long"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    parts = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
+    event = lambda k, kind, said: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), said.alias("text"))
+    plain = F.array(event(0, "message", parts[0]), event(1, "delta", parts[1]))
+    answer, question = (F.array(event(0, "message", F.lit("draft ")), event(1, "delta", parts[1]), event(2, kind, parts[0]), event(3, "delta", parts[1])) for kind in ("regenerate", "edit"))
+    log = F.when(F.col("role") == "assistant", answer).when(F.col("role") == "user", question).otherwise(plain)
+    return rows.select("conv_id", "turn", "role", F.inline(log)).select("conv_id", (F.col("turn") * 4 + F.col("k")).alias("seq"), "kind", "turn", "role", "text")
