@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -134,3 +135,72 @@ def test_digests(spark):
     back = media.read(media.write(df)).where("doc_id = 4").first()
     assert bytes(back.samples) == ("é" * 30_000).encode() + bytes(32)
     assert media.digests(df.limit(0)).count() == 0
+
+
+def kinds_of(payload):
+    """What the stored strips of a payload use."""
+    found = set()
+    for _, _, c in webp.chunks_of(media.store([payload])[0]):
+        (f,) = webp.read_files([c])
+        found |= {("transform", t[0]) for t in f.transforms}
+        found |= {"cache"} if f.image.cache_bits else set()
+        found |= {"references"} if any((g[0] >> 4 >= webp.LITERALS).any() and (g[4] > 0).any() for g in f.image.codes) else set()
+        found |= {"literals"} if not f.image.special else set()
+    return found
+
+
+def varied():
+    """Payloads of one kind each, made of what texts hold, and the part of the format that suits it."""
+    r = np.random.default_rng(5)
+    words = [bytes(r.integers(97, 123, 4, np.uint8)) for _ in range(40)]
+    line = bytes(r.integers(33, 127, 64, np.uint8))
+    g = r.integers(32, 64, 8000)
+    flat = lambda *c: np.stack(c, 1).astype(np.uint8).tobytes()
+    grown = np.cumsum(r.integers(0, 2, (300, 64)), axis=0) % 90 + 33
+    return {
+        "literals": r.integers(33, 127, 8192, np.uint8).tobytes(),
+        "references": b"".join(bytes(r.integers(33, 127, 200, np.uint8)) * 2 for _ in range(30)),
+        "cache": b"".join(words[i] if i < 40 else bytes(r.integers(33, 127, 4, np.uint8)) for i in r.integers(0, 50, 4000)),
+        ("transform", webp.PALETTE): b"".join(words[i] for i in r.integers(0, 6, 3000)),
+        ("transform", webp.SUBTRACT_GREEN): flat(g + r.integers(0, 2, 8000), g, g + r.integers(0, 2, 8000), r.integers(33, 64, 8000)),
+        ("transform", webp.CROSS_COLOUR): flat(2 * g + r.integers(0, 2, 8000), g, 3 * g // 2 + r.integers(0, 2, 8000), r.integers(0, 3, 8000)),
+        ("transform", webp.PREDICTOR): grown.astype(np.uint8).tobytes() + line,
+    }
+
+
+@pytest.mark.parametrize("kind", varied(), ids=str)
+def test_stored_form_suits_content(kind):
+    payload = media.padded(varied()[kind])
+    assert kind in kinds_of(payload)
+    assert media.load(media.store([payload]))[0].tobytes() == payload
+
+
+def test_digests_against_plain_version():
+    r = random.Random(8)
+    for data in (b"", b"a" * 64, bytes(r.choices(range(32, 127), k=5000)), "héllo wörld ".encode() * 900):
+        payload = media.padded(data)
+        (samples,) = media.load(media.store([payload]))
+        n, total = len(payload), sum(payload)
+        spread = int(math.sqrt(sum((n * x - total) ** 2 for x in payload) / n) * 1000) // n
+        part = n // 64
+        bits = "".join("1" if sum(payload[k * part : (k + 1) * part]) * 64 > total else "0" for k in range(64))
+        got = dict(x.split("=") for x in media.features(samples).split(" "))
+        assert abs(int(got.pop("deviation")) - spread) <= 1
+        assert got == {"mean": str(total * 1000 // n), "values": str(len(set(payload))), "hash": f"{int(bits, 2):016x}"}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_any_bytes_come_back(seed, monkeypatch):
+    monkeypatch.setattr(media, "WRITTEN", 4096)
+    r = random.Random(seed)
+    payloads = []
+    for _ in range(20):
+        alphabet = r.sample(range(256), r.choice([1, 2, 3, 5, 17, 60, 256]))
+        data = bytearray(r.choices(alphabet, k=r.choice([1, 64, 500, 3000, 20_000])))
+        for _ in range(r.randrange(6)):
+            a, b, n = (r.randrange(len(data)) for _ in range(3))
+            data[a : a + n] = data[b : b + n]
+        payloads.append(media.padded(bytes(data)))
+    files = media.store(payloads)
+    assert [s.tobytes() for s in media.load(files)] == payloads
+    assert media.store(payloads[7:8]) == files[7:8]

@@ -2,7 +2,8 @@
 
 A payload's bytes are the red, green, blue and alpha samples of 16 pixels a line. Payloads of up to 256 lines are one
 picture, longer ones an animation whose frames are strips of 256 lines of one picture, so that a long one is decoded
-in parts side by side. See webp.py for the format.
+in parts side by side. Each strip gets the transform, colour cache and back-references that suit it. See webp.py for
+the format.
 
 A null text is an empty payload, which is stored as one line of zeros. Equal texts give equal files and values.
 """
@@ -20,8 +21,8 @@ from tidemill.llm import webp
 from tidemill.llm.common import sha
 
 WIDTH, STRIP, LINE = 16, 256, 64
-#: Bytes of payload that are coded at a time.
-AT_ONCE = 6 << 20
+#: Bytes of payload that are read at a time, and that are written at a time.
+AT_ONCE, WRITTEN = 16 << 20, 2 << 20
 
 
 def padded(data: bytes) -> bytes:
@@ -35,8 +36,12 @@ def store(payloads: list[bytes]) -> list[bytes]:
         n = len(p) // LINE
         counts.append(-(-n // STRIP))
         rows += [STRIP] * (n // STRIP) + [n % STRIP] * (n % STRIP > 0)
-    coded = iter(webp.encode_strips(np.frombuffer(b"".join(payloads), np.uint8), rows, WIDTH))
-    lines = iter(rows)
+    samples, coded = np.frombuffer(b"".join(payloads), np.uint8), []
+    stop = np.cumsum(np.r_[0, rows]) * LINE
+    cut = [0, *np.flatnonzero(np.diff(stop[:-1] // WRITTEN)) + 1, len(rows)] if rows else [0]
+    for a, b in zip(cut, cut[1:]):
+        coded += webp.encode_strips(samples[stop[a] : stop[b]], rows[a:b], WIDTH)
+    lines, coded = iter(rows), iter(coded)
     return [webp.file_of([(next(lines), next(coded)) for _ in range(n)], WIDTH) for n in counts]
 
 

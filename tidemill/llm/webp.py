@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -56,6 +57,13 @@ class Bits:
         self.at += n
         return got
 
+    def same(self, a: int, b: int, n: int) -> bool:
+        """Whether the n bits from a and from b are there and equal."""
+        if b + n > 8 * len(self.data):
+            return False
+        x, y = (int.from_bytes(self.data[k >> 3 : (k + n + 7) >> 3], "little") >> (k & 7) for k in (a, b))
+        return not (x ^ y) & ((1 << n) - 1)
+
 
 def lookup(lengths: np.ndarray) -> np.ndarray:
     """For each value of the next bits: symbol << 4 | length of the canonical code. One symbol alone takes no bits."""
@@ -125,6 +133,11 @@ class Image:
     block_bits: int = 0
     pixels: np.ndarray | None = None
 
+    @property
+    def special(self) -> bool:
+        """Whether there may be anything but literals."""
+        return self.cache_bits > 0 or self.groups is not None or any(int(g[0].max()) >> 4 >= LITERALS for g in self.codes)
+
 
 @dataclass
 class File:
@@ -147,29 +160,45 @@ def table(lengths: np.ndarray) -> np.ndarray:
     return _tables[key]
 
 
-def read_image(bits: Bits, width: int, height: int, whole: bool) -> Image:
+def read_codes(bits: Bits, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """A group's tables. A code that stands there in the bits of the one before it is not read again."""
+    codes, last, start, n = [], 0, 0, 0
+    for size in sizes:
+        if size == last and bits.same(start, bits.at, n):
+            start, bits.at = bits.at, bits.at + n
+            codes.append(codes[-1])
+            continue
+        last, start = size, bits.at
+        codes.append(table(read_lengths(bits, size)))
+        n = bits.at - start
+    return codes
+
+
+def read_image(bits: Bits, width: int, height: int, whole: bool) -> Iterator[Image]:
+    """Returns the image with its codes. Like the two below, it yields images of the header that it needs decoded, and
+    is sent where in bits their data end."""
     cache_bits = bits.take(4) if bits.take(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
     groups, block_bits, n = None, 0, 1
     if whole and bits.take(1):
         block_bits = bits.take(3) + 2
-        part = sub_image(bits, -(-width >> block_bits), -(-height >> block_bits))
+        part = yield from sub_image(bits, -(-width >> block_bits), -(-height >> block_bits))
         groups = (part >> 8 & 0xFFFF).astype(np.int64)
         n = int(groups.max()) + 1
     sizes = (LITERALS + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), LITERALS, LITERALS, LITERALS, DISTANCES)
-    codes = [[table(read_lengths(bits, k)) for k in sizes] for _ in range(n)]
+    codes = [read_codes(bits, sizes) for _ in range(n)]
     return Image(bits.data, bits.at, width, height, cache_bits, codes, groups, block_bits)
 
 
-def sub_image(bits: Bits, width: int, height: int) -> np.ndarray:
-    image = read_image(bits, width, height, False)
-    bits.at = int(decode_lanes([image])[0])
+def sub_image(bits: Bits, width: int, height: int) -> Iterator[Image]:
+    image = yield from read_image(bits, width, height, False)
+    bits.at = int((yield image))
     return image.pixels
 
 
-def read_file(data: bytes) -> File:
-    """Headers, transforms and codes of a VP8L chunk."""
+def read_file(data: bytes) -> Iterator[Image]:
+    """Headers, transforms and codes of a VP8L chunk, as a File."""
     bits = Bits(data)
     if bits.take(8) != 0x2F:
         raise ValueError("no lossless WebP")
@@ -182,17 +211,32 @@ def read_file(data: bytes) -> File:
         kind = bits.take(2)
         if kind in (PREDICTOR, CROSS_COLOUR):
             size = bits.take(3) + 2
-            transforms.append((kind, now, size, sub_image(bits, -(-now >> size), -(-height >> size))))
+            transforms.append((kind, now, size, (yield from sub_image(bits, -(-now >> size), -(-height >> size)))))
         elif kind == SUBTRACT_GREEN:
             transforms.append((kind, now))
         else:
             n = bits.take(8) + 1
-            parts = sub_image(bits, n, 1).view(np.uint8).reshape(-1, 4)
+            parts = (yield from sub_image(bits, n, 1)).view(np.uint8).reshape(-1, 4)
             colours = np.cumsum(parts, axis=0, dtype=np.uint8).view(np.uint32).ravel()
-            pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+            pack = pack_of(n)
             transforms.append((kind, now, pack, colours))
             now = -(-now >> pack)
-    return File(width, height, read_image(bits, now, height, True), transforms)
+    return File(width, height, (yield from read_image(bits, now, height, True)), transforms)
+
+
+def read_files(chunks: list[bytes]) -> list[File]:
+    """What read_file returns for each; the images in the headers of all are decoded side by side."""
+    readers = [read_file(c) for c in chunks]
+    files, ends = [None] * len(chunks), dict.fromkeys(range(len(chunks)))
+    while ends:
+        asked = {}
+        for i, end in ends.items():
+            try:
+                asked[i] = readers[i].send(end)
+            except StopIteration as done:
+                files[i] = done.value
+        ends = dict(zip(asked, decode_lanes([*asked.values()]))) if asked else {}
+    return files
 
 
 def decode_lanes(images: list[Image]) -> np.ndarray:
@@ -240,11 +284,14 @@ def decode_lanes(images: list[Image]) -> np.ndarray:
     grouped = [i for i, x in enumerate(lanes) if x.groups is not None]
     cached = np.array([x.cache_bits for x in lanes])
     any_cache = bool(cached.any())
-    cache_at = np.cumsum(np.r_[0, np.where(cached > 0, 1 << cached, 0)])
+    cached[cached == 0] = 1  # one that nothing reads
+    cache_shift = (32 - cached).astype(np.uint32)
+    cache_at = np.cumsum(np.r_[0, 1 << cached])
     cache = np.zeros(cache_at[-1] + 1, np.uint32)
     left, back = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
     copying = False
     u3, u7, u15 = 3, 7, 15
+    every = np.arange(len(lanes))
 
     def extra(lane, prefix):
         """The value of prefix codes of lengths or distances, with the extra bits that follow."""
@@ -274,40 +321,39 @@ def decode_lanes(images: list[Image]) -> np.ndarray:
             copying = bool(len(held))
         else:
             fresh, held = slice(0, k), None
-        p, g = pos[fresh], group[fresh]
+        p, g = pos[fresh], group[fresh] if grouped else fresh
         w = ahead[np.minimum(p >> u3, last)] >> (p & u7).astype(np.uint64)
         e = entries[where[0][g] + (w & mask[0][g]).astype(np.int64)]
         n = e & u15
         green = e >> 4
         special = green >= LITERALS
-        if not special.any():
-            w >>= n.astype(np.uint64)
-            p = p + n
-            e = entries[where[1][g] + (w & mask[1][g]).astype(np.int64)]
-            n = e & u15
-            w >>= n.astype(np.uint64)
-            p += n
-            argb = green << 8 | e >> 4 << 16
-            w = ahead[np.minimum(p >> u3, last)] >> (p & u7).astype(np.uint64)
-            e = entries[where[2][g] + (w & mask[2][g]).astype(np.int64)]
-            n = e & u15
-            w >>= n.astype(np.uint64)
-            p += n
-            argb |= e >> 4
-            e = entries[where[3][g] + (w & mask[3][g]).astype(np.int64)]
-            pos[fresh] = p + (e & u15)
-            argb |= e >> 4 << 24
+        w >>= n.astype(np.uint64)
+        p = p + n
+        mixed = special.any()
+        if mixed:
+            lane = every[:k] if held is None else fresh
+            plain = np.flatnonzero(~special)
+            lit, all_p, all_green = lane[plain], p, green
+            p, w, green, g = p[plain], w[plain], green[plain], group[lit] if grouped else lit
+        e = entries[where[1][g] + (w & mask[1][g]).astype(np.int64)]
+        n = e & u15
+        w >>= n.astype(np.uint64)
+        p += n
+        argb = green << 8 | e >> 4 << 16
+        e = entries[where[2][g] + (w & mask[2][g]).astype(np.int64)]
+        p += e & u15
+        argb |= e >> 4
+        w = ahead[np.minimum(p >> u3, last)] >> (p & u7).astype(np.uint64)
+        e = entries[where[3][g] + (w & mask[3][g]).astype(np.int64)]
+        p += e & u15
+        argb |= e >> 4 << 24
+        if not mixed:
+            pos[fresh] = p
             out[start[:k][fresh] + step] = argb
         else:
-            lane = np.arange(k) if held is None else fresh
-            pos[lane] += n
-            plain = np.flatnonzero(~special)
-            lit, argb = lane[plain], green[plain] << 8
-            for c, shift in ((1, 16), (2, 0), (3, 24)):
-                w = ahead[np.minimum(pos[lit] >> 3, last)] >> (pos[lit] & 7).astype(np.uint64)
-                e = entries[where[c][group[lit]] + (w & mask[c][group[lit]]).astype(np.int64)]
-                pos[lit] += e & 15
-                argb |= e >> 4 << shift
+            all_p[plain] = p
+            pos[lane] = all_p
+            green = all_green
             out[start[lit] + step] = argb
             from_cache = np.flatnonzero(green >= LITERALS + LENGTH_CODES)
             if len(from_cache):
@@ -332,10 +378,9 @@ def decode_lanes(images: list[Image]) -> np.ndarray:
             out[start[held] + step] = out[start[held] + step - back[held]]
             left[held] -= 1
         if any_cache:
-            own = np.flatnonzero(cached[:k])
-            colour = out[start[own] + step]
-            at = (colour * np.uint32(CACHE_FACTOR)) >> (32 - cached[own]).astype(np.uint32)
-            cache[cache_at[own] + at.astype(np.int64)] = colour
+            colour = out[start[:k] + step]
+            at = (colour * np.uint32(CACHE_FACTOR)) >> cache_shift[:k]
+            cache[cache_at[:k] + at.astype(np.int64)] = colour
         step += 1
     done = np.zeros(len(images), np.int64)
     for j, (i, x) in enumerate(zip(order, lanes)):
@@ -447,8 +492,9 @@ def blocks(n: int, width: int, bits: int, values: np.ndarray) -> np.ndarray:
     return values[(at // width >> bits) * -(-width >> bits) + (at % width >> bits)]
 
 
-def cross_colour(pixels: np.ndarray, width: int, bits: int, values: np.ndarray, undo: bool = True) -> np.ndarray:
-    own, c = channels(blocks(len(pixels), width, bits, values)), channels(pixels)  # blue, green, red, alpha
+def crossed(pixels: np.ndarray, values: np.ndarray, undo: bool = True) -> np.ndarray:
+    """The cross-colour transform or its inverse, with the values of each pixel."""
+    own, c = channels(values), channels(pixels)  # blue, green, red, alpha
     sign = 1 if undo else -1
     green = signed(c[:, 1])
     red = c[:, 2] + sign * (signed(own[:, 0]) * green >> 5)
@@ -456,6 +502,15 @@ def cross_colour(pixels: np.ndarray, width: int, bits: int, values: np.ndarray,
     return joined(np.stack([blue & 255, c[:, 1], red & 255, c[:, 3]], 1))
 
 
+def cross_colour(pixels: np.ndarray, width: int, bits: int, values: np.ndarray, undo: bool = True) -> np.ndarray:
+    return crossed(pixels, blocks(len(pixels), width, bits, values), undo)
+
+
+def pack_of(colours: int) -> int:
+    """The binary logarithm of how many indexes of a palette share a pixel."""
+    return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+
+
 def unpack(pixels: np.ndarray, width: int, height: int, pack: int, colours: np.ndarray) -> np.ndarray:
     index = (pixels >> 8 & 0xFF).astype(np.int64).reshape(height, -1)
     if pack:
@@ -467,9 +522,11 @@ def unpack(pixels: np.ndarray, width: int, height: int, pack: int, colours: np.n
 
 def decode_many(chunks: list[bytes]) -> list[np.ndarray]:
     """The pixels of VP8L chunks, each of shape (height, width)."""
-    files = [read_file(c) for c in chunks]
-    if files:
-        decode_lanes([f.image for f in files])
+    files = read_files(chunks)
+    images = [f.image for f in files]
+    for kind in (False, True):  # those of nothing but literals take fewer steps for a pixel
+        if some := [x for x in images if x.special == kind]:
+            decode_lanes(some)
     now = [f.image.pixels for f in files]
     depth = max((len(f.transforms) for f in files), default=0)
     for back in range(1, depth + 1):
@@ -579,6 +636,33 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+def short_codes(lengths: list[int]) -> list[int]:
+    """canonical() for a few symbols."""
+    codes, code = [0] * len(lengths), 0
+    for n in range(1, max(lengths) + 1):
+        code <<= 1
+        for i, x in enumerate(lengths):
+            if x == n:
+                codes[i] = int(f"{code:0{n}b}"[::-1], 2)
+                code += 1
+    return codes
+
+
+def canonical_rows(lengths: np.ndarray, most: int) -> np.ndarray:
+    """canonical() of each row; most: the largest length that there may be."""
+    codes = np.zeros(lengths.shape, np.uint64)
+    row, symbol = np.nonzero(lengths)
+    size = lengths[row, symbol].astype(np.int64)
+    order = np.lexsort((symbol, size, row))
+    row, symbol, size = row[order], symbol[order], size[order]
+    share = 1 << (most - size)
+    before = np.cumsum(share) - share
+    begin = np.searchsorted(row, np.arange(len(lengths)))
+    before -= before[begin[row]]
+    codes[row, symbol] = reversed_bits(most)[before]
+    return codes
+
+
 class Writer:
     def __init__(self) -> None:
         self.value, self.n = 0, 0
@@ -617,7 +701,7 @@ def put_lengths(out: Writer, lengths: list[int]) -> None:
     for t, _, _ in tokens:
         counts[t] += 1
     own = code_lengths(counts, 7)
-    codes = canonical(np.array(own)).tolist()
+    codes = short_codes(own)
     alone = sum(x > 0 for x in own) < 2
     shown = max(4, max(i for i, k in enumerate(CODE_LENGTH_ORDER) if own[k]) + 1)
     out.put(0, 1), out.put(shown - 4, 4)
@@ -703,7 +787,8 @@ def put_image(out: Writer, pixels: np.ndarray, cache_bits: int = 0, references:
             if sum(x > 0 for x in lengths) == 1 and lengths.index(1) > 255:
                 lengths[0] = 1  # a simple code holds 8 bits of a symbol
             put_lengths(out, lengths)
-            codes[-1].append((canonical(np.array(lengths)).tolist(), [0 if sum(x > 0 for x in lengths) < 2 else x for x in lengths]))
+            alone = sum(x > 0 for x in lengths) < 2
+            codes[-1].append((canonical(np.array(lengths)).tolist(), [0] * len(lengths) if alone else lengths))
     for at, s, rest in symbols:
         own = codes[of(at)]
         out.put(own[0][0][s], own[0][1][s])
@@ -722,37 +807,277 @@ def put_head(out: Writer, width: int, height: int) -> None:
     out.put(0x2F, 8), out.put(width - 1, 14), out.put(height - 1, 14), out.put(1, 1), out.put(0, 3)
 
 
-def encode_strips(samples: np.ndarray, rows: list[int], width: int = 16, most: int = 11) -> list[bytes]:
+#: Predictors that the writer tries, bits of a block that holds a whole strip, and the largest cache it uses.
+TRIED = (1, 2, 11)
+WHOLE = 9
+MOST_CACHE = 9
+#: By what share literals must be longer than references or a cache, which take longer to read.
+WORTH = 0.06
+
+
+def bits_of(counts: np.ndarray) -> np.ndarray:
+    """About how many bits the symbols counted in each row take, with the lengths of their code."""
+    n = counts.sum(1)
+    c = np.maximum(counts, 1)
+    return n * np.log2(np.maximum(n, 1)) - (counts * np.log2(c)).sum(1) + 4.5 * np.count_nonzero(counts, axis=1) + 40
+
+
+def counted(strip: np.ndarray, symbols: np.ndarray, n: int, size: int) -> np.ndarray:
+    return np.bincount((strip * size + symbols).ravel(), minlength=n * size).reshape(n, size)
+
+
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix codes, extra bits and their numbers for lengths or distance codes."""
+    v = values - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    n = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> np.maximum(n, 0) & 1)), np.where(v < 4, 0, v & ((1 << n) - 1)), n
+
+
+class Strips:
+    """Pixels of many strips, one after the other; size: how many each has."""
+
+    def __init__(self, pixels: np.ndarray, size: np.ndarray, width: int):
+        self.pixels, self.size, self.width = pixels, size, width
+        self.start = np.cumsum(np.r_[0, size])
+        self.strip = np.repeat(np.arange(len(size)), size)
+        self.at = np.arange(len(pixels)) - self.start[self.strip]
+
+    def residuals(self, mode: int) -> np.ndarray:
+        p = np.concatenate([np.zeros(self.width + 1, np.uint32), self.pixels])
+        n, w = len(self.pixels), self.width
+        left, top, corner, right = p[w : w + n], p[1 : 1 + n], p[:n], p[2 : 2 + n]
+        guess = np.where(self.at < w, left, np.where(self.at % w == 0, top, predicted(mode, left, top, corner, right)))
+        guess[self.at == 0] = 0xFF000000
+        return (self.pixels.view(np.uint8) - guess.view(np.uint8)).view(np.uint32)
+
+    def multipliers(self) -> np.ndarray:
+        """Cross-colour values: what share of green makes red and blue most alike by least squares, by strip."""
+        c = channels(self.pixels)
+        green = signed(c[:, 1])
+        add_up = lambda x: np.add.reduceat(x, self.start[:-1]).astype(np.float64)
+        n, g = self.size, add_up(green)
+        spread = np.maximum(n * add_up(green * green) - g * g, 1)
+        share = [np.clip(np.rint(32 * (n * add_up(green * signed(c[:, k])) - g * add_up(signed(c[:, k]))) / spread), -128, 127).astype(np.int64) & 255 for k in (2, 0)]
+        return (0xFF000000 | share[1] << 8 | share[0]).astype(np.uint32)
+
+    def palettes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By strip, the bits that a palette and its indexes would take (infinite over 256 colours); the sorted
+        distinct (strip << 32 | colour); where each strip's begin."""
+        keys = np.sort(self.strip.astype(np.uint64) << np.uint64(32) | self.pixels)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        times = np.diff(np.r_[first, len(keys)])
+        keys = keys[first]
+        begin = np.searchsorted(keys, np.arange(len(self.size) + 1).astype(np.uint64) << np.uint64(32))
+        colours = np.diff(begin)
+        cost = self.size * np.log2(self.size) - np.add.reduceat(times * np.log2(times), begin[:-1]) + colours * (4.5 + 28) + 300
+        return np.where(colours <= 256, cost, np.inf), keys, begin
+
+    def copies(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, length and distance of back-references, in order, that don't overlap: a run of places whose next
+        three pixels last stood equally far back is one."""
+        p, n = self.pixels, len(self.pixels)
+        if n < 4:
+            return (np.zeros(0, np.int64),) * 3
+        three = p[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        three = (three ^ p[1:-1]) * np.uint64(0xBF58476D1CE4E5B9)
+        three = ((three ^ p[2:]) * np.uint64(0x94D049BB133111EB)) >> np.uint64(24) ^ self.strip[:-2].astype(np.uint64) << np.uint64(40)
+        order = np.argsort(three, kind="stable")
+        a, b = order[:-1], order[1:]
+        same = three[a] == three[b]
+        a, b = a[same], b[same]
+        for k in range(3):
+            ok = (p[a + k] == p[b + k]) & (self.strip[a + k] == self.strip[b + k]) & (self.strip[b] == self.strip[b + k])
+            a, b = a[ok], b[ok]
+        back = np.zeros(n, np.int64)
+        back[b] = b - a
+        edge = np.flatnonzero(np.r_[True, (back[1:] != back[:-1]) | (self.strip[1:] != self.strip[:-1])])
+        stop = np.r_[edge[1:], n]
+        edge, stop = edge[back[edge] > 0], stop[back[edge] > 0] + 2
+        begin = np.maximum(edge, np.r_[0, stop[:-1]])
+        ok = stop - begin >= 3
+        return begin[ok], (stop - begin)[ok], back[edge[ok]]
+
+    def hits(self, cache_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each pixel's slot in the colour cache, and whether it is there."""
+        slot = ((self.pixels * np.uint32(CACHE_FACTOR)) >> (32 - cache_bits[self.strip]).astype(np.uint32)).astype(np.int64)
+        key = (self.strip << MOST_CACHE | slot).astype(np.uint32 if len(self.size) < 1 << (32 - MOST_CACHE) else np.int64)
+        order = np.argsort(key, kind="stable")
+        a, b = order[:-1], order[1:]
+        hit = np.zeros(len(self.pixels), bool)
+        hit[b] = (key[a] == key[b]) & (self.pixels[a] == self.pixels[b])
+        return slot, hit
+
+
+def transformed(strips: Strips) -> tuple[Strips, list[tuple], np.ndarray]:
+    """The strips after the transform that makes each smallest, if any: pixels, (kind, values) or () for each strip,
+    and which have a palette."""
+    n, base = len(strips.size), np.repeat(strips.strip, 4)
+    cost = lambda p: bits_of(counted(base, p.view(np.uint8), n, 256))
+    least, kinds, best = cost(strips.pixels), [()] * n, strips.pixels
+
+    def offer(pixels: np.ndarray, extra: int, kind) -> None:
+        nonlocal best
+        now = cost(pixels) + extra
+        won = now < least
+        if won.any():
+            least[won] = now[won]
+            best = np.where(won[strips.strip], pixels, best)
+            for i in np.flatnonzero(won):
+                kinds[i] = kind(i)
+
+    green = strips.pixels >> np.uint32(8) & np.uint32(0xFF)
+    offer((strips.pixels.view(np.uint8) - (green | green << np.uint32(16)).view(np.uint8)).view(np.uint32), 3, lambda i: (SUBTRACT_GREEN, None))
+    values = strips.multipliers()
+    offer(crossed(strips.pixels, values[strips.strip], undo=False), 80, lambda i: (CROSS_COLOUR, values[i : i + 1]))
+    for mode in TRIED:
+        offer(strips.residuals(mode), 70, lambda i, m=mode: (PREDICTOR, np.array([0xFF000000 | m << 8], np.uint32)))
+    size, keys, begin = strips.palettes()
+    few = np.flatnonzero(size < least)
+    if not len(few):
+        return Strips(best, strips.size, strips.width), kinds, np.zeros(n, bool)
+    pieces = np.split(best, strips.start[1:-1])
+    for i in few:
+        colours = (keys[begin[i] : begin[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        index = np.searchsorted(colours, strips.pixels[strips.start[i] : strips.start[i + 1]]).reshape(-1, strips.width)
+        pack = pack_of(len(colours))
+        index = np.pad(index, ((0, 0), (0, -strips.width % (1 << pack))))
+        index = (index.reshape(len(index), -1, 1 << pack) << (np.arange(1 << pack) * (8 >> pack))).sum(2)
+        pieces[i], kinds[i] = (index.ravel() << 8 | 0xFF000000).astype(np.uint32), (PALETTE, colours)
+    return Strips(np.concatenate(pieces), np.array([len(p) for p in pieces]), strips.width), kinds, np.isin(np.arange(n), few)
+
+
+def put_transform(out: Writer, kind: int, values: np.ndarray | None) -> None:
+    out.put(1, 1), out.put(kind, 2)
+    if kind == PALETTE:
+        out.put(len(values) - 1, 8)
+        c = channels(values)
+        values = joined(np.r_[c[:1], np.diff(c, axis=0) & 255])
+    elif kind != SUBTRACT_GREEN:
+        out.put(WHOLE - 2, 3)
+    if values is not None:
+        put_image(out, values)
+
+
+def encode_strips(samples: np.ndarray, rows: list[int], width: int = 16, most: int = 12) -> list[bytes]:
     """VP8L chunks of strips that lie one after the other in samples (red, green, blue, alpha of each pixel), strip i
-    of rows[i] lines: literals under prefix codes, which the strip's colours share, all strips at once."""
-    sizes = np.array(rows, np.int64) * width  # pixels
-    quads = samples.reshape(-1, 4)[:, [1, 0, 2, 3]]  # in the order of the format: green red blue alpha
-    strip = np.repeat(np.arange(len(rows)), sizes)
-    counts = np.bincount((strip[:, None] * 256 + quads).ravel(), minlength=256 * len(rows)).reshape(-1, 256)
-    lens = np.zeros((len(rows), 256), np.uint64)
-    codes = np.zeros((len(rows), 256), np.uint64)
-    heads = []
-    for i in range(len(rows)):
-        own = code_lengths(counts[i].tolist(), most)
-        head = Writer()
-        put_head(head, width, rows[i])
-        head.put(0, 3)  # no transform, no colour cache, one group
-        code = Writer()
-        put_lengths(code, own)
-        for _ in range(4):
-            head.put(code.value, code.n)
-        put_lengths(head, [])
-        own = np.array(own)
-        codes[i] = canonical(own)
-        lens[i] = own if np.count_nonzero(own) > 1 else 0
-        heads.append(head)
-    value = np.zeros(len(quads), np.uint64)
-    size = np.zeros(len(quads), np.uint64)
-    for c in range(4):
-        at = strip * 256 + quads[:, c]
-        value |= codes.ravel()[at] << size
-        size += lens.ravel()[at]
-    size = size.astype(np.int64)
+    of rows[i] lines, all strips at once. Each strip gets the transform, the colour cache and the back-references that
+    make it smallest, by its counts of symbols. Red, blue and alpha share a prefix code, in a strip of nothing but
+    literals green as well; with a palette only green has one."""
+    n = len(rows)
+    pixels = np.ascontiguousarray(samples.reshape(-1, 4)[:, [2, 1, 0, 3]]).view(np.uint32).ravel()
+    s, kinds, indexed = transformed(Strips(pixels, np.array(rows, np.int64) * width, width))
+    quads = s.pixels.view(np.uint8).reshape(-1, 4)  # blue, green, red, alpha
+    cache_bits = np.clip(np.frexp(s.size.astype(np.float64))[1] - 2, 4, MOST_CACHE).astype(np.int64)
+    begin, length, back = s.copies()
+    slot, hit = s.hits(cache_bits)
+    edge = np.zeros(len(s.pixels) + 1, np.int64)
+    edge[begin] += 1
+    edge[begin + length] -= 1
+    inside = np.cumsum(edge[:-1]) > 0
+    head = np.zeros(len(s.pixels), bool)
+    head[begin] = True
+    code, code_extra, code_n = prefixes(length)
+    far, far_extra, far_n = prefixes(back + 120)
+    green = quads[:, 1].astype(np.int64)
+    copy_code = np.zeros(len(s.pixels), np.int64)
+    copy_code[begin] = LITERALS + code
+    size = LITERALS + LENGTH_CODES + (1 << MOST_CACHE)
+
+    def tables(copied: np.ndarray, cached: np.ndarray) -> tuple:
+        """Counts of green, other and distance codes if pixels marked in copied and cached are such, and which pixels
+        begin a symbol, which are literals, and the symbols in green's code."""
+        literal = ~(copied | cached)
+        symbol = np.where(copied, copy_code, np.where(cached, LITERALS + LENGTH_CODES + slot, green))
+        starts = ~copied | head
+        rest = literal & ~indexed[s.strip]
+        own = counted(s.strip[starts], symbol[starts], n, size)
+        others = counted(s.strip[rest][:, None], quads[rest][:, [0, 2, 3]], n, 256)
+        kept = copied[begin]
+        return own, others, counted(s.strip[begin[kept]], far[kept], n, DISTANCES), starts, literal, symbol
+
+    extra_bits = np.bincount(s.strip[begin], code_n + far_n, n)
+    none = np.zeros(len(s.pixels), bool)
+    own, others, _, *_ = tables(none, none)
+    alike = own[:, :256] + others
+    choices = [np.where(indexed, bits_of(own) + 40, bits_of(alike) + 3 * (4.5 * np.count_nonzero(alike, axis=1) + 40))]
+    for copied, cached in ((inside, none), (none, hit), (inside, hit & ~inside)):
+        own, others, away, *_ = tables(copied, cached)
+        headers = 2 * (4.5 * np.count_nonzero(others, axis=1) + 40)
+        choices.append(bits_of(own) + np.where(indexed, 0, bits_of(others) + headers) + (bits_of(away) + extra_bits if copied is inside else 0))
+    choices = np.stack(choices)
+    choices[1:] *= 1 + WORTH
+    choice = np.argmin(choices, axis=0)
+    references, cache = (choice & 1) > 0, choice > 1
+    copied = inside & references[s.strip]
+    cached = hit & cache[s.strip] & ~copied
+    own, others, away, starts, literal, symbol = tables(copied, cached)
+    plain = (choice == 0) & ~indexed
+    own[plain, :256] += others[plain]
+
+    heads, lens = [], [np.zeros(c.shape, np.uint64) for c in (own, others, away)]
+    for i in range(n):
+        out = Writer()
+        put_head(out, width, rows[i])
+        if kinds[i]:
+            put_transform(out, *kinds[i])
+        out.put(0, 1)
+        out.put(int(cache[i]), 1)
+        if cache[i]:
+            out.put(int(cache_bits[i]), 4)
+        out.put(0, 1)  # one group
+        written = []
+        for c, to in zip((own, others, away), lens):
+            if plain[i] and to is lens[1]:
+                written.append(written[0])
+                to[i] = lens[0][i, :256]
+                continue
+            used = np.flatnonzero(c[i])
+            piece = Writer()
+            written.append(piece)
+            if not len(used):
+                put_lengths(piece, [])
+                continue
+            now = np.zeros(int(used[-1]) + 1, np.uint64)
+            now[used] = code_lengths(c[i, used].tolist(), most)
+            put_lengths(piece, now.tolist())
+            if len(used) > 1:
+                to[i, : len(now)] = now
+        out.put(written[0].value, written[0].n)
+        if indexed[i]:
+            for k in (0, 0, 255):
+                put_lengths(out, [0] * k + [1])
+        else:
+            for _ in range(3):
+                out.put(written[1].value, written[1].n)
+        out.put(written[2].value, written[2].n)
+        heads.append(out)
+
+    found = [(canonical_rows(x, most), x) for x in lens]
+    value, bits = np.zeros(len(s.pixels), np.uint64), np.zeros(len(s.pixels), np.uint64)
+
+    def put(places: np.ndarray, what: np.ndarray, how_many: np.ndarray) -> None:
+        value[places] |= what.astype(np.uint64) << bits[places]
+        bits[places] += how_many.astype(np.uint64)
+
+    def put_code(places: np.ndarray, k: int, symbols: np.ndarray) -> None:
+        at = s.strip[places] * found[k][0].shape[1] + symbols
+        put(places, found[k][0].ravel()[at], found[k][1].ravel()[at])
+
+    token = np.flatnonzero(starts)
+    put_code(token, 0, symbol[token])
+    full = np.flatnonzero(literal & ~indexed[s.strip])
+    for c in (2, 0, 3):
+        put_code(full, 1, quads[full, c])
+    kept = copied[begin]
+    put(begin[kept], code_extra[kept], code_n[kept])
+    put_code(begin[kept], 2, far[kept])
+    put(begin[kept], far_extra[kept], far_n[kept])
+    return joined_bits(value[token], bits[token].astype(np.int64), np.bincount(s.strip[token], minlength=n), heads)
+
+
+def joined_bits(value: np.ndarray, size: np.ndarray, sizes: np.ndarray, heads: list[Writer]) -> list[bytes]:
+    """For each head its bits and those of its next sizes[i] values, of size bits each, 64 at most."""
     stop = np.cumsum(size)
     first = np.cumsum(np.r_[0, sizes])[:-1]
     before = np.r_[0, stop][first]
