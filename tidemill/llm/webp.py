@@ -81,13 +81,13 @@ def lookup(lengths: np.ndarray) -> np.ndarray:
 
 
 def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
-    lengths = np.zeros(alphabet, np.int64)
+    lengths = [0] * alphabet
     if bits.take(1):  # simple
         two, wide = bits.take(1), bits.take(1)
         lengths[bits.take(8 if wide else 1)] = 1
         if two:
             lengths[bits.take(8)] = 1
-        return lengths
+        return np.array(lengths)
     own = np.zeros(19, np.int64)
     for k in CODE_LENGTH_ORDER[: 4 + bits.take(4)]:
         own[k] = bits.take(3)
@@ -97,10 +97,16 @@ def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
     if bits.take(1):
         left = 2 + bits.take(2 + 2 * bits.take(3))
     at, last = 0, 8
-    data, pos = bits.data, bits.at
+    pos, next_byte = bits.at, (bits.at >> 3) + 64
+    window = int.from_bytes(bits.data[bits.at >> 3 : next_byte], "little") >> (bits.at & 7)
+    mask = (1 << width) - 1
     while at < alphabet and left:
         left -= 1
-        code = codes[int.from_bytes(data[pos >> 3 : (pos >> 3) + 2], "little") >> (pos & 7) & ((1 << width) - 1)]
+        if 8 * next_byte - pos < 16:
+            window |= int.from_bytes(bits.data[next_byte : next_byte + 64], "little") << (8 * next_byte - pos)
+            next_byte += 64
+        code = codes[window & mask]
+        window >>= code & 15
         pos += code & 15
         code >>= 4
         if code < 16:
@@ -109,14 +115,15 @@ def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
             at += 1
             continue
         value, extra, base = ((last, 2, 3), (0, 3, 3), (0, 7, 11))[code - 16]
-        n = base + (int.from_bytes(data[pos >> 3 : (pos >> 3) + 3], "little") >> (pos & 7) & ((1 << extra) - 1))
+        n = base + (window & ((1 << extra) - 1))
+        window >>= extra
         pos += extra
         if at + n > alphabet:
             raise ValueError("too many code lengths")
-        lengths[at : at + n] = value
+        lengths[at : at + n] = [value] * n
         at += n
     bits.at = pos
-    return lengths
+    return np.array(lengths)
 
 
 @dataclass
@@ -401,8 +408,8 @@ def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (((a & low) + (b & low)) & low) | (((a & high) + (b & high)) & high)
 
 
-def channels(a: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 4).astype(np.int64)
+def channels(a: np.ndarray, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 4).astype(kind)
 
 
 def joined(a: np.ndarray) -> np.ndarray:
@@ -484,7 +491,7 @@ def undo_predictor(files: list[tuple[np.ndarray, int, int, np.ndarray]]) -> list
 
 
 def signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8).view(np.int8).astype(np.int64)
+    return x.astype(np.uint8).view(np.int8).astype(x.dtype)
 
 
 def blocks(n: int, width: int, bits: int, values: np.ndarray) -> np.ndarray:
@@ -494,7 +501,7 @@ def blocks(n: int, width: int, bits: int, values: np.ndarray) -> np.ndarray:
 
 def crossed(pixels: np.ndarray, values: np.ndarray, undo: bool = True) -> np.ndarray:
     """The cross-colour transform or its inverse, with the values of each pixel."""
-    own, c = channels(values), channels(pixels)  # blue, green, red, alpha
+    own, c = channels(values, np.int16), channels(pixels, np.int16)  # blue, green, red, alpha
     sign = 1 if undo else -1
     green = signed(c[:, 1])
     red = c[:, 2] + sign * (signed(own[:, 0]) * green >> 5)
