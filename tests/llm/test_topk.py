@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tidemill.llm import topk
@@ -40,3 +41,21 @@ def test_against_brute_force(spark, n, parts, monkeypatch):
     got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 5, parts).collect()]
     want = brute([tuple(r) for r in df.collect()])
     assert sorted(got) == sorted(want)
+    if parts > 1:  # without bounds of parts
+        monkeypatch.setattr(topk, "ROUTED", 0)
+        got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 5, parts).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_queries_go_where_they_may_find_something(spark):
+    bounds = np.array([0, 3, 4]), np.array([[9.0, 9], [1, 1], [5, -2]]), np.array([[7.0, 7], [-1, -1], [4, -3]])
+    asked = spark.createDataFrame([(1, [1, 1], 8), (2, [-1, 0], 0), (3, [1, 1], None), (4, [0, -2], 6), (5, [1], 9)], "query_id long, v array<long>, floor long")
+    rows = lambda first: {(r.query_id, r.part) for r in topk.route(asked, bounds, 2, first).collect()}
+    assert rows(False) == {(1, 0), (2, 3), (3, 0), (3, 3), (3, 4), (4, 4), (5, 0)}
+    assert {(1, 0), (1, 4), (3, 0), (4, 4), (4, 3)} <= rows(True) and len(rows(True)) == 10
+
+
+def test_part_bounds(spark):
+    rows = [(0, [1, 5]), (0, [-2]), (2, [3, 3]), (0, [7, -1])]
+    parts, high, low = topk.part_bounds(spark.createDataFrame(rows, "part int, v array<int>"), 2)
+    assert parts.tolist() == [0, 2] and high.tolist() == [[7, 5], [3, 3]] and low.tolist() == [[-2, -1], [3, 3]]

@@ -3,9 +3,10 @@
 A vector's terms are its components. Candidates are put into blocks, ranges of an order that brings like vectors
 together; each block has its terms' maxima and minima and a forward index, the integer components of its vectors. A
 query's bound for a block is the sum over terms of its weight times the block's maximum, or the minimum where the
-weight is negative. Each task holds some blocks and gets the queries in turn: a query visits blocks by falling bound
-and stops when the bound is below its kth best score so far. A first round, over the few blocks with the best bounds
-of all, gives each query a kth score to start from; the second visits only blocks whose bound reaches it.
+weight is negative. Blocks next to each other in the order form a part, which a task holds and which has bounds of the
+same kind. A first round sends each query to the few parts with its best bounds, where some blocks give it a kth score to
+start from; the second sends it only to parts whose bound reaches that. There it visits blocks by falling bound and stops
+when the bound is below its kth best score so far.
 
 Components: floor(256 * x), x as double. Vectors that are null or empty, or hold null or non-finite components, take no part, nor do
 rows without id. Vectors of different lengths are padded with zeros. Ties go to the smaller id; a query never finds
@@ -25,6 +26,12 @@ from tidemill.llm.common import Scratch
 BLOCK = 256
 #: Queries that a task scores at a time.
 QUERIES = 512
+#: Parts that a query goes to in the first round, and blocks that it visits there.
+FIRST, VISITS = 2, 8
+#: Bytes of the parts' bounds up to which they are given to the tasks; beyond, each part gets all queries.
+ROUTED = 64 << 20
+#: Rows of queries and parts that a task makes at a time.
+ROUTES = 16_384
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -91,11 +98,56 @@ class Blocks:
         return row, best_id[row, col], best[row, col].astype(np.int64)
 
 
+def part_bounds(keyed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the parts, and the maxima and minima of their terms. To the driver come a few rows for each part."""
+
+    def run(batches):
+        high, low = {}, {}
+        for b in batches:
+            part, x = b.column("part").to_numpy(), matrix(b.column("v"), width, np.int64)
+            for p in np.unique(part).tolist():
+                own = x[part == p]
+                high[p] = np.maximum(high[p], own.max(0)) if p in high else own.max(0)
+                low[p] = np.minimum(low[p], own.min(0)) if p in low else own.min(0)
+        yield pa.RecordBatch.from_arrays([pa.array([*high], pa.int32()), pa.array([*high.values()], pa.list_(pa.int64())), pa.array([*low.values()], pa.list_(pa.int64()))], names=["part", "high", "low"])
+
+    rows = keyed.select("part", "v").mapInArrow(run, "part int, high array<long>, low array<long>").collect()
+    parts = np.array(sorted({r.part for r in rows}), np.int64)
+    high = np.full((len(parts), width), -np.inf)
+    low = np.full((len(parts), width), np.inf)
+    for r in rows:
+        i = np.searchsorted(parts, r.part)
+        high[i], low[i] = np.maximum(high[i], r.high), np.minimum(low[i], r.low)
+    return parts, high, low
+
+
+def route(asked: DataFrame, bounds: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, first: bool) -> DataFrame:
+    """asked (query_id, v, floor), once for each part that it goes to: in the first round the few with the best bounds,
+    later all whose bound reaches the floor (null: all)."""
+    parts, high, low = bounds
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, len(whole), n := max(1, ROUTES // max(1, len(parts)))):
+                b = whole.slice(i, n)
+                q = matrix(b.column("v"), width, np.float64)
+                bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                if first:
+                    floor = np.sort(bound, axis=1)[:, -min(FIRST, len(parts)) :][:, :1]
+                else:
+                    floor = np.array([-np.inf if f is None else f for f in b.column("floor").to_pylist()], np.float64)[:, None]
+                row, col = np.nonzero(bound >= floor)
+                kept = pa.Table.from_batches([b]).take(pa.array(row)).append_column("part", pa.array(parts[col], pa.int32()))
+                yield from kept.combine_chunks().to_batches()
+
+    return asked.select("query_id", "v", "floor").mapInArrow(run, "query_id long, v array<long>, floor long, part int")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int | None = None, group: int = 400_000, seed: int = 7) -> DataFrame:
     """queries: rows of vectors' form. Returns query_id, rank (from 1), vec_id, score.
 
-    The candidates are dealt into parts of about `group` vectors, which lie in a task's memory; each part gets all
-    queries, in a stream."""
+    The candidates are cut into parts of about `group` vectors, which lie in a task's memory, by their order; within
+    vectors of one key by a hash of the id. Each part gets those queries, in a stream, whose bound for it is high enough."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     every = scratch.write("vectors", quantized(vectors))
@@ -114,7 +166,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int | None
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order_key(matrix(b.column("v"), width, np.float64), rays, planes))], names=["vec_id", "v", "key"])
 
-    keyed = scratch.write("keyed", every.mapInArrow(key, "vec_id long, v array<long>, key long").select(F.col("vec_id").alias("id"), F.col("v").cast("array<int>").alias("v") if (largest or 0) < 1 << 31 else "v", "key", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part")))
+    keyed = scratch.write("keyed", every.mapInArrow(key, "vec_id long, v array<long>, key long").select(F.col("vec_id").alias("id"), F.col("v").cast("array<int>").alias("v") if (largest or 0) < 1 << 31 else "v", "key", F.xxhash64("vec_id").alias("salt")).repartitionByRange(parts, "key", "salt").select("id", "v", "key", F.spark_partition_id().alias("part")))
+    bounds = part_bounds(keyed, width) if 1 < parts <= ROUTED // (16 * width) else None
     candidates = keyed.select("part", "id", "v", "key", F.lit(None).cast("long").alias("floor"), F.lit(0).alias("side"))
 
     def scan(visits):
@@ -147,7 +200,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int | None
         return run
 
     def round_(asked: DataFrame, visits: int | None) -> DataFrame:
-        each = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # the stated queries against all rows, by part
+        if bounds:
+            each = route(asked, bounds, width, visits is not None)
+        else:
+            each = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # the stated queries against all rows, by part
         rows = candidates.unionByName(each.select("part", F.col("query_id").alias("id"), F.col("v").cast(keyed.schema["v"].dataType).alias("v"), F.lit(None).cast("long").alias("key"), "floor", F.lit(1).alias("side")))
         return rows.repartition(parts, "part").sortWithinPartitions("part", "side", "id").mapInArrow(scan(visits), FOUND)
 
@@ -157,7 +213,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int | None
         return found.groupBy("query_id").agg(top.alias("top"))
 
     if parts > 1:
-        first = best(round_(asked.withColumn("floor", F.lit(None).cast("long")), 2))
+        first = best(round_(asked.withColumn("floor", F.lit(None).cast("long")), VISITS))
         floor = first.where(F.size("top") == k).select("query_id", (-F.element_at("top", -1)["s"]).alias("floor"))
         asked = scratch.write("asked", asked.join(floor.dropDuplicates(["query_id"]), "query_id", "left"))
     else:
