@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, chat, license, lines, media, packing, simhash, suffix, topk, toxicity
+from tidemill.llm import bpe, chat, license, lines, media, packing, periodic, resample, simhash, suffix, topk, toxicity
 from tidemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -116,9 +116,81 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+OP11 = r"""
+WITH w AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS ws FROM documents
+), tw AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')) AS word FROM benchmark
+), dw AS (
+    SELECT r, word, count(*) AS n FROM (SELECT r, unnest(ws) AS word FROM w) GROUP BY ALL
+), bits AS (
+    SELECT word, [(CAST('0x' || substr(hx, 2 * (k // 8) + 1, 2) AS BIGINT) >> (k % 8)) & 1 FOR k IN range(4 * length(hx))] AS b
+    FROM (SELECT word, hex(encode(word)) AS hx FROM (SELECT word FROM dw UNION SELECT word FROM tw))
+), bucket AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: CASE WHEN xor(c, x) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 10000 AS k FROM bits
+), s AS (
+    SELECT k, sum(n) AS s FROM dw JOIN bucket USING (word) GROUP BY k
+), t AS (
+    SELECT k, count(*) AS t FROM tw JOIN bucket USING (word) GROUP BY k
+), gain AS (
+    SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+        / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (k)
+), weighed AS (
+    SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN bucket USING (word) JOIN gain USING (k) GROUP BY r
+), scored AS (
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM w LEFT JOIN weighed USING (r)
+), placed AS (
+    SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id) AS n, count(*) FILTER (n_features >= 20) OVER () AS total FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND n <= 10 * total // 100 THEN CAST(n AS BIGINT) END AS rank FROM placed
+"""
+
+
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x{0B}\f\r]+') AS ws,
+        [(CAST('0x' || substr(hex(encode(CAST(doc_id AS VARCHAR))), 2 * (k // 8) + 1, 2) AS BIGINT) >> (k % 8)) & 1 FOR k IN range(8 * length(CAST(doc_id AS VARCHAR)))] AS b FROM documents
+), hashed AS (
+    SELECT r, doc_id, ws, len(ws) AS n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: CASE WHEN xor(c, x) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h FROM d
+), shaped AS (
+    SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN (h // 10) % n END AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM hashed
+), placed AS (
+    SELECT r, doc_id, n, a, p, ws, unnest(range(n)) AS i FROM shaped
+), word AS (
+    SELECT r, i, ws[CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END + 1] AS w FROM placed
+), same AS (
+    SELECT x.r, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.r = y.r AND x.w = y.w AND x.i < y.i
+), island AS (
+    SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same) GROUP BY r, q, k
+), run AS (
+    SELECT r, start, length, min(q) AS period FROM island WHERE length >= greatest(12, 2 * q) GROUP BY r, start, length
+), best AS (
+    SELECT r, count(*) AS n_runs, max({'l': length, 's': -start, 'p': -period}) AS b,
+        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM run GROUP BY r
+), dropped AS (
+    SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run
+), kept AS (
+    SELECT r, string_agg(w, ' ' ORDER BY i) AS said FROM word ANTI JOIN dropped USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(-b.p AS BIGINT) AS period,
+    CAST(1000 * b.l // -b.p AS BIGINT) AS exponent_milli, sha256(coalesce(best.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+FROM shaped LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.planted(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_license, op3_topk, op4_bpe, op5_simhash, op6_media, op7_toxicity, op8_packing, op9_suffix, op10_lines)}
+    return {f.__name__: f for f in (op1_chat, op2_license, op3_topk, op4_bpe, op5_simhash, op6_media, op7_toxicity, op8_packing, op9_suffix, op10_lines, op11_resample, op12_periodic)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1, "op3_topk": OP3, "op9_suffix": OP9}
+    return {"op1_chat": OP1, "op3_topk": OP3, "op9_suffix": OP9, "op11_resample": OP11, "op12_periodic": OP12}
