@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, chat, license, lines, media, packing, periodic, resample, simhash, suffix, topk, toxicity
+from tidemill.llm import bpe, chat, jaccard, license, lines, media, packing, periodic, resample, simhash, suffix, topk, toxicity
 from tidemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -188,9 +188,33 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.planted(table(spark, sf_dir, "documents")))
 
 
+OP13 = r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x{0B}\f\r]+') AS ws FROM documents
+), shingle AS (
+    SELECT DISTINCT r, s FROM (SELECT r, unnest([array_to_string(ws[i : i + 3], ' ') FOR i IN range(1, greatest(len(ws) - 2, 2))]) AS s FROM d WHERE len(ws) > 0)
+), sized AS (
+    SELECT r, count(*) AS n FROM shingle GROUP BY r
+), near AS (
+    SELECT a.r AS x, b.r AS y, count(*) AS common FROM shingle a JOIN shingle b ON a.s = b.s AND a.r <> b.r GROUP BY ALL
+), link AS (
+    SELECT x, y FROM near JOIN sized a ON a.r = x JOIN sized b ON b.r = y WHERE 100 * common >= 85 * (a.n + b.n - common)
+), reach AS (
+    SELECT r AS x, r AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+), named AS (
+    SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = y GROUP BY x
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN named USING (r) LEFT JOIN sized USING (r)
+"""
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 4, (85, 100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_license, op3_topk, op4_bpe, op5_simhash, op6_media, op7_toxicity, op8_packing, op9_suffix, op10_lines, op11_resample, op12_periodic)}
+    return {f.__name__: f for f in (op1_chat, op2_license, op3_topk, op4_bpe, op5_simhash, op6_media, op7_toxicity, op8_packing, op9_suffix, op10_lines, op11_resample, op12_periodic, op13_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1, "op3_topk": OP3, "op9_suffix": OP9, "op11_resample": OP11, "op12_periodic": OP12}
+    return {"op1_chat": OP1, "op3_topk": OP3, "op9_suffix": OP9, "op11_resample": OP11, "op12_periodic": OP12, "op13_jaccard": OP13}
