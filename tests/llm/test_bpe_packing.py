@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -40,6 +41,21 @@ def test_every_code_point():
             assert np.frombuffer(x, "<u4").tolist() == y.ids, ascii(lot)
 
 
+def test_marks_in_all_orders():
+    """Every mark, and every character with parts, between marks of lower and higher classes; then many together."""
+    library, own = Tokenizer.from_file(WORD_BPE), bpe.WordBpe(WORD_BPE)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in every if unicodedata.combining(c)]
+    parts = [unicodedata.normalize("NFD", c) for c in every if unicodedata.decomposition(c) and not 0xAC00 <= ord(c) < 0xD7A4]
+    around = [("", "\u0345x"), ("\u0345", "x"), ("", "\u0334x"), ("\u0334", "x"), ("", "\u0323\u0301x"), ("\u0301", "\u0323x"), ("\u0323", "\u0308\u0334")]
+    said = ["".join(f"a{a}{m}{z} " for a, z in around) for m in marks] + [f"{p}x {p}\u0323 a{p[-1]}\u0345{p} " for p in parts]
+    rnd = random.Random(3)
+    some = marks + ["a", "e", "O", "\u1100", "\u1161", "\u11a8", "\U00011935", "\U00011930", "\u0915"] * 30
+    said += ["".join(rnd.choice(some) for _ in range(12)) for _ in range(5000)]
+    for t, x, y in zip(said, own.encode(said), library.encode_batch(said, add_special_tokens=False)):
+        assert np.frombuffer(x, "<u4").tolist() == y.ids, ascii(t)
+
+
 @pytest.mark.parametrize("name", ["a.b", "text_", "`"])
 def test_other_columns_stay(spark, name):
     df = spark.createDataFrame([("one", 1), (None, 2), ("one", 1)], "text string, other long").withColumnRenamed("other", name)

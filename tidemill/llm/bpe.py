@@ -41,6 +41,16 @@ MORE_CASES = [
     (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
     (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
 ]
+#: Marks whose order in a text the library's normal form, of Unicode 9, leaves as it is, as it doesn't know
+#: them; and U+11930, which it doesn't join to what stands before.
+UNORDERED = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136),
+    (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+APART = re.compile("([" + "".join(f"{chr(a)}-{chr(z)}" for a, z in UNORDERED) + "])")
 LOWER = {c: c + to for a, z, to in MORE_CASES for c in range(a, z + 1)}
 HAS_LOWER = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z, _ in MORE_CASES) + "]")
 
@@ -62,6 +72,13 @@ SPECIAL = " "
 NONE = np.int64(1) << 40
 
 
+def normal(text: str) -> str:
+    """The library's normal form C: a mark that it doesn't know stands for itself, and what is on either side does not meet."""
+    if not APART.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in APART.split(text))
+
+
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: printable ones stand for themselves, the rest follow from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -134,7 +151,7 @@ class WordBpe:
     def _chunks(self, text: str) -> list[str]:
         """The text in normal form, cut at white space and between a word and a stop that ends it."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = normal(text).replace("Σ", "σ")
             text = text.translate(LOWER) if HAS_LOWER.search(text) else text
         text = STOP.sub(r" \1", text.lower())
         return SPACE.split(text) if NOT_SPACE.search(text) else text.split()
