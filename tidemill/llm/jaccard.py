@@ -4,13 +4,13 @@ Words are runs other than ASCII white space, A-Z lower-cased. A text's set holds
 of a text with fewer words the one of all of them; without words it is empty and linked with nothing. Two texts are linked if the
 intersection of their sets is at least similarity = num / den of their union.
 
-1. Texts with equal sets are one. In an order of all shingles, common ones last, two similar sets share one of the first
-   n - ceil(similarity * n) + 1 of at least one of them each, so texts can only be linked if they meet under such a leading shingle.
-2. First round: texts that meet under one of their first few leading shingles (a crowded one in parts, each with the
-   text of smallest number) are joined. That brings together nearly all classes.
-3. Second round: where texts of different classes still meet under any leading shingle, they are joined too. Those that such
-   shingles lead to are one lot if that is less work than a lot for each shingle. Large lots are cut in blocks
-   by size, and each pair of blocks of like sizes is a task of its own, so no group meets in one task.
+1. Texts with equal sets are one. In an order of all shingles, common ones last, two similar sets share k of the first
+   n - ceil(similarity * n) + k shingles of each (k = `AGREE`, or less for very small sets): their leading shingles.
+2. Where few texts have a leading shingle, pairs of like sizes are listed and counted; those that share k of them are candidates. Where
+   more have it, each is a candidate with the one of smallest number.
+3. Classes of the candidates are lots, each of which is joined. Those that crowded shingles have brought together are one lot if
+   that is less work than a lot for each such shingle. Large lots are cut in blocks by size, and each pair of blocks
+   of like sizes is a unit of its own, so no group meets in one task.
 
 A join takes the sets of two blocks, or of one with itself. It hangs them, sorted by size and first shingle, below
 trees whose nodes hold the OR of the bitmaps below them (a bit for each shingle's hash), their smallest and largest
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import Scratch, trim
 from tidemill.llm.components import components
 from tidemill.llm.lines import text_key
-from tidemill.llm.simhash import Forest, common_shingles, expand, shingle_set, words_of
+from tidemill.llm.shingles import Forest, common_shingles, expand, shingle_set, words_of
 
-#: Leading shingles under which texts meet in the first round.
-FIRST = 2
+#: Leading shingles that candidates share.
+AGREE = 3
+#: Texts that share a shingle up to which their pairs are listed.
+LISTED = 16
 #: Texts in a block.
 BLOCK = 512
 #: Nodes below a node, and pairs of nodes that are compared at a time.
@@ -54,14 +56,15 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return shingle_set(text, size) if words_of(text) else np.zeros(0, "<u8")
 
 
-def leading(found: np.ndarray, common: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+def leading(found: np.ndarray, common: np.ndarray, similarity: tuple[int, int], agree: int | None = None) -> np.ndarray:
     """The first shingles of a set in the order of all tasks."""
     num, den = similarity
+    least = -(num * len(found) // -den)  # shingles that a similar set shares with it
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         hot = common[at] == found
         found = np.concatenate([found[~hot], found[hot]])
-    return found[: len(found) + num * len(found) // -den + 1] if len(found) else found
+    return found[: len(found) - least + min(agree or AGREE, least)]
 
 
 class SignatureTree:
@@ -91,14 +94,11 @@ class SignatureTree:
         return first, np.minimum(first + FAN, len(self.levels[level - 1][1])) - first
 
 
-def join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, group: np.ndarray, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+def join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: tuple[int, int]) -> list[tuple[int, int]]:
     """Pairs of places that bring together the classes of the links between left and right (or within left, if both are
-    the same), with what has one group already. No set is empty."""
+    the same). No set is empty."""
     num, den = similarity
     forest = Forest(len(sets))
-    known = np.unique(group, return_index=True, return_inverse=True)
-    forest.link(np.arange(len(sets)), known[1][known[2]])
-    before = forest.label.copy()
     label = forest.label
     bits = 1 << min(16, max(9, int(4 * max(map(len, sets)) - 1).bit_length()))
     same = left is right
@@ -164,12 +164,12 @@ def join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, group: np.
         owner, below = expand(first, count)
         again, across = expand(*((v[owner] for v in two.children(j, y)) if j == k else (y[owner], np.ones_like(owner))))
         work.append((k - 1, below[again], across))
-    fresh = np.flatnonzero((before == np.arange(len(sets))) & (label != before))
-    return list(zip(fresh.tolist(), label[fresh].tolist()))
+    below = np.flatnonzero(label != np.arange(len(sets)))
+    return list(zip(below.tolist(), label[below].tolist()))
 
 
 def _join_units(placed: DataFrame, unit: list[str], similarity: tuple[int, int]) -> DataFrame:
-    """Edges u, v of the joins. placed: the columns of unit, tid, grp, shingles, side (0: left, 1: right, 2: both)."""
+    """Edges u, v of the joins. placed: the columns of unit, tid, shingles, side (0: left, 1: right, 2: both)."""
 
     def units(batches):
         now, rows = None, []
@@ -189,13 +189,13 @@ def _join_units(placed: DataFrame, unit: list[str], similarity: tuple[int, int])
             if len(rows) < 2 or not len(left) or not len(right):
                 continue
             sets = [np.frombuffer(r["shingles"], "<u8") for r in rows]
-            pairs = join(sets, left, left if (side == 2).all() else right, np.array([r["grp"] for r in rows]), similarity)
+            pairs = join(sets, left, left if (side == 2).all() else right, similarity)
             if pairs:
                 u, v = ([rows[p[k]]["tid"] for p in pairs] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
         trim()
 
-    dealt = placed.select(*unit, "tid", "grp", "shingles", "side").repartition(*unit).sortWithinPartitions(*unit)
+    dealt = placed.select(*unit, "tid", "shingles", "side").repartition(*unit).sortWithinPartitions(*unit)
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -203,21 +203,32 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-def classes(docs: DataFrame, scratch: Scratch, size: int = 5, similarity: tuple[int, int] = (4, 5), seed: DataFrame | None = None) -> DataFrame:
-    """For each row of docs: doc_id, key (of the text), n (size of its set), class (a number for texts that links bring together; null if
-    the set is empty). seed: texts (key a, key b) that are compared first, whatever they share."""
+def classes(
+    docs: DataFrame,
+    scratch: Scratch,
+    size: int = 5,
+    similarity: tuple[int, int] = (4, 5),
+    mark: Callable[[str | None], int] | None = None,
+    hinted: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """For each row of docs: doc_id, key (of the text), n (size of its set), class (a number for texts that links bring
+    together; null if the set is empty).
+
+    hinted: gives pairs u, v of tids, of a table of tid and mark (mark of a text, as an unsigned number, read as a long).
+    They are candidates as well; the result is the same without them."""
     common = common_shingles(docs, size)
 
     def scan(batches):
         for b in batches:
             sets = [shingles(t.as_py(), size) for t in b.column("text")]
+            marks = np.array([mark(t.as_py()) if mark else 0 for t in b.column("text")], np.uint64).view(np.int64)
             columns = [pa.array([hashlib.md5(x.tobytes()).digest() if len(x) else None for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([leading(x, common, similarity).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *columns], names=["doc_id", "key", "set", "n", "lead"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *columns, pa.array(marks)], names=["doc_id", "key", "set", "n", "lead", "mark"])
         trim()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    rows = scratch.write("rows", keyed.mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary"))
-    texts = rows.where("n > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("lead").alias("lead"))
+    rows = scratch.write("rows", keyed.mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary, mark long"))
+    texts = rows.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.min("mark").alias("mark"))
     texts = scratch.write("texts", texts.withColumn("tid", F.monotonically_increasing_id()))
 
     def spread(batches):
@@ -225,70 +236,88 @@ def classes(docs: DataFrame, scratch: Scratch, size: int = 5, similarity: tuple[
             lead = [np.frombuffer(x.as_py(), "<i8") for x in b.column("lead")]
             count = np.array([len(x) for x in lead], np.int64)
             if len(count):
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                tid, flat = np.repeat(b.column("tid").to_numpy(), count), np.concatenate(lead)
-                for i in range(0, len(at), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (flat, tid, at)], names=["h", "tid", "at"])
-
-    each = scratch.write("each", texts.select("tid", "lead").mapInArrow(spread, "h long, tid long, at long"))
-    crowd = each.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("head")).where("members > 1")
-    crowd = scratch.write("crowd", crowd)
+                own, flat = [np.repeat(b.column(c).to_numpy(), count) for c in ("tid", "n")], np.concatenate(lead)
+                for i in range(0, len(flat), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (flat, *own)], names=["h", "tid", "n"])
+
+    num, den = similarity
+    like = lambda n, m: den * F.least(n, m) >= num * F.greatest(n, m)
+    each = scratch.write("each", texts.select("tid", "n", "lead").mapInArrow(spread, "h long, tid long, n long"))
+    texts = scratch.write("slim", texts.select("tid", "set", "least", "n", "mark"))
+    scratch.drop("texts")
+    crowd = each.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("head"), F.min("n").alias("low"), F.max("n").alias("high"))
+    crowd = scratch.write("crowd", crowd.where((F.col("members") > 1) & ((F.col("members") > 2) | like(F.col("low"), F.col("high")))).select("h", "members", "head"))
     met = scratch.write("met", each.join(few(crowd), "h"))
     scratch.drop("each", "crowd")
-    need = scratch.write("need", met.select("tid").distinct().join(texts.select("tid", "key"), "tid"))
+
+    few_share = met.where(F.col("members") <= LISTED)
+    other = few_share.select("h", F.col("tid").alias("v"), F.col("n").alias("m"))
+    enough = F.least(F.lit(AGREE), F.ceil(F.least("n", "m") * num / den))
+    pairs = few_share.select("h", F.col("tid").alias("u"), "n").join(other, "h").where((F.col("u") < F.col("v")) & like(F.col("n"), F.col("m")))
+    pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.min(enough).alias("enough")).where("k >= enough").select("u", "v")
+    if hinted:
+        pairs = pairs.unionByName(hinted(texts.select("tid", "mark")))
+    inner = Scratch(docs.sparkSession)
+    group = components(scratch.write("pairs", pairs), inner).withColumnRenamed("node", "tid").withColumnRenamed("component", "grp")
+    # similar sets are of one class of sizes or of two that follow each other
+    step = math.log(den / num) * 1.001 if num < den else 1e-9
+    size_class = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
+    many = met.where(F.col("members") > LISTED).select("h", "tid", "head", size_class.alias("cls"))
+    beside = many.groupBy("h", "cls").agg(F.count(F.lit(1)).alias("m"))
+    beside = beside.select("h", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"), "m").groupBy("h", "cls").agg(F.sum("m").alias("m")).where("m > 1").select("h", "cls")
+    many = scratch.write("many", many.join(beside, ["h", "cls"]).select("h", "tid", "head"))
+    scratch.drop("met", "pairs")
+    lots = group.select(F.lit(0).alias("kind"), F.col("grp").alias("lot"), "tid")
+    if many.limit(1).count():
+        outer = Scratch(docs.sparkSession)
+        ends = many.join(group, "tid", "left").withColumn("grp", F.coalesce("grp", "tid"))
+        heads = group.select(F.col("tid").alias("head"), F.col("grp").alias("top"))
+        ends = scratch.write("ends", ends.join(heads, "head", "left").select("h", "tid", "grp", F.coalesce("top", "head").alias("top")))
+        cluster = components(ends.select(F.col("top").alias("u"), F.col("grp").alias("v")), outer).withColumnRenamed("node", "grp").withColumnRenamed("component", "cluster")
+        # a cluster is joined at once if that is less work than to do it for each of its shingles and each class of candidates
+        every = group.unionByName(ends.select("tid", "grp")).distinct()
+        sizes = every.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).join(cluster, "grp")
+        single = ends.groupBy("h", "top").agg(F.count(F.lit(1)).alias("m")).join(cluster.withColumnRenamed("grp", "top"), "top")
+        work = single.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("apart")).join(sizes.groupBy("cluster").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("before")), "cluster")
+        whole = scratch.write("whole", cluster.join(work.where("all * all <= apart + before").select("cluster"), "cluster"))
+        lots = scratch.write("lots", lots.join(whole.select(F.col("grp").alias("lot")), "lot", "left_anti")
+            .unionByName(every.join(whole, "grp").select(F.lit(1).alias("kind"), F.col("cluster").alias("lot"), "tid"))
+            .unionByName(ends.join(whole.select(F.col("grp").alias("top")), "top", "left_anti").select(F.lit(2).alias("kind"), F.col("h").alias("lot"), "tid")))
+        outer.drop("components")
+    placed = lots.join(texts.select("tid", size_class.alias("cls")), "tid")
+    crowds = lots.groupBy("kind", "lot").agg(F.count(F.lit(1)).alias("all"))
+    placed = scratch.write("placed", placed.join(crowds, ["kind", "lot"]).where("all > 1"))
+    inner.drop("components")
+    scratch.drop("many", "ends", "whole", "lots")
 
     def sets_of(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column("text")], pa.binary())], names=["tid", "shingles"])
         trim()
 
-    # of texts that stand in several rows, one
-    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    chosen = few(need.join(one, "key"))
-    held = keyed.join(chosen.withColumnRenamed("doc_id", "own"), "key").where(F.col("doc_id").eqNullSafe(F.col("own"))).select("tid", "text").mapInArrow(sets_of, "tid long, shingles binary")
-    sets = scratch.write("sets", held.groupBy("tid").agg(F.first("shingles").alias("shingles")))
-
-    # first round: crowded shingles in parts, the head in each
-    parts = F.ceil(F.col("members") / BLOCK)
-    part = F.when(F.col("tid") == F.col("head"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("tid"), parts)))
-    opening = met.where(F.col("at") < FIRST).select("h", "tid", F.explode(part).alias("part"), F.col("tid").alias("grp"), F.lit(2).alias("side"))
-    edges = scratch.write("edges", _join_units(opening.join(sets, "tid"), ["h", "part"], similarity))
+    # one row for each text: that of the least id; of repeated rows any
+    need = few(placed.select("tid").distinct().join(texts.select("tid", "least"), "tid").select("tid", F.col("least.key").alias("need"), F.col("least.doc_id").alias("own")))
+    chosen = keyed.join(need, F.col("key") == F.col("need")).where(F.col("doc_id").eqNullSafe(F.col("own"))).select("tid", "text")
+    sets = scratch.write("sets", chosen.mapInArrow(sets_of, "tid long, shingles binary"))
+    if (several := sets.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).limit(1).count():
+        repeated = sets.join(few(several.select("tid")), "tid", "left_semi").groupBy("tid").agg(F.first("shingles").alias("shingles"))
+        sets = scratch.write("single", sets.join(few(several.select("tid")), "tid", "left_anti").unionByName(repeated))
+
+    zero = F.lit(0).cast("long")
+    small = placed.where(F.col("all") <= BLOCK).select("kind", "lot", *[zero.alias(c) for c in ("ci", "bi", "cj", "bj")], "tid", F.lit(2).alias("side"))
+    large = placed.where(F.col("all") > BLOCK).select("kind", "lot", "tid", "cls")
+    blocks = large.groupBy("kind", "lot", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = large.join(blocks, ["kind", "lot", "cls"]).withColumn("own", F.struct(F.col("cls").alias("c"), F.pmod(F.xxhash64("tid"), "blocks").alias("b"))).drop("blocks")
+    near = own.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).join(blocks, ["kind", "lot", "cls"])
+    near = near.withColumn("b", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("with", F.struct(F.col("cls").alias("c"), "b"))
+    i, j = F.least("own", "with"), F.greatest("own", "with")
+    side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") == i, 0).otherwise(1)
+    large = near.select("kind", "lot", i["c"].alias("ci"), i["b"].alias("bi"), j["c"].alias("cj"), j["b"].alias("bj"), "tid", side.alias("side"))
+    units = small.unionByName(large).join(sets, "tid")
+    edges = scratch.write("edges", _join_units(units, ["kind", "lot", "ci", "bi", "cj", "bj"], similarity))
     group = components(edges, scratch).withColumnRenamed("node", "tid")
-
-    # second round: shingles under which different classes meet
-    again = met.select("h", "tid", "head").join(group, "tid", "left").withColumn("grp", F.coalesce("component", "tid"))
-    mixed = again.groupBy("h").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("h")
-    again = scratch.write("again", again.join(few(mixed), "h").join(texts.select("tid", "n"), "tid").select("h", "tid", "head", "grp", "n"))
-    scratch.drop("met")
-    if again.limit(1).count():
-        inner = Scratch(docs.sparkSession)
-        cluster = components(again.select(F.col("head").alias("u"), F.col("tid").alias("v")), inner).withColumnRenamed("node", "head").withColumnRenamed("component", "cluster")
-        # a cluster is joined at once if that is less work than to do it for each of its shingles
-        each_work = again.groupBy("h", "head").agg(F.count(F.lit(1)).alias("m")).join(cluster, "head")
-        whole = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("all")).join(each_work.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("single")), "cluster")
-        lots = each_work.join(whole, "cluster").withColumn("one", F.col("all") * F.col("all") <= F.col("single")).select("h", "one", F.when(F.col("one"), F.col("cluster")).otherwise(F.col("h")).alias("lot"))
-        # similar sets are of one class of sizes or of two that follow each other
-        num, den = similarity
-        step = math.log(den / num) * 1.001 if num < den else 1e-9
-        cls = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
-        placed = again.join(lots, "h").select("one", "lot", "tid", "grp", cls.alias("cls")).distinct()
-        crowds = placed.groupBy("one", "lot").agg(F.count(F.lit(1)).alias("all"))
-        placed = scratch.write("placed", placed.join(crowds, ["one", "lot"]))
-        small = placed.where(F.col("all") <= BLOCK).select("one", "lot", F.lit(0).cast("long").alias("ci"), F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("cj"), F.lit(0).cast("long").alias("bj"), "tid", "grp", F.lit(2).alias("side"))
-        large = placed.where(F.col("all") > BLOCK).select("one", "lot", "tid", "grp", "cls")
-        blocks = large.groupBy("one", "lot", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        own = large.join(blocks, ["one", "lot", "cls"]).withColumn("own", F.struct(F.col("cls").alias("c"), F.pmod(F.xxhash64("tid"), "blocks").alias("b"))).drop("blocks")
-        near = own.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).join(blocks, ["one", "lot", "cls"])
-        near = near.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("with", F.struct(F.col("cls").alias("c"), "b"))
-        i, j = F.least("own", "with"), F.greatest("own", "with")
-        side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") == i, 0).otherwise(1)
-        large = near.select("one", "lot", i["c"].alias("ci"), i["b"].alias("bi"), j["c"].alias("cj"), j["b"].alias("bj"), "tid", "grp", side.alias("side"))
-        more = _join_units(small.unionByName(large).join(sets, "tid"), ["one", "lot", "ci", "bi", "cj", "bj"], similarity)
-        edges = scratch.write("all", edges.unionByName(scratch.write("more", more)))
-        group = components(edges, scratch).withColumnRenamed("node", "tid")
-        inner.drop("components")
     named = scratch.write("named", texts.select("set", "tid").join(group, "tid", "left").select("set", F.coalesce("component", "tid").alias("class")))
-    scratch.drop("texts", "need", "sets", "edges", "again", "placed", "more", "all", "components")
+    scratch.drop("slim", "sets", "single", "edges", "placed", "components")
     return rows.select("doc_id", "key", "set", "n").join(named, "set", "left").select("doc_id", "key", "n", "class")
 
 
