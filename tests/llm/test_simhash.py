@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tidemill.llm import jaccard as jaccard_join
 from tidemill.llm import simhash
 
 
@@ -99,11 +100,12 @@ def jaccard(a, b, size=5):
 
 
 def alike(a, b, size=5):
-    return jaccard(a, b, size) >= 0.8 or (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 3
+    """Texts without words are copies of each other."""
+    return jaccard(a, b, size) >= 0.8
 
 
-def test_dedup_follows_fingerprints(spark):
-    """Texts that only the index links: their shingles of five words are less similar than 0.8."""
+def test_dedup_keeps_what_only_fingerprints_link(spark):
+    """Texts that the index links, but whose shingles of five words are less similar than 0.8."""
     rnd = random.Random(12)
     words = ["".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(300)]
     base = [rnd.choice(words) for _ in range(1500)]
@@ -115,7 +117,16 @@ def test_dedup_follows_fingerprints(spark):
         copy = " ".join(copy)
         if jaccard(texts[0], copy) < 0.8 and (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(copy)).bit_count() <= 3:
             texts.append(copy)
-    assert kept(spark, texts + ["another text"]) == [0, 3]
+    assert kept(spark, texts + ["another text"]) == [0, 1, 2, 3]
+
+
+def test_dedup_keeps_texts_of_one_phrase(spark):
+    """Each repeats one phrase and has 50 words of its own: equal fingerprints, Jaccard similarity 0.03 or less."""
+    phrase = " ".join(["alpha beta gamma"] * 400)
+    texts = [phrase + " " + " ".join(f"w{k}x{i}" for i in range(50)) for k in range(3)]
+    texts += [texts[1] + " end", phrase]
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() <= 3 and jaccard(texts[0], texts[1]) < 0.05
+    assert kept(spark, texts) == first_of_groups(texts) == [0, 1, 2, 4]
 
 
 @pytest.mark.parametrize("name", ["_key", "_id", "_n", "_text_key", "row", "text_key", "key", "id", "a.b", "doc"])
@@ -193,9 +204,8 @@ def test_dedup_of_texts_with_blocks_added_or_cut(spark):
 
 def test_dedup_of_many_texts_with_one_core(spark, monkeypatch):
     """Most of these share their shingles and aren't similar; some pairs far from the first are."""
-    monkeypatch.setattr(simhash, "LISTED", 4)
-    monkeypatch.setattr(simhash, "BLOCK", 8)
-    monkeypatch.setattr(simhash, "COUNTED", 64)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "LISTED", 4)
     rnd = random.Random(10)
     core = [f"w{i}" for i in range(60)]
     texts = []

@@ -16,19 +16,18 @@ name one. Results don't depend on the order of rows. Repeated rows give repeated
 
 from __future__ import annotations
 
-import hashlib
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, trim
+from tidemill.llm import jaccard
+from tidemill.llm.common import Scratch
 from tidemill.llm.components import components
+from tidemill.llm.lines import text_key
+from tidemill.llm.shingles import LOWER, Forest, expand
 
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Pairs of nodes or fingerprints that are compared at a time.
 AT_ONCE = 1 << 21
 #: Leading bits that the nodes of each level share.
@@ -72,36 +71,6 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Forest:
-    """Linked members; find is by arrays, label[i] the least member that i is linked to."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.partner = np.full(n, n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Hooks larger roots below smaller ones until every pair has one root."""
-        parent = self.label
-        np.minimum.at(self.partner, a, b)
-        np.minimum.at(self.partner, b, a)
-        while len(a):
-            x, y = parent[a], parent[b]
-            open_ = x != y
-            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-            while len(x):
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent[:] = up
-
-
-def expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of count[i] from first[i] on: i and place of each element."""
-    owner = np.repeat(np.arange(len(first)), count)
-    return owner, first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-
-
 def links(values: np.ndarray, lead: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """values: distinct fingerprints, with the mask's bits foremost, in Gray order. Those with equal `lead` leading
     bits are compared. Returns for each the least place in its class, and the least place that it differs from in at
@@ -219,245 +188,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 # Removing near copies
 
-#: One of so many documents is looked at for shingles that are common, and in how many of those one must stand.
-SAMPLED, COMMON = 32, 4
-#: Common shingles that are known to all tasks, 8 bytes each.
-KNOWN = 200_000
-#: Texts that share a shingle up to which all their pairs are listed; more are compared in blocks.
-LISTED = 256
-#: Texts in a block, and shingles of it that are counted at a time.
-BLOCK, COUNTED = 256, 8192
-#: Bits of a set's parities.
-PARITIES = 1024
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Hashes of the distinct word shingles, ascending; of a shorter text the one of all its words."""
-    words = words_of(text)
-    flat = b" ".join(words)
-    stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(flat)], "<u8")
-    start = np.r_[0, stop[:-1] + 1][: len(words) - size + 1].tolist()
-    return np.unique(np.array([xxhash.xxh64_intdigest(flat[a:b]) for a, b in zip(start, stop[size - 1 :].tolist())], "<u8"))
-
-
-def lead(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set in the order of all tasks, common ones last: two sets of that similarity have at
-    least one of these in common."""
-    hot = np.isin(shingles, common, assume_unique=True) if len(common) else np.zeros(len(shingles), bool)
-    return np.concatenate([shingles[~hot], shingles[hot]])[: len(shingles) - math.ceil(similarity * len(shingles)) + 1]
 
-
-def parities(shingles: np.ndarray) -> bytes:
-    """Of the shingles that fall on each bit, whether their number is odd. A shingle that only one of two sets has
-    changes one bit, so as many bits differ at most as there are such shingles."""
-    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles of many documents, ascending. They only set the order that lead() takes, so a sample is enough."""
-
-    def run(batches):
-        for b in batches:
-            for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size).view(np.int64))], names=["h"])
-
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
-    found = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(KNOWN).select("h")
-    return np.sort(found.toArrow().column("h").to_numpy().view(np.uint64))
-
-
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Places of pairs, one of left and one of right, that are similar and not of one group: a spanning forest."""
-    sizes = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[column]
-    column, owner = place[column[keep]], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    both = np.zeros((len(left), len(right)))
-    for at in range(0, int(shared.sum()), COUNTED):
-        a, z = np.searchsorted(column, [at, at + COUNTED])
-        grid = np.zeros((len(sets), COUNTED), np.float32)
-        grid[owner[a:z], column[a:z] - at] = 1
-        both += grid[left] @ grid[right].T
-    x, y = np.nonzero(both >= similarity * (sizes[left][:, None] + sizes[right][None] - both))
-    x, y = left[x], right[y]
-    root = np.unique(group, return_inverse=True)[1].tolist()
-    root = [root.index(r) for r in root]
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i, j in zip(x.tolist(), y.tolist()):
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
-
-
-def dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, sent: int = 500_000, most: int = 3) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest doc_id stays (null ids come last; of repeated
-    rows one stays). Texts are linked if their fingerprints (see fingerprint) differ in at most `most` bits, found by
-    the index in Gray order, or if their sets of `size`-word shingles have a Jaccard similarity of at least
-    `similarity`, whatever was changed. All columns are kept, whatever their names.
-
-    For the second kind, texts that share one of their leading shingles (see lead) may be similar. Where few share a shingle, all pairs whose sizes and places in the order
-    allow the similarity are compared. Where many do, each is first compared with one of them; what is not one group
-    then is compared block by block, all with all of like size; texts that are linked already are not linked again.
-
-    sent: up to so many texts, the ids of those to be compared are broadcast; beyond, they are shuffled."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    common = common_shingles(docs, size)
-
-    def scan(batches):
-        for b in batches:
-            found = [t.as_py() or "" for t in b.column("text")]
-            keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in found]
-            sets = [shingle_set(t, size) for t in found]
-            columns = [pa.array(keys, pa.binary()), pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([lead(x, common, similarity).tobytes() for x in sets], pa.binary()), pa.array([parities(x) for x in sets], pa.binary()), pa.array(np.array([fingerprint(t) for t in found], np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "key", "set", "n", "lead", "parities", "fp"])
-        trim()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, key binary, set binary, n long, lead binary, parities binary, fp long")
-    # texts with equal sets and fingerprints together; tid numbers the distinct ones
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least")
-    texts = scratch.write("distinct", rows.groupBy("set", "fp").agg(least, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("parities").alias("parities")).withColumn("tid", F.monotonically_increasing_id()))
-
-    prints = scratch.write("prints", texts.groupBy("fp").agg(F.min("tid").alias("head")))
-    index = near_pairs(prints.select(F.lit(0).alias("k"), "fp"), most)
-    index = index.join(prints.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select("a", "b")
-    index = scratch.write("index", index.unionByName(texts.join(prints, "fp").where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))))
-
-    def spread(batches):
-        for b in batches:
-            leads = [np.frombuffer(x.as_py(), "<i8") for x in b.column("lead")]
-            count = np.array([len(x) for x in leads], np.int64)
-            if not len(count):
-                continue
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            own = [np.repeat(b.column(c).to_numpy(), count) for c in ("tid", "n")]
-            for i in range(0, len(at), 1 << 16):
-                j = i + (1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (np.concatenate(leads), *own, own[1] - at)], names=["h", "tid", "n", "rest"])
-
-    # rest: how many shingles stand from this one on
-    each = scratch.write("each", texts.select("tid", "n", "lead").mapInArrow(spread, "h long, tid long, n long, rest long"))
-    keys = scratch.write("keys", each.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("head")).where("members > 1"))
-    met = scratch.write("members", each.join(keys, "h"))
-    scratch.drop("each", "keys")
-    few_share = met.where(F.col("members") <= LISTED)
-    other = few_share.select("h", F.col("tid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("left"))
-    could = F.least("rest", "left") >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
-    listed = few_share.join(other, "h").where((F.col("tid") < F.col("b")) & could).select(F.col("tid").alias("a"), "b")
-    many_share = met.where(F.col("members") > LISTED)
-    first = many_share.where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
-    pairs = scratch.write("listed", listed.unionByName(first).distinct())
-
-    def may_be(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(len(b), PARITIES // 64) for c in ("x", "y"))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            ok = differ <= (1 - similarity) / (1 + similarity) * (b.column("n").to_numpy() + b.column("m").to_numpy()) + 1e-6
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    one = texts.select(F.col("tid").alias("a"), "n", F.col("parities").alias("x"))
-    two = texts.select(F.col("tid").alias("b"), F.col("n").alias("m"), F.col("parities").alias("y"))
-    pairs = scratch.write("pairs", pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(may_be, "a long, b long"))
-    scratch.drop("listed")
-    need = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).unionByName(many_share.select("tid")).distinct()
-    need = scratch.write("need", need.join(texts.select("tid", "least"), "tid").select("tid", F.col("least.key").alias("key"), F.col("least.doc_id").alias("id")))
-    few = need.count() <= sent
-
-    def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([shingle_set(t.as_py(), size).tobytes() for t in b.column("text")], pa.binary())], names=["tid", "shingles"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
-    chosen = chosen.join(F.broadcast(need) if few else need, "key").where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["tid"]).select("tid", "text")
-    shingles = scratch.write("shingles", chosen.mapInArrow(sets, "tid long, shingles binary"))
-
-    def compare(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-        trim()
-
-    sides = pairs.join(shingles.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b")
-    edges = sides.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(compare, "u long, v long")
-    edges = scratch.write("edges", edges.unionByName(index.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    group = components(edges, scratch).withColumnRenamed("node", "tid")
-
-    # shingles of many texts that are not one group yet; the texts that such shingles lead to are a cluster
-    held = many_share.join(group, "tid", "left").select("h", "tid", "n", "head", F.coalesce("component", "tid").alias("component"))
-    open_ = held.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    held = scratch.write("held", held.join(open_, "h"))
-    if held.limit(1).count():
-        inner = Scratch(spark)
-        cluster = components(held.select(F.col("head").alias("u"), F.col("tid").alias("v")), inner).withColumnRenamed("node", "head").withColumnRenamed("component", "cluster")
-        # a cluster is compared at once if that is less work than to do it for each of its shingles
-        work = held.groupBy("h", "head").agg(F.count(F.lit(1)).alias("m")).join(cluster, "head").select("h", "cluster", "m")
-        whole = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("all")).join(work.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("single")), "cluster")
-        lots = work.join(whole, "cluster").withColumn("one", F.col("all") * F.col("all") <= F.col("single")).select("h", "one", F.when(F.col("one"), F.col("cluster")).otherwise(F.col("h")).alias("lot"))
-        # similar sets are of one class of sizes or of two that follow each other
-        size_class = F.floor(F.log(F.col("n").cast("double")) / (-1.001 * math.log(similarity))) if similarity < 1 else F.col("n")
-        placed = scratch.write("placed", held.join(lots, "h").select("one", "lot", "tid", F.col("component").alias("grp"), size_class.cast("long").alias("cls")).distinct())
-        blocks = placed.groupBy("one", "lot", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        placed = placed.join(blocks, ["one", "lot", "cls"]).withColumn("own", F.struct("cls", F.pmod(F.xxhash64("tid"), "blocks").alias("block")))
-        placed = placed.drop("blocks").withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).join(blocks, ["one", "lot", "cls"])
-        placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("with", F.struct("cls", "block"))
-        placed = placed.select("tid", "grp", "one", "lot", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(shingles, "tid")
-        placed = placed.repartition("one", "lot", "i", "j").sortWithinPartitions("one", "lot", "i", "j")
-
-        def units(batches):
-            now, rows = None, []
-            for b in batches:
-                for r in b.to_pylist():
-                    if (unit := (r["one"], r["lot"], r["i"], r["j"])) != now:
-                        yield now, rows
-                        now, rows = unit, []
-                    rows.append(r)
-            yield now, rows
-
-        def meet(batches):
-            for unit, rows in units(batches):
-                if not rows:
-                    continue
-                left, right = (np.array([k for k, r in enumerate(rows) if r["own"] == side], np.int64) for side in unit[2:])
-                if not len(left) or not len(right):
-                    continue
-                found = linked([np.frombuffer(r["shingles"], "<u8") for r in rows], left, right, np.array([r["grp"] for r in rows]), similarity)
-                if found:
-                    u, v = ([rows[p[k]]["tid"] for p in found] for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        more = scratch.write("more", placed.mapInArrow(meet, "u long, v long"))
-        inner.drop("components")
-        group = components(edges.unionByName(more), scratch).withColumnRenamed("node", "tid")
-    named = texts.select("tid", "least").join(group, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
-    best = named.groupBy("component").agg(F.min("least").alias("best"))
-    stay = scratch.write("stay", best.select(F.col("best.key").alias("key"), F.col("best.doc_id").alias("id")))
-    scratch.drop("distinct", "prints", "index", "members", "pairs", "need", "shingles", "edges", "held", "placed", "more", "components")
+def hints(texts: DataFrame, most: int) -> DataFrame:
+    """u, v: tids of texts whose fingerprints the index links, or that have one fingerprint. texts: tid, mark."""
+    heads = texts.groupBy("mark").agg(F.min("tid").alias("head"))
+    found = near_pairs(heads.select(F.lit(0).alias("k"), F.col("mark").alias("fp")), most)
+    a, b = (heads.select(F.col("mark").alias(x), F.col("head").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    found = found.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return found.unionByName(texts.join(heads, "mark").where("tid <> head").select(F.col("head").alias("u"), F.col("tid").alias("v")))
+
+
+def dedup(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), most: int = 3) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays (null ids come last; of rows with
+    equal id and text the one whose other columns sort first as JSON). Texts are linked if their sets of `size`-word
+    shingles have a Jaccard similarity of at least similarity = num / den; texts without words are copies of each
+    other. All columns are kept, whatever their names.
+
+    The index in Gray order finds texts whose fingerprints differ in at most `most` bits. Each such pair is compared by
+    its shingles and links only if these are similar: texts that repeat one phrase have like fingerprints, whatever
+    else they hold. Behind a pair that is refused nothing is lost, as what is not linked then is joined by leading shingles (see jaccard)."""
+    scratch = Scratch(docs.sparkSession)
+    rows = jaccard.classes(docs, scratch, size, similarity, fingerprint, lambda texts: hints(texts, most))
+    rows = scratch.write("classes", rows.select("doc_id", "key", F.coalesce("class", F.lit(-1).cast("long")).alias("class")))
+    scratch.drop("rows", "named")
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    best = rows.groupBy("class").agg(F.min(own).alias("best"), F.max(own).alias("other")).where("best <> other").select("class", "best")
+    lost = scratch.write("lost", rows.join(jaccard.few(best), "class").where(own != F.col("best")).select("doc_id", "key").distinct())
+    again = scratch.write("again", rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "key"))
+    scratch.drop("classes")
     # the row's own columns stay in a struct, so that no name of theirs meets one of ours
-    out = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), F.col("doc_id").cast("long").alias("doc"))
-    out = out.join(stay, (F.col("text_key") == F.col("key")) & F.col("doc").eqNullSafe(F.col("id"))).groupBy("text_key", "doc").agg(F.first("row").alias("row"))
+    out = docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("text_key"), F.col("doc_id").cast("long").alias("doc"))
+    among = lambda table: (F.col("text_key") == table["key"]) & F.col("doc").eqNullSafe(table["doc_id"])
+    out = out.join(jaccard.few(lost), among(lost), "left_anti")
+    if again.limit(1).count():
+        several = out.join(jaccard.few(again), among(again), "left_semi")
+        several = several.groupBy("text_key", "doc").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.join(jaccard.few(again), among(again), "left_anti").select("row").unionByName(several.select("row"))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
