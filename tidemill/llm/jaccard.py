@@ -42,7 +42,7 @@ from tidemill.llm.shingles import Forest, common_shingles, expand, shingle_set,
 #: Leading shingles that candidates share.
 AGREE = 3
 #: Texts that share a shingle up to which their pairs are listed.
-LISTED = 16
+LISTED = 128
 #: Texts in a block.
 BLOCK = 512
 #: Nodes below a node, and pairs of nodes that are compared at a time.
