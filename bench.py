@@ -12,7 +12,7 @@ import __spark_entry__
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-SKIP = {"fx_stream_tumbling", "fx_stream_first_seen", "fx_stream_join"}
+SKIP = {"fx_stream_tumbling", "fx_stream_first_seen", "fx_stream_join", "fx_stream_sessions"}
 
 
 def main() -> None:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tidemill.operators.joins import as_of, small, within
-from tidemill.plans import fixtures
+from tidemill.plans import corpora, fixtures  # noqa: F401 (corpora adds its queries to those of fixtures)
 from tidemill.sources.tables import shared_folder
 from tidemill.streaming import events
 
@@ -63,6 +63,13 @@ def test_small(spark):
     assert "resolvedhint" in plan(small(spark.range(5), 5)) and "resolvedhint" not in plan(small(spark.range(6), 5))
 
 
+def test_approx_distinct_is_near(spark):
+    """Within three times the relative error that was asked for."""
+    exact = {r.event_type: r.users for r in fixtures.QUERIES["fx_distinct_counts"](spark, SF).collect()}
+    got = {r.event_type: r.users for r in fixtures.QUERIES["fx_approx_distinct"](spark, SF).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[t] - n) <= 0.06 * n for t, n in exact.items())
+
+
 def test_late_events_are_dropped_by_the_watermark(spark):
     folder = shared_folder(spark)
     schema = "event_id long, ts timestamp, user_id long, event_type string"

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.dates import fraction, hour_of, money
 from tidemill.operators.joins import as_of, small, top_per_group, within
+from tidemill.operators.quantiles import exact_percentile
 from tidemill.sources.tables import read, read_stream
 from tidemill.streaming import events as streams
+from tidemill.streaming.sessions import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,7 +71,10 @@ def fx_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY ALL""")
 def fx_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_quantity"), 6).alias("median"), F.round(F.percentile("l_extendedprice", 0.9), 6).alias("p90"))
+    lines = read(spark, sf_dir, "lineitem")
+    median = exact_percentile(lines, ["l_returnflag"], "l_quantity", 0.5, "median")
+    high = exact_percentile(lines, ["l_returnflag"], "l_extendedprice", 0.9, "p90")
+    return median.join(small(high, 10_000), "l_returnflag").select("l_returnflag", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
 
 
 @query("""SELECT n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS revenue
@@ -188,7 +193,8 @@ def fx_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("event_type").agg(fraction(F.count_if(F.col("value") > 100), rows().cast("double")).alias("share"))
 
 
-@query()
+@query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""")
 def fx_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(spark, streams.tumbling_counts(read_stream(spark, sf_dir, "events")))
 
@@ -202,3 +208,11 @@ def fx_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 HOUR""")
 def fx_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(spark, streams.click_to_purchase(read_stream(spark, sf_dir, "events"), read_stream(spark, sf_dir, "events")))
+
+
+@query("""WITH s AS (
+    SELECT user_id, min(ts) AS session_start, max(ts) AS session_last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM
+    (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session)
+    SELECT * FROM s WHERE epoch_us(session_last + INTERVAL 6 HOUR) <= (SELECT epoch_ms(max(ts)) * 1000 - 86400000000 FROM events)""")
+def fx_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.drain(spark, sessions(read_stream(spark, sf_dir, "events")))

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.sources.tables import shared_folder
+from tidemill.sources.tables import delete, shared_folder
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Runs a stream over what is available now; the rows that it appended."""
-    folder = shared_folder(spark)
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    """Runs a stream over what is available now; the rows that it appended. Its state goes at once, its rows with
+    sources.tables.clear() or the end of the process."""
+    folder, before = shared_folder(spark), spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    delete(spark, f"{folder}/state")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -21,7 +30,7 @@ def timed(events: DataFrame, delay: str) -> DataFrame:
 
 def tumbling_counts(events: DataFrame, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events by window and type. Windows that the watermark hasn't passed at the end are not emitted."""
-    return timed(events, delay).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "event_type", "n")
+    return timed(events, delay).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 def first_seen(events: DataFrame, delay: str = "1 day") -> DataFrame:
