@@ -93,6 +93,38 @@ def test_many_lines_that_share_a_segment(spark, monkeypatch):
     assert written["met"].count() < 500
 
 
+def test_many_variants_of_one_line(spark, monkeypatch):
+    """3,000 lines, each a base with two letters changed: those with a change in common are near, and all are like the base."""
+    monkeypatch.setattr(lines, "BLOCK", 256)
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("etaniorshlmc ") for _ in range(120)).replace(" ", "x")
+    at = set()
+    while len(at) < 3000:
+        i, j = sorted(rnd.sample(range(120), 2))
+        at.add((i, rnd.choice("ABCD"), j, rnd.choice("ABCD")))
+    at = sorted(at)
+    text = lambda i, a, j, b: base[:i] + a + base[i + 1 : j] + b + base[j + 1 :]
+    rows = [(k + 1, text(*x)) for k, x in enumerate(at)] + [(0, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r for r in lines.report(df).collect()}
+    assert {d for d, r in got.items() if r.removed} == set(range(1, 3001)) and got[0].n_links == 3000
+    one = {}
+    for k, (i, a, j, b) in enumerate(at):
+        for x in ((i, a), (j, b)):
+            one.setdefault(x, set()).add(k + 1)
+    for k, (i, a, j, b) in enumerate(at[:200]):
+        # one change in common, and the others apart: two edits where they differ in place; one where they differ in letter only
+        near = {n for x in ((i, a), (j, b)) for n in one[x]} | {n + 1 for n, y in enumerate(at) if (y[0], y[2]) == (i, j)}
+        near = {n for n in near if distance_of_two(at[n - 1], (i, a, j, b)) <= 2} - {k + 1}
+        assert got[k + 1].n_links == len(near) + 1, k
+
+
+def distance_of_two(x, y):
+    """Edits between two variants by substitution; moved letters don't occur in lines of this kind."""
+    a, b = {x[0]: x[1], x[2]: x[3]}, {y[0]: y[1], y[2]: y[3]}
+    return sum(a.get(i) != b.get(i) for i in a.keys() | b.keys())
+
+
 @pytest.mark.parametrize("name", ["_key", "_id", "_removed", "_text", "row", "row_key", "row_id", "kept", "removed", "text_key", "a.b", "lines"])
 def test_dedup_keeps_columns_of_any_name(spark, name):
     rows = [(1, "one\ntwo", "x"), (2, "two\nthree", None), (3, None, "z")]

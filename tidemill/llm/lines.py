@@ -17,7 +17,8 @@ for every length from n - most to n.
 3. Under a hash that very many lines have, only those meet that share a segment of what is left of them without the
    first one, too: left and right of an unchanged segment there are no more edits than in the whole line.
 4. Pairs are compared by the edit distance within a band of 2 * most + 1 diagonals, those of 3. inside their join.
-   Lines of which very many agree in nearly everything (variants of one line) are still compared in pairs.
+   Lines of which very many agree in nearly everything (variants of one line) are compared in pairs, each pair of a
+   line and a block of others in a task of its own, as every near pair counts.
 
 Null texts have no lines and stay null; rows with null doc_id come after all others; rows with equal doc_id and text are
 the same document and lose the same lines. Very long texts and lines are handled whole. Extra columns, whatever their
@@ -40,6 +41,8 @@ LETTERS = "etaniorsh "
 SENT = 1_000_000
 #: Lines under one hash from which on they must share another segment to meet.
 HOT = 256
+#: Entries under one hash that a task compares, where there are more.
+BLOCK = 1024
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -100,12 +103,22 @@ def few(df: DataFrame) -> DataFrame:
 def meet(members: DataFrame, most: int, whole: bool = False) -> DataFrame:
     """a < b: keys of lines that meet under one h, one of them entered there, and whose tallies aren't too far apart.
     members: h, key, tally, ask; with whole also line, and then pairs are compared here, so that only near ones leave
-    the join."""
+    the join. There a crowded h is dealt out: its entries in blocks, its lines to each of them."""
     index = members.where("not ask").select("h", F.col("key").alias("other"), F.col("tally").alias("theirs"), *[F.col("line").alias("other_line")] * whole)
     close = apart(F.col("tally"), F.col("theirs")) <= 2 * most
+    on = ["h"]
     if whole:
         close = close & (F.levenshtein("line", "other_line", most) >= 0)
-    pairs = members.join(index, (members["h"] == index["h"]) & (F.col("key") != F.col("other")) & (F.col("ask") | (F.col("key") < F.col("other"))) & close)
+        crowds = few(members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1"))
+        block = F.coalesce(F.pmod(F.xxhash64("other"), "blocks"), F.lit(0).cast("long"))
+        index = index.join(crowds, "h", "left").withColumn("block", block).drop("blocks")
+        all_ = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)
+        members = members.join(crowds, "h", "left").withColumn("block", F.explode(all_)).drop("blocks")
+        # few bytes, much work: tasks are dealt by keys and not put together by their size
+        on, tasks = ["h", "block"], int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        index, members = index.repartition(tasks, *on), members.repartition(tasks, *on)
+    same = reduce(lambda x, y: x & y, [members[c] == index[c] for c in on])
+    pairs = members.join(index, same & (F.col("key") != F.col("other")) & (F.col("ask") | (F.col("key") < F.col("other"))) & close)
     return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
 
 
@@ -131,7 +144,7 @@ def near_pairs(texts: DataFrame, shared: DataFrame, scratch: Scratch, most: int)
     left = members.join(few(hot), "h", "left_semi").join(texts.select("key", "line"), "key")
     left = left.select(F.col("h").alias("h1"), "key", "tally", "line", F.concat(F.expr("substring(line, 1, at - 1)"), F.expr("substring(line, at + size)")).alias("left"))
     left = members_of(left.withColumn("n", F.char_length("left")), "left", "n", most, "h1", "key", "tally", "line")
-    left = left.select(F.xxhash64("h1", "h").alias("h"), "key", "tally", "ask", "line").distinct()
+    left = scratch.write("left", left.select(F.xxhash64("h1", "h").alias("h"), "key", "tally", "ask", "line").distinct())
     return found.unionByName(meet(left, most, whole=True)).distinct()
 
 
@@ -147,14 +160,14 @@ def near(docs: DataFrame, lines: DataFrame, scratch: Scratch, most: int, shortes
     texts = scratch.write("texts", texts.select("key", "line", F.char_length("line").alias("n"), tally(F.col("line")).alias("tally")))
     found = scratch.write("pairs", near_pairs(texts, shared, scratch, most)).select(F.col("a").alias("x"), F.col("b").alias("y"))
     found = scratch.write("near", found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"))))
-    scratch.drop("shared", "needed", "texts", "members", "hot", "met", "pairs")
+    scratch.drop("shared", "needed", "texts", "members", "hot", "left", "met", "pairs")
     return found
 
 
 def removals(docs: DataFrame, scratch: Scratch, most: int = 2, shortest: int = 20) -> DataFrame:
     """doc_id, text_key, removed array<int>, n_near, n_links: of each document that loses lines or has near ones: the
-    numbers of its lost lines (from 0) in order, how many of them only have a near line before them, and to how many
-    different lines its own are near, in all."""
+    numbers of its lost lines (from 0) in order, how many of them only have a near line before them, and the sum
+    over its lines (each as often as it stands there) of how many different lines are near."""
     every = occurrences(docs)
     long = F.col("n") >= shortest
     hashes = F.array(*[h for h, _, _ in slots(F.col("line"), F.col("n"), most)])
