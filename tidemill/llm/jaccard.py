@@ -6,8 +6,8 @@ intersection of their sets is at least similarity = num / den of their union.
 
 1. Texts with equal sets are one. In an order of all shingles, common ones last, two similar sets share k of the first
    n - ceil(similarity * n) + k shingles of each (k = `AGREE`, or less for very small sets): their leading shingles.
-2. Where few texts have a leading shingle, pairs of like sizes are listed and counted; those that share k of them are candidates. Where
-   more have it, each is a candidate with the one of smallest number.
+2. Where few texts have a leading shingle, pairs are listed whose sizes, and whose places of it, allow the similarity;
+   those that share k of them are candidates. Where more have it, each is a candidate with the one of smallest number.
 3. Classes of the candidates are lots, each of which is joined. Those that crowded shingles have brought together are one lot if
    that is less work than a lot for each such shingle. Large lots are cut in blocks by size, and each pair of blocks
    of like sizes is a unit of its own, so no group meets in one task.
@@ -212,7 +212,7 @@ def classes(
     hinted: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """For each row of docs: doc_id, key (of the text), n (size of its set), class (a number for texts that links bring
-    together; null if the set is empty).
+    together; null if the set is empty), first (the smallest doc_id of the class).
 
     hinted: gives pairs u, v of tids, of a table of tid and mark (mark of a text, as an unsigned number, read as a long).
     They are candidates as well; the result is the same without them."""
@@ -236,24 +236,32 @@ def classes(
             lead = [np.frombuffer(x.as_py(), "<i8") for x in b.column("lead")]
             count = np.array([len(x) for x in lead], np.int64)
             if len(count):
-                own, flat = [np.repeat(b.column(c).to_numpy(), count) for c in ("tid", "n")], np.concatenate(lead)
+                tid, n = (np.repeat(b.column(c).to_numpy(), count) for c in ("tid", "n"))
+                rest = n - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                flat = np.concatenate(lead)
                 for i in range(0, len(flat), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (flat, *own)], names=["h", "tid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (flat, tid, n, rest)], names=["h", "tid", "n", "rest"])
 
     num, den = similarity
-    like = lambda n, m: den * F.least(n, m) >= num * F.greatest(n, m)
-    each = scratch.write("each", texts.select("tid", "n", "lead").mapInArrow(spread, "h long, tid long, n long"))
+
+    def like(n, m, rest):
+        """Whether sets of n and m shingles may be similar that meet under one of the first shingles that they share, from
+        which on one of them has `rest` left: they would share (n + m) * num / (num + den), all but AGREE - 1 of them from here on."""
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((rest + AGREE - 1) * (num + den) >= num * (n + m))
+
+    each = scratch.write("each", texts.select("tid", "n", "lead").mapInArrow(spread, "h long, tid long, n long, rest long"))
     texts = scratch.write("slim", texts.select("tid", "set", "least", "n", "mark"))
     scratch.drop("texts")
-    crowd = each.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("head"), F.min("n").alias("low"), F.max("n").alias("high"))
-    crowd = scratch.write("crowd", crowd.where((F.col("members") > 1) & ((F.col("members") > 2) | like(F.col("low"), F.col("high")))).select("h", "members", "head"))
+    crowd = each.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("rest").alias("least"))
+    two = (F.col("members") > 2) | like(F.col("low"), F.col("high"), F.col("least"))
+    crowd = scratch.write("crowd", crowd.where((F.col("members") > 1) & two).select("h", "members"))
     met = scratch.write("met", each.join(few(crowd), "h"))
     scratch.drop("each", "crowd")
 
     few_share = met.where(F.col("members") <= LISTED)
-    other = few_share.select("h", F.col("tid").alias("v"), F.col("n").alias("m"))
+    other = few_share.select("h", F.col("tid").alias("v"), F.col("n").alias("m"), F.col("rest").alias("left"))
     enough = F.least(F.lit(AGREE), F.ceil(F.least("n", "m") * num / den))
-    pairs = few_share.select("h", F.col("tid").alias("u"), "n").join(other, "h").where((F.col("u") < F.col("v")) & like(F.col("n"), F.col("m")))
+    pairs = few_share.select("h", F.col("tid").alias("u"), "n", "rest").join(other, "h").where((F.col("u") < F.col("v")) & like(F.col("n"), F.col("m"), F.least("rest", "left")))
     pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.min(enough).alias("enough")).where("k >= enough").select("u", "v")
     if hinted:
         pairs = pairs.unionByName(hinted(texts.select("tid", "mark")))
@@ -262,15 +270,15 @@ def classes(
     # similar sets are of one class of sizes or of two that follow each other
     step = math.log(den / num) * 1.001 if num < den else 1e-9
     size_class = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
-    many = met.where(F.col("members") > LISTED).select("h", "tid", "head", size_class.alias("cls"))
+    many = met.where(F.col("members") > LISTED).select("h", "tid", size_class.alias("cls"))
     beside = many.groupBy("h", "cls").agg(F.count(F.lit(1)).alias("m"))
     beside = beside.select("h", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"), "m").groupBy("h", "cls").agg(F.sum("m").alias("m")).where("m > 1").select("h", "cls")
-    many = scratch.write("many", many.join(beside, ["h", "cls"]).select("h", "tid", "head"))
+    many = scratch.write("many", many.join(beside, ["h", "cls"]).select("h", "tid"))
     scratch.drop("met", "pairs")
     lots = group.select(F.lit(0).alias("kind"), F.col("grp").alias("lot"), "tid")
     if many.limit(1).count():
         outer = Scratch(docs.sparkSession)
-        ends = many.join(group, "tid", "left").withColumn("grp", F.coalesce("grp", "tid"))
+        ends = many.join(few(many.groupBy("h").agg(F.min("tid").alias("head"))), "h").join(group, "tid", "left").withColumn("grp", F.coalesce("grp", "tid"))
         heads = group.select(F.col("tid").alias("head"), F.col("grp").alias("top"))
         ends = scratch.write("ends", ends.join(heads, "head", "left").select("h", "tid", "grp", F.coalesce("top", "head").alias("top")))
         cluster = components(ends.select(F.col("top").alias("u"), F.col("grp").alias("v")), outer).withColumnRenamed("node", "grp").withColumnRenamed("component", "cluster")
@@ -313,17 +321,17 @@ def classes(
     i, j = F.least("own", "with"), F.greatest("own", "with")
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") == i, 0).otherwise(1)
     large = near.select("kind", "lot", i["c"].alias("ci"), i["b"].alias("bi"), j["c"].alias("cj"), j["b"].alias("bj"), "tid", side.alias("side"))
-    units = small.unionByName(large).join(sets, "tid")
+    units = sets.join(few(small.unionByName(large)), "tid")
     edges = scratch.write("edges", _join_units(units, ["kind", "lot", "ci", "bi", "cj", "bj"], similarity))
     group = components(edges, scratch).withColumnRenamed("node", "tid")
-    named = scratch.write("named", texts.select("set", "tid").join(group, "tid", "left").select("set", F.coalesce("component", "tid").alias("class")))
+    named = texts.select("set", "tid", F.col("least.doc_id").alias("own")).join(group, "tid", "left").select("set", F.coalesce("component", "tid").alias("class"), "own")
+    heads = named.groupBy("class").agg(F.min("own").alias("first"))
+    named = scratch.write("named", named.join(heads, "class").select("set", "class", "first"))
     scratch.drop("slim", "sets", "single", "edges", "placed", "components")
-    return rows.select("doc_id", "key", "set", "n").join(named, "set", "left").select("doc_id", "key", "n", "class")
+    return rows.select("doc_id", "key", "set", "n").join(named, "set", "left").select("doc_id", "key", "n", "class", "first")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id: the smallest doc_id that links lead to, or its own."""
     found = classes(docs, Scratch(docs.sparkSession), size, similarity)
-    least = found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = found.join(least, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
