@@ -6,7 +6,7 @@ from tidemill.llm import license as lic
 
 TEXTS = [
     None, "", "MIT License", "mit-license, MIT  LICENSE; mit license", "the gnu\ngeneral, public license v3 and the Apache License 2.0",
-    "CC BY-SA 4.0 cc-by", "éCC BY", "xmit license", "mit license mit license apache license", "cc by cc by cc by", "word " * 9000 + "cc by", "GNU GENERAL PUBLİC LICENSE",
+    "CC BY-SA 4.0 cc-by", "éCC BY", "xmit license", "mit license mit license apache license", "cc by cc by cc by", "word " * 9000 + "cc by", "MIT license, " + "long text " * 300_000 + "CC-BY", "GNU GENERAL PUBLİC LICENSE",
 ]
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -131,6 +132,12 @@ def test_digests(spark):
     out = {(r.doc_id, r.n_bytes): r for r in media.digests(df).collect()}
     assert out[1, 3].payload_sha256 == out[None, 3].payload_sha256 == media.sha(b"abc" + bytes(61))
     assert out[2, 0].media_sha256 == out[3, 0].media_sha256 and out[2, 0].payload_bytes == 64
+    for i, text in ((1, "abc"), (2, ""), (3, ""), (4, "é" * 30_000), (None, "abc")):
+        payload = media.padded(text.encode())
+        (file,) = media.store([payload])
+        r = out[i, len(text.encode())]
+        assert (r.payload_bytes, r.tail_crc32) == (len(payload), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(file), media.sha(file))
     assert out[4, 60_000].payload_bytes == 60_032
     back = media.read(media.write(df)).where("doc_id = 4").first()
     assert bytes(back.samples) == ("é" * 30_000).encode() + bytes(32)

@@ -80,6 +80,7 @@ def test_near_duplicates(spark):
     rnd = random.Random(2)
     base = [" ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 5) for _ in range(300)) for _ in range(12)]
     texts = [*TEXTS, *base, *[b + " more" for b in base], *base[:3], "zz " + base[0]]
+    texts += ["very long " + " ".join(f"w{i % 5003}" for i in range(150_000)), "a very long " + " ".join(f"w{i % 5003}" for i in range(150_000))]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "again"), (None, texts[5], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(df).collect()}

@@ -59,3 +59,29 @@ def test_part_bounds(spark):
     rows = [(0, [1, 5]), (0, [-2]), (2, [3, 3]), (0, [7, -1])]
     parts, high, low = topk.part_bounds(spark.createDataFrame(rows, "part int, v array<int>"), 2)
     assert parts.tolist() == [0, 2] and high.tolist() == [[7, 5], [3, 3]] and low.tolist() == [[-2, -1], [3, 3]]
+
+
+def test_most_blocks_of_grouped_vectors_are_ruled_out():
+    """Of 40 groups of vectors a query's bounds reach its fifth score in few blocks, and its search visits no others."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32))
+    x = np.floor(256 * (centres[rng.integers(0, 40, 12_000)] + 0.05 * rng.standard_normal((12_000, 32))))
+    random_ = np.random.default_rng(7)
+    key = topk.order_key(x, random_.standard_normal((47, 32)), random_.standard_normal((16, 32)))
+    blocks = topk.Blocks(np.arange(12_000), x, key)
+    q = x[::50]
+    score = q @ blocks.x.T
+    fifth = np.sort(score, axis=1)[:, -6]
+    assert (blocks.bounds(q) >= fifth[:, None]).mean() < 0.5
+    row, found, best = blocks.search(np.arange(0, 12_000, 50), q, np.full(len(q), -np.inf), 5)
+    assert len(row) == 5 * len(q) and (np.sort(best.reshape(-1, 5), axis=1)[:, 0] >= fifth - 1e-9).all()
+
+
+def test_other_columns_are_ignored(spark):
+    rows = [(i, [float(i % 7), 1.0, -float(i % 3)]) for i in range(120)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    names = ["v", "key", "part", "id", "floor", "side", "salt", "query_id", "score", "a.b"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "vec_id long, embedding array<float>, " + ", ".join(f"`{n}` string" for n in names))
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows)) == sorted(map(tuple, topk.top_k(plain, plain.where("vec_id % 50 = 0"), 5).collect()))

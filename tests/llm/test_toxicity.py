@@ -26,7 +26,7 @@ def corpus(n, seed=1):
 
 def test_held_out_accuracy(spark):
     rows, labels = corpus(500)
-    rows += [(500, None, None), (501, "", "x"), (None, "glorp snarf", "x"), (502, "word " * 30_000 + "glorps", "x")]
+    rows += [(500, None, None), (501, "", "x"), (None, "glorp snarf", "x"), (502, "word " * 300_000 + "glorps", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     known = spark.createDataFrame([*labels, (501, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.judge(docs, known).collect()

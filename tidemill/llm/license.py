@@ -7,7 +7,9 @@ text; what follows a tag on its line is read as an expression with or, and, with
 first), parentheses and a trailing + on identifiers.
 
 Null texts count as empty: no words, no labels, score 0. Overlapping places all count. A line that is no valid
-expression gives the identifiers it begins with, up to the fault. Equal texts give equal results, rows are never merged.
+expression gives the identifiers it begins with, up to the fault. Equal texts give equal results, rows are never merged,
+null doc_ids are kept. Very long texts are scanned whole, with memory in proportion to their size. An empty table gives
+nothing. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

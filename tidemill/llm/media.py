@@ -5,7 +5,9 @@ picture, longer ones an animation whose frames are strips of 256 lines of one pi
 in parts side by side. Each strip gets the transform, colour cache and back-references that suit it. See webp.py for
 the format.
 
-A null text is an empty payload, which is stored as one line of zeros. Equal texts give equal files and values.
+A null text is an empty payload, which is stored as one line of zeros. Equal texts give equal files and values, so
+repeated rows give repeated results. Null doc_ids are kept. A very long text is one file, written and read back in strips
+by one task, with memory in proportion to its size. An empty table gives nothing. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

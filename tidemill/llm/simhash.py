@@ -11,7 +11,8 @@ further levels. Pairs of nodes go down together: differences of the shared bits
 more than d, or whose members are linked already, is dropped whole. A task gives the links of a spanning forest only.
 
 Equal fingerprints are brought together before; null texts count as empty; null doc_ids belong to classes but never
-name one. Results don't depend on the order of rows. Repeated rows give repeated results.
+name one. Results don't depend on the order of rows. Repeated rows give repeated results. Very long texts are taken
+whole. An empty table gives nothing. Columns other than doc_id and text are ignored by near_duplicates() and kept by dedup().
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Work is split by content, so that equal strings meet in one task whatever docume
    piece tells its distinct anchors to the tasks that the hashes name, and hears which of them other pieces have too.
 3. Consecutive windows with one anchor form a segment. The segments whose anchors several documents have go, each
    distinct one once for a piece, to the task of the anchor, with the doc_ids and places where they stand. Of an anchor
-   that has very many different segments each window goes for itself, to the task that its own content names.
+   that has very many different segments each window goes for itself, to the task that its own content names: there
+   equal windows are brought together by their bytes, and the transform isn't needed.
 4. There, distinct segments of anchors that have several are suffix-sorted and transformed. Common prefixes are derived
    by increasing value: where two neighbours in suffix order differ after n symbols, the intervals that stand before
    them break in two as well, so one backward step for all intervals at once gives the places with n + 1. At `least`
@@ -46,7 +47,7 @@ CHUNK = 1 << 15
 #: Bytes of text whose anchors one task gets.
 SHARE = 16 << 20
 #: From so many different segments on, counted by piece, an anchor's windows go one by one to the tasks that their
-#: content names. They are transformed there like all others.
+#: content names. Equal ones meet there and are brought together before the transform, which has nothing left to tell apart.
 HOT = 20_000
 #: Symbols that are suffix-sorted at a time, unless one anchor has more.
 SYMBOLS = 30_000
@@ -159,6 +160,8 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def blobs(stop: np.ndarray, data: np.ndarray) -> pa.Array:
     """Binary values that lie one after the other in data; stop: where each ends, in elements, 0 first."""
+    if int(stop[-1]) * data.itemsize > np.iinfo(np.int32).max:
+        raise OverflowError("a list of more than 2 GB: texts in a piece, or segments of a bucket, are too many for one value")
     return pa.Array.from_buffers(pa.binary(), len(stop) - 1, [None, pa.py_buffer((stop * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 

@@ -11,7 +11,11 @@ when the bound is below its kth best score so far.
 Components: floor(256 * x), x as double. Vectors that are null or empty, or hold null or non-finite components, take no part, nor do
 rows without id. Vectors of different lengths are padded with zeros. Ties go to the smaller id; a query never finds
 its own id. Fewer than k candidates: all. Repeated rows are candidates of their own; of several rows with a query's id
-the one whose vector sorts first is asked. Components too large for exact sums in doubles raise an error.
+the one whose vector sorts first is asked. Components too large for exact sums in doubles raise an error. Columns other
+than vec_id and embedding are ignored, whatever their names. An empty table gives nothing.
+
+Where vectors come in groups, bounds rule most blocks out. Where they are spread evenly over many dimensions, no box around
+some of them is small, and nearly all blocks are scored.
 """
 
 from __future__ import annotations
