@@ -22,6 +22,8 @@ def test_without_llm(tmp_path):
     assert found and all(n.startswith("fx_") for n in found)
     said = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0 and "test_fixtures.py" in said.stdout
+    said = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_fixtures.py", "tests/test_pages.py", "tests/test_contamination.py"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode == 0 and " passed" in said.stdout, said.stdout[-2000:]
 
 
 def test_without_a_library_of_llm():
