@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.operators import contamination, pages
+from tidemill.operators import contamination, copies, pages, private, quality
 from tidemill.plans.fixtures import query
 from tidemill.sources.tables import read
 
@@ -62,3 +62,42 @@ def fx_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fx_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.texts(read(spark, sf_dir, "pages"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text")
+def fx_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.copies(read(spark, sf_dir, "documents"))
+
+
+@query("SELECT d.* FROM documents d JOIN (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text) USING (doc_id)")
+def fx_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.first_of_each(read(spark, sf_dir, "documents"))
+
+
+def _kind() -> str:
+    return "CASE " + " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{k}'" for k, p in private.PATTERNS.items()) + " END"
+
+
+@query(f"""WITH m AS (
+    SELECT doc_id, unnest(regexp_extract_all(text, '{private.PATTERN}')) AS s FROM documents
+), k AS (
+    SELECT doc_id, s, {_kind()} AS kind, replace(replace(s, ' ', ''), '-', '') AS bare FROM m
+), checked AS (
+    SELECT doc_id, s, kind, CASE kind
+        WHEN 'ip' THEN list_max([CAST(x AS INTEGER) FOR x IN string_split(s, '.')]) < 256
+        WHEN 'card' THEN list_sum([CASE WHEN i % 2 = 1 THEN CAST(d AS INTEGER) WHEN CAST(d AS INTEGER) > 4 THEN 2 * CAST(d AS INTEGER) - 9 ELSE 2 * CAST(d AS INTEGER) END
+            FOR d, i IN list_reverse(string_split(bare, ''))]) % 10 = 0
+        WHEN 'iban' THEN list_reduce(list_prepend(0, [CAST(CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END AS INTEGER) FOR c IN string_split(substr(bare, 5) || substr(bare, 1, 4), '')]),
+            lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+        WHEN 'token' THEN regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')
+            AND list_sum([-(len(list_filter(string_split(s, ''), lambda y: y = x)) / length(s)::DOUBLE) * log2(len(list_filter(string_split(s, ''), lambda y: y = x)) / length(s)::DOUBLE) FOR x IN list_distinct(string_split(s, ''))]) >= 3.0
+        ELSE true END AS ok FROM k
+)
+SELECT doc_id, kind, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM checked WHERE ok GROUP BY doc_id, kind""")
+def fx_private_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.counts(read(spark, sf_dir, "documents"))
+
+
+@query()
+def fx_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
