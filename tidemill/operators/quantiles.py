@@ -17,7 +17,7 @@ def exact_percentile(df: DataFrame, by: list[str], value: str, share: float, nam
     partition's sums say which one or two of them hold a group's places, and only these are looked through again."""
     counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     placed = stored(counts.where("_v is not null").repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
-    sums = stored(placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_n")))  # a row for each group and partition that has it
+    sums = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"))  # a row for each group and partition that has it
     group = Window.partitionBy(*by)
     reach = sums.withColumn("_total", F.sum("_n").over(group)).withColumn("_before", F.sum("_n").over(group.orderBy("_part")) - F.col("_n"))
     reach = reach.withColumn("_at", F.lit(share) * (F.col("_total") - 1)).withColumn("_low", F.floor("_at")).withColumn("_high", F.ceil("_at"))
