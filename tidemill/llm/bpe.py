@@ -206,9 +206,9 @@ class WordBpe:
 
 
 @lru_cache(4)
-def load(path: str) -> WordBpe:
-    """One for each Python worker."""
-    return WordBpe(path)
+def load(path: str, cache_entries: int = 400_000) -> WordBpe:
+    """One for each Python worker, which keeps it and its cache while it lives: some 400 bytes for each entry."""
+    return WordBpe(path, cache_entries)
 
 
 def _plus(df: DataFrame, column: str, new: StructField, work) -> DataFrame:

@@ -47,8 +47,8 @@ LISTED = 128
 BLOCK = 512
 #: Nodes below a node, and pairs of nodes that are compared at a time.
 FAN, AT_ONCE = 8, 1 << 17
-#: Up to so many rows a table of keys is sent to all executors; 24 bytes each. Beyond, it is shuffled.
-SENT = 1_000_000
+#: Up to so many rows a table of keys is sent to all executors, some 60 bytes each there. Beyond, it is shuffled.
+SENT = 100_000
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:

@@ -35,7 +35,7 @@ def lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in reversed(range(longest.bit_length() - 1)) if rest >> b & 1]
 
 
-def pieces(df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False, cache_entries: int = 400_000) -> DataFrame:
     """The pieces of every document's ids with end_id after them; ids array<int> too if with_ids. place: how many
     pieces of its length the task (part) has before."""
     if longest < 1 or longest & (longest - 1):
@@ -43,7 +43,7 @@ def pieces(df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, with_
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        tok = bpe.load(path)
+        tok = bpe.load(path, cache_entries)
         part, before = TaskContext.get().partitionId(), {}
         for b in batches:
             for i in range(0, len(b), AT_ONCE):
@@ -83,8 +83,9 @@ def number(cut: DataFrame) -> DataFrame:
     return cut.join(first, ["part", "length"]).withColumn("sequence_id", F.col("first") + F.col("place")).withColumn("offset", F.lit(0).cast("long")).drop("part", "place", "first")
 
 
-def pack(spark: SparkSession, df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    cut = Scratch(spark).write("pieces", pieces(df, path, longest, end_id, with_ids))
+def pack(spark: SparkSession, df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False, cache_entries: int = 400_000) -> DataFrame:
+    """cache_entries: words that a Python worker remembers; fewer take less memory and more time."""
+    cut = Scratch(spark).write("pieces", pieces(df, path, longest, end_id, with_ids, cache_entries))
     out = number(cut)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "sequence_id", "offset"]
     return out.select(*names)
