@@ -425,7 +425,7 @@ def whole(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
-def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+def marked(docs: DataFrame, least: int, scratch: Scratch, share: int | None) -> DataFrame:
     """data, hits: pieces (see Piece; rest: the columns of the piece's rows other than text, as an Arrow stream, with
     a last column that tells null texts) and what covered() asks for."""
     k = gram(least)
@@ -459,7 +459,7 @@ def marked(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     cut_docs = docs.select(*columns(docs, "text"), "text").mapInArrow(cut, "data binary, size long").withColumn("piece", F.monotonically_increasing_id())
     pieces = scratch.write("pieces", cut_docs)
     total = pieces.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // SHARE), min(2 * docs.sparkSession.sparkContext.defaultParallelism, total // (1 << 20)))
+    buckets = max(1, -(-total // (share or SHARE)), min(2 * docs.sparkSession.sparkContext.defaultParallelism, total // (1 << 20)))
     pieces = pieces.select("piece", "data")  # the same columns for both joins: their exchange is one
 
     def tell(batches):
@@ -550,10 +550,10 @@ def opened(batches, least: int):
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def report(docs: DataFrame, least: int = 50) -> DataFrame:
-    """Of each row: what it loses, and the hash of the bytes that are left."""
+def report(docs: DataFrame, least: int = 50, share: int | None = None) -> DataFrame:
+    """Of each row: what it loses, and the hash of the bytes that are left. share: bytes of text whose anchors a task gets."""
     scratch = Scratch(docs.sparkSession)
-    rows = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, scratch)
+    rows = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, scratch, share)
     names = [x.split(" ")[0] for x in REPORT.split(", ")]
 
     def run(batches):
@@ -569,13 +569,13 @@ def report(docs: DataFrame, least: int = 50) -> DataFrame:
     return out
 
 
-def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 50, share: int | None = None) -> DataFrame:
     """docs without the repeated passages. A character goes if all its bytes do; a text that loses all of it goes as
-    a row. n_chars, if there is such a column, is counted again where the text isn't null."""
+    a row. n_chars, if there is such a column, is counted again where the text isn't null. share: bytes of text whose anchors a task gets: less takes less memory in it."""
     scratch = Scratch(docs.sparkSession)
     plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     inner = numbered(plain, "doc_id", "text", "n_chars")
-    rows = marked(inner, least, scratch)
+    rows = marked(inner, least, scratch, share)
     names = inner.columns
     null = free_name(inner, "null")
 
