@@ -11,24 +11,30 @@ Every run of backslashes between < and | inside a text or role gets one more, so
 text, and removing one gives the text back; in roles, backslash and line feed are escaped first.
 
 Nulls: a null text or role is empty, a null kind is message, null conversations are one conversation, null turns come
-first. Events that are equal in everything each count. An empty table gives nothing. A conversation is rendered in
-parts of bounded size, read and written as a stream, so a long one needs no more memory than its longest message.
+first. Events that are equal in everything each count. An empty table gives nothing. Extra columns are ignored. A long
+conversation is folded and rendered by many tasks, each of which has stretches of 1,024 turns: what an edit of an earlier
+stretch discards is told by the last one's seq, a number for each stretch. Parts have a bounded size and are written as a
+stream, so no task needs more memory than the longest message, whose events stay together.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Turns with like leading bits, 2 ** BITS of them, are a stretch: a conversation is handled stretch by stretch.
+BITS = 10
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPE = re.compile(r"<(\\*)\|")
 UNESCAPE = re.compile(r"<(\\*)\\\|")
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 PART = 1 << 20
+RESETS = "kind in ('edit', 'regenerate')"
 ORDER = ["conv_id", "turn", "seq", "kind", "role", "text"]
 
 
@@ -48,21 +54,40 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def stretch() -> Column:
+    """The stretch that a turn is in; null turns have a null one, which comes first."""
+    return F.shiftright("turn", BITS)
+
+
+def before(*by: str) -> WindowSpec:
+    """The rows before one of its group, in order of the last column."""
+    return Window.partitionBy(*by[:-1]).orderBy(F.asc_nulls_first(by[-1])).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def beside(rows: DataFrame, found: DataFrame, *names: str) -> DataFrame:
+    """rows with the other columns of found's row that has the same names; null equals null."""
+    found = found.withColumnsRenamed({c: f"_{c}" for c in names})
+    return rows.join(found, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])).drop(*[f"_{c}" for c in names])
+
+
+def discarding(events: DataFrame) -> DataFrame:
+    """conv_id, turn, until: the last seq at which an earlier turn was edited or regenerated, null if none was."""
+    turns = events.groupBy("conv_id", "turn").agg(F.max(F.when(F.expr(RESETS), F.col("seq"))).alias("seq")).withColumn("stretch", stretch())
+    older = turns.groupBy("conv_id", "stretch").agg(F.max("seq").alias("seq"))
+    older = older.select("conv_id", "stretch", F.max("seq").over(before("conv_id", "stretch")).alias("older"))
+    turns = turns.withColumn("here", F.max("seq").over(before("conv_id", "stretch", "turn")))
+    return beside(turns, older, "conv_id", "stretch").select("conv_id", "turn", F.greatest("older", "here").alias("until"))
+
+
 def surviving(events: DataFrame) -> DataFrame:
     """The events that still count: those after the last edit or regenerate of their turn, or that one itself, whose
     turn no later edit or regenerate of an earlier turn discarded."""
-    last = Window.partitionBy("conv_id").orderBy(F.desc("seq"), F.desc("turn"), F.desc("kind"), F.desc("role"), F.desc("text"))
-    later = last.rowsBetween(Window.unboundedPreceding, -1)
-    resets = F.col("kind").isin("edit", "regenerate")
+    left = beside(events, discarding(events), "conv_id", "turn").where("until is null or seq >= until").drop("until")
     own = Window.partitionBy("conv_id", "turn").orderBy(F.desc("seq"), F.desc("kind"), F.desc("role"), F.desc("text"))
     first = Window.partitionBy("conv_id", "turn").orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     role = F.when((F.col("kind") == "message") | (F.col("role") != ""), F.col("role")).otherwise(F.coalesce(F.last(F.nullif("role", F.lit("")), ignorenulls=True).over(first), F.lit("")))
-    return (
-        events.withColumn("role", role).withColumn("_cut", F.min(F.when(resets, F.col("turn"))).over(later))
-        .withColumn("_reset", F.max(resets.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)))
-        .where((F.col("_cut").isNull() | (F.col("turn") <= F.col("_cut"))) & (F.coalesce(F.col("_reset"), F.lit(0)) == 0))
-        .drop("_cut", "_reset")
-    )
+    left = left.withColumn("role", role).withColumn("_reset", F.max(F.expr(RESETS).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    return left.where(F.coalesce(F.col("_reset"), F.lit(0)) == 0).drop("_reset")
 
 
 def normal(events: DataFrame) -> DataFrame:
@@ -72,13 +97,13 @@ def normal(events: DataFrame) -> DataFrame:
     )
 
 
-RENDERED = "conv_id long, part long, n_messages long, formatted string, loss array<struct<start: long, stop: long>>"
-RENDERED_TYPE = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("n_messages", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
+RENDERED = "conv_id long, stretch long, part long, n_messages long, formatted string, loss array<struct<start: long, stop: long>>"
+RENDERED_TYPE = pa.schema([("conv_id", pa.int64()), ("stretch", pa.int64()), ("part", pa.int64()), ("n_messages", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
 
 def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Parts of the rendered conversations, each in order within its partition. loss: spans of code points of the part
-    in which the loss counts, the texts of loss_role."""
+    """Parts of the rendered conversations: a conversation is its parts in order of stretch (null first) and part, which
+    counts from 0 in each stretch. loss: spans of code points of the part in which the loss counts, the texts of loss_role."""
 
     def run(batches):
         key, part, n, out, spans, size = None, 0, 0, [], [], 0
@@ -96,7 +121,7 @@ def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
         def emit():
             nonlocal part, n, size
-            row = {"conv_id": key, "part": part, "n_messages": n, "formatted": "".join(out), "loss": list(spans)}
+            row = {"conv_id": key[0], "stretch": key[1], "part": part, "n_messages": n, "formatted": "".join(out), "loss": list(spans)}
             part, n, size = part + 1, 0, 0
             out.clear()
             spans.clear()
@@ -104,23 +129,23 @@ def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
         for b in batches:
             rows = []
-            for conv, turn, kind, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "kind", "role", "text"))):
+            for conv, at, turn, kind, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "stretch", "turn", "kind", "role", "text"))):
                 if message and message[0] == conv and message[1] == turn and kind != "message":
                     message[3].append(text)
                     message[2] = message[2] or role
                     continue
                 close()
-                if message and (message[0] != conv or size >= PART):
+                if message and (key != (conv, at) or size >= PART):
                     rows.append(emit())
-                    part = part if message[0] == conv else 0
-                key, message = conv, [conv, turn, role, [text]]
+                    part = part if key == (conv, at) else 0
+                key, message = (conv, at), [conv, turn, role, [text]]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=RENDERED_TYPE)
         close()
         if message:
             yield pa.RecordBatch.from_pylist([emit()], schema=RENDERED_TYPE)
 
-    dealt = events.repartition("conv_id").sortWithinPartitions(*ORDER)
+    dealt = events.withColumn("stretch", stretch()).repartition("conv_id", "stretch").sortWithinPartitions(*ORDER)
     return dealt.mapInArrow(run, RENDERED)
 
 
@@ -133,7 +158,8 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digest(rendered: DataFrame) -> DataFrame:
-    """One row for each conversation, read back from the parts as render() leaves them, in order."""
+    """One row for each conversation, read back from the parts. Its hashes are each one sequence: parts stream through
+    the task of their conversation, one at a time."""
     names = [x.split(" ")[0] for x in DIGEST.split(", ")]
 
     def run(batches):
@@ -148,8 +174,8 @@ def digest(rendered: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = []
-            for conv, part, text, spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "part", "formatted", "loss"))):
-                if not part:
+            for conv, text, spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss"))):
+                if not now or now[0] != conv:
                     if now:
                         rows.append(done())
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -166,7 +192,7 @@ def digest(rendered: DataFrame) -> DataFrame:
         if now:
             yield batch([done()])
 
-    return rendered.mapInArrow(run, DIGEST)
+    return rendered.repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "part").mapInArrow(run, DIGEST)
 
 
 def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -176,15 +202,27 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 def from_turns(conversations: DataFrame) -> DataFrame:
     """A table with one row for each turn as the log of chats that were streamed and revised: texts come in two parts;
-    an answer is first drafted, then regenerated, and what a user says is first drafted, then edited. Rows of a
-    conversation are numbered by turn (null first), role and text; that number is the turn of the log."""
+    an answer is first drafted, then regenerated, and what a user says is first drafted and answered, then edited, which
+    discards that answer. Rows of a conversation are numbered by turn (null first), role and text, stretch by stretch;
+    that number is the turn of the log."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("turn", F.row_number().over(order).cast("long"))
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).withColumn("stretch", stretch())
+    sizes = rows.groupBy("conv_id", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("conv_id", "stretch", F.coalesce(F.sum("n").over(before("conv_id", "stretch")), F.lit(0).cast("long")).alias("older"))
+    order = Window.partitionBy("conv_id", "stretch").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    rows = rows.withColumn("here", F.row_number().over(order))
+    rows = beside(rows, sizes, "conv_id", "stretch").select("conv_id", (F.col("older") + F.col("here")).alias("turn"), "role", "text")
     half = F.floor(F.char_length("text") / 2).cast("int")
     parts = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
-    event = lambda k, kind, said: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), said.alias("text"))
+
+    def event(k: int, kind: str, said: Column, ahead: int = 0) -> Column:
+        who = F.lit("assistant") if ahead else F.col("role")
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), (F.col("turn") + ahead).alias("turn"), who.alias("role"), said.alias("text"))
+
+    draft = event(0, "message", F.lit("draft ")), event(1, "delta", parts[1])
+    answer = F.array(*draft, event(3, "regenerate", parts[0]), event(4, "delta", parts[1]))
+    question = F.array(*draft, event(2, "message", F.lit("answer to a draft"), ahead=1), event(3, "edit", parts[0]), event(4, "delta", parts[1]))
     plain = F.array(event(0, "message", parts[0]), event(1, "delta", parts[1]))
-    answer, question = (F.array(event(0, "message", F.lit("draft ")), event(1, "delta", parts[1]), event(2, kind, parts[0]), event(3, "delta", parts[1])) for kind in ("regenerate", "edit"))
     log = F.when(F.col("role") == "assistant", answer).when(F.col("role") == "user", question).otherwise(plain)
-    return rows.select("conv_id", "turn", "role", F.inline(log)).select("conv_id", (F.col("turn") * 4 + F.col("k")).alias("seq"), "kind", "turn", "role", "text")
+    events = rows.select("conv_id", (F.col("turn") * 5).alias("first"), F.inline(log))
+    return events.select("conv_id", (F.col("first") + F.col("k")).alias("seq"), "kind", "turn", "role", "text")
