@@ -21,10 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Turns with like leading bits, 2 ** BITS of them, are a stretch: a conversation is handled stretch by stretch.
@@ -54,37 +53,27 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def stretch() -> Column:
-    """The stretch that a turn is in; null turns have a null one, which comes first."""
-    return F.shiftright("turn", BITS)
+def in_lots(rows: DataFrame) -> DataFrame:
+    """rows with their conversation and stretch as one value, lot: as parts of a struct nulls equal each other."""
+    return rows.withColumn("lot", F.struct("conv_id", F.shiftright("turn", BITS).alias("stretch")))
 
 
-def before(*by: str) -> WindowSpec:
-    """The rows before one of its group, in order of the last column."""
-    return Window.partitionBy(*by[:-1]).orderBy(F.asc_nulls_first(by[-1])).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def beside(rows: DataFrame, found: DataFrame, *names: str) -> DataFrame:
-    """rows with the other columns of found's row that has the same names; null equals null."""
-    found = found.withColumnsRenamed({c: f"_{c}" for c in names})
-    return rows.join(found, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])).drop(*[f"_{c}" for c in names])
-
-
-def discarding(events: DataFrame) -> DataFrame:
-    """conv_id, turn, until: the last seq at which an earlier turn was edited or regenerated, null if none was."""
-    turns = events.groupBy("conv_id", "turn").agg(F.max(F.when(F.expr(RESETS), F.col("seq"))).alias("seq")).withColumn("stretch", stretch())
-    older = turns.groupBy("conv_id", "stretch").agg(F.max("seq").alias("seq"))
-    older = older.select("conv_id", "stretch", F.max("seq").over(before("conv_id", "stretch")).alias("older"))
-    turns = turns.withColumn("here", F.max("seq").over(before("conv_id", "stretch", "turn")))
-    return beside(turns, older, "conv_id", "stretch").select("conv_id", "turn", F.greatest("older", "here").alias("until"))
+def earlier(lots: DataFrame, what: Column) -> DataFrame:
+    """lot, older: what holds for all earlier stretches of its conversation. lots: a row for each stretch."""
+    before = Window.partitionBy("lot.conv_id").orderBy(F.asc_nulls_first("lot.stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    return lots.select("lot", what.over(before).alias("older"))
 
 
 def surviving(events: DataFrame) -> DataFrame:
-    """The events that still count: those after the last edit or regenerate of their turn, or that one itself, whose
-    turn no later edit or regenerate of an earlier turn discarded."""
-    left = beside(events, discarding(events), "conv_id", "turn").where("until is null or seq >= until").drop("until")
-    own = Window.partitionBy("conv_id", "turn").orderBy(F.desc("seq"), F.desc("kind"), F.desc("role"), F.desc("text"))
-    first = Window.partitionBy("conv_id", "turn").orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    """The events that still count, with their lot: those after the last edit or regenerate of their turn, or that one
+    itself, whose turn no later edit or regenerate of an earlier turn discarded."""
+    rows, reset = in_lots(events), F.max(F.when(F.expr(RESETS), F.col("seq")))
+    inside = Window.partitionBy("lot").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(earlier(rows.groupBy("lot").agg(reset.alias("seq")), F.max("seq")), "lot")
+    rows = rows.withColumn("until", F.greatest("older", F.when(F.col("turn").isNotNull(), reset.over(inside))))
+    left = rows.where("until is null or seq >= until").drop("older", "until")
+    own = Window.partitionBy("lot", "turn").orderBy(F.desc("seq"), F.desc("kind"), F.desc("role"), F.desc("text"))
+    first = Window.partitionBy("lot", "turn").orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     role = F.when((F.col("kind") == "message") | (F.col("role") != ""), F.col("role")).otherwise(F.coalesce(F.last(F.nullif("role", F.lit("")), ignorenulls=True).over(first), F.lit("")))
     left = left.withColumn("role", role).withColumn("_reset", F.max(F.expr(RESETS).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)))
     return left.where(F.coalesce(F.col("_reset"), F.lit(0)) == 0).drop("_reset")
@@ -102,7 +91,7 @@ RENDERED_TYPE = pa.schema([("conv_id", pa.int64()), ("stretch", pa.int64()), ("p
 
 
 def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Parts of the rendered conversations: a conversation is its parts in order of stretch (null first) and part, which
+    """events: as from surviving(). Parts of the rendered conversations: a conversation is its parts in order of stretch (null first) and part, which
     counts from 0 in each stretch. loss: spans of code points of the part in which the loss counts, the texts of loss_role."""
 
     def run(batches):
@@ -145,7 +134,7 @@ def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
         if message:
             yield pa.RecordBatch.from_pylist([emit()], schema=RENDERED_TYPE)
 
-    dealt = events.withColumn("stretch", stretch()).repartition("conv_id", "stretch").sortWithinPartitions(*ORDER)
+    dealt = events.repartition("lot").sortWithinPartitions(*ORDER).withColumn("stretch", F.col("lot.stretch")).drop("lot")  # no new exchange: surviving() deals by lot
     return dealt.mapInArrow(run, RENDERED)
 
 
@@ -206,12 +195,11 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     discards that answer. Rows of a conversation are numbered by turn (null first), role and text, stretch by stretch;
     that number is the turn of the log."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).withColumn("stretch", stretch())
-    sizes = rows.groupBy("conv_id", "stretch").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("conv_id", "stretch", F.coalesce(F.sum("n").over(before("conv_id", "stretch")), F.lit(0).cast("long")).alias("older"))
-    order = Window.partitionBy("conv_id", "stretch").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    rows = rows.withColumn("here", F.row_number().over(order))
-    rows = beside(rows, sizes, "conv_id", "stretch").select("conv_id", (F.col("older") + F.col("here")).alias("turn"), "role", "text")
+    rows = in_lots(conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")))
+    older = earlier(rows.groupBy("lot").agg(F.count(F.lit(1)).alias("n")), F.sum("n"))
+    order = Window.partitionBy("lot").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    rows = rows.withColumn("here", F.row_number().over(order)).join(older, "lot")
+    rows = rows.select("conv_id", (F.coalesce("older", F.lit(0).cast("long")) + F.col("here")).alias("turn"), "role", "text")
     half = F.floor(F.char_length("text") / 2).cast("int")
     parts = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
 
