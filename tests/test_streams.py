@@ -4,13 +4,16 @@ import datetime
 import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidemill.operators.quantiles import exact_percentile
 from tidemill.sources import tables
 from tidemill.streaming import events
-from tidemill.streaming.sessions import merged, sessions
+from tidemill.streaming.sessions import Sessions, merged, sessions
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -48,6 +51,53 @@ def test_sessions_of_a_shuffled_late_stream(spark):
     tables.clear()
 
 
+def test_session_that_ends_at_the_watermark(spark):
+    """As in the query's SQL: it ends when the watermark has reached it; one of a microsecond later stays."""
+    folder = tables.shared_folder(spark)
+    rows = [(1, START), (2, START + datetime.timedelta(microseconds=1)), (3, START + datetime.timedelta(seconds=4200))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").write.parquet(folder)
+    stream = spark.readStream.schema("user_id long, ts timestamp_ntz").parquet(folder)
+    assert [tuple(r) for r in events.drain(spark, sessions(stream, 600, "1 hour")).collect()] == [(1, START, START, 1)]
+    tables.clear()
+
+
+def test_calls_to_the_state_do_not_grow_with_sessions():
+    """Each call to the state goes to the JVM and back; it was some four for each session."""
+
+    class Handle:
+        calls, value, timers = 0, None, ()
+
+        def __getattr__(self, name):
+            def call(*given):
+                self.calls += 1
+                if name == "get":
+                    return self.value
+                if name in ("update", "clear"):
+                    self.value = given[0] if given else None
+                if name in ("registerTimer", "deleteTimer"):
+                    self.timers = {*self.timers} ^ {*given}
+                return iter(()) if name == "iterator" else self
+
+            return call
+
+    handle, made = Handle(), Sessions(10)
+    made.init(handle)
+    us = 1_700_000_000_000_000 + np.arange(40_000) % 2000 * 20_000_000
+    user = np.arange(40_000) // 2000
+    for i in np.array_split(np.random.default_rng(1).permutation(40_000), 3):
+        parts = (pd.DataFrame({"user_id": user[x], "us": us[x]}) for x in np.array_split(i, 4))
+        assert list(made.handleInputRows((0,), parts, TimerValues())) == []
+    (first,) = handle.timers
+    assert first == 1_700_000_010_000
+    out = []
+    for at in (us[1000] // 1000, us[-1] // 1000 + 10_000):
+        handle.timers = ()  # Spark deletes the timer that fired
+        out += list(made.handleExpiredTimer((0,), TimerValues(-1, int(at)), ExpiredTimerInfo(first)))
+    assert [len(x) for x in out] == [20 * 1000, 20 * 1000] and handle.calls < 25 and not handle.timers and handle.value is None
+    out = pd.concat(out)
+    assert (out.n == 1).all() and sorted(zip(out.user_id, out.session_last.astype("int64"))) == sorted(zip(user, us))
+
+
 def test_no_row_is_late_by_default(spark, tmp_path):
     """Files in no order of time, a month apart: all rows come, each once."""
     rows = [(k, START + datetime.timedelta(days=(7 * k) % 40), k % 3, "click" if k % 2 else "purchase") for k in range(40)]
