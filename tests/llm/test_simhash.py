@@ -203,6 +203,26 @@ def test_dedup_of_texts_with_blocks_added_or_cut(spark):
     assert len(want) < len(texts) / 2 and kept(spark, texts) == want
 
 
+def test_what_the_index_links_is_left_out_of_the_join(spark, monkeypatch):
+    """Pairs that fingerprints lead to are compared first; the join gets only what they leave."""
+    joined, plain = [], jaccard_join._join_units
+    monkeypatch.setattr(jaccard_join, "_join_units", lambda placed, unit, similarity: (joined.append(sorted(r.tid for r in placed.select("tid").distinct().collect())), plain(placed, unit, similarity))[1])
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(4000)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    near = [say(1500) for _ in range(4)]
+    near += [t + " end" for t in near] + [say(100)]
+    assert all((simhash.fingerprint(near[i]) ^ simhash.fingerprint(near[i + 4])).bit_count() <= 3 for i in range(4))
+    assert kept(spark, near) == [0, 1, 2, 3, 8]
+    assert len(joined) == 2 and len(joined[0]) == 8 and joined[1] == []
+    joined.clear()
+    far = say(100)
+    far = [far, far + " " + say(20)]
+    assert (simhash.fingerprint(far[0]) ^ simhash.fingerprint(far[1])).bit_count() > 3 and alike(*far)
+    assert kept(spark, near + far) == [0, 1, 2, 3, 8, 9]
+    assert len(joined[0]) == 8 and len(joined[1]) == 2
+
+
 def test_dedup_of_many_texts_with_one_core(spark, monkeypatch):
     """Most of these share their shingles and aren't similar; some pairs far from the first are."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)

@@ -94,11 +94,14 @@ class SignatureTree:
         return first, np.minimum(first + FAN, len(self.levels[level - 1][1])) - first
 
 
-def join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+def join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: tuple[int, int], known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of places that bring together the classes of the links between left and right (or within left, if both are
-    the same). No set is empty."""
+    the same). No set is empty. Places with equal known are linked before."""
     num, den = similarity
     forest = Forest(len(sets))
+    if known is not None:
+        first, at = np.unique(known, return_index=True, return_inverse=True)[1:]
+        forest.link(np.arange(len(sets)), first[at])
     label = forest.label
     bits = 1 << min(16, max(9, int(4 * max(map(len, sets)) - 1).bit_length()))
     same = left is right
@@ -164,12 +167,13 @@ def join(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity
         owner, below = expand(first, count)
         again, across = expand(*((v[owner] for v in two.children(j, y)) if j == k else (y[owner], np.ones_like(owner))))
         work.append((k - 1, below[again], across))
-    below = np.flatnonzero(label != np.arange(len(sets)))
+    below = np.flatnonzero(label != np.arange(len(sets)) if known is None else known[label] != known)
     return list(zip(below.tolist(), label[below].tolist()))
 
 
 def _join_units(placed: DataFrame, unit: list[str], similarity: tuple[int, int]) -> DataFrame:
-    """Edges u, v of the joins. placed: the columns of unit, tid, shingles, side (0: left, 1: right, 2: both)."""
+    """Edges u, v of the joins, but those within a class that is known. placed: the columns of unit, tid, shingles, side
+    (0: left, 1: right, 2: both), known (equal for texts that are linked before)."""
 
     def units(batches):
         now, rows = None, []
@@ -186,16 +190,17 @@ def _join_units(placed: DataFrame, unit: list[str], similarity: tuple[int, int])
         for rows in units(batches):
             side = np.array([r["side"] for r in rows])
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            if len(rows) < 2 or not len(left) or not len(right):
+            known = np.array([r["known"] for r in rows], np.int64)
+            if not len(left) or not len(right) or (known == known[0]).all():
                 continue
             sets = [np.frombuffer(r["shingles"], "<u8") for r in rows]
-            pairs = join(sets, left, left if (side == 2).all() else right, similarity)
+            pairs = join(sets, left, left if (side == 2).all() else right, similarity, known)
             if pairs:
                 u, v = ([rows[p[k]]["tid"] for p in pairs] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
         trim()
 
-    dealt = placed.select(*unit, "tid", "shingles", "side").repartition(*unit).sortWithinPartitions(*unit)
+    dealt = placed.select(*unit, "tid", "shingles", "side", "known").repartition(*unit).sortWithinPartitions(*unit)
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -215,7 +220,8 @@ def classes(
     together; null if the set is empty), first (the smallest doc_id of the class).
 
     hinted: gives pairs u, v of tids, of a table of tid and mark (mark of a text, as an unsigned number, read as a long).
-    They are candidates as well; the result is the same without them."""
+    These are compared first. The classes that their links make are settled: the join that follows leaves lots of one class out and
+    compares no two texts of a class, so it is for the links that no hint leads to."""
     common = common_shingles(docs, size)
 
     def scan(batches):
@@ -263,8 +269,6 @@ def classes(
     enough = F.least(F.lit(AGREE), F.ceil(F.least("n", "m") * num / den))
     pairs = few_share.select("h", F.col("tid").alias("u"), "n", "rest").join(other, "h").where((F.col("u") < F.col("v")) & like(F.col("n"), F.col("m"), F.least("rest", "left")))
     pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.min(enough).alias("enough")).where("k >= enough").select("u", "v")
-    if hinted:
-        pairs = pairs.unionByName(hinted(texts.select("tid", "mark")))
     inner = Scratch(docs.sparkSession)
     group = components(scratch.write("pairs", pairs), inner).withColumnRenamed("node", "tid").withColumnRenamed("component", "grp")
     # similar sets are of one class of sizes or of two that follow each other
@@ -304,30 +308,48 @@ def classes(
         trim()
 
     # one row for each text: that of the least id; of repeated rows any
-    need = few(placed.select("tid").distinct().join(texts.select("tid", "least"), "tid").select("tid", F.col("least.key").alias("need"), F.col("least.doc_id").alias("own")))
+    wanted = placed.select("tid")
+    if hinted:
+        hints = scratch.write("hints", hinted(texts.select("tid", "mark")).select("u", "v").where("u <> v").distinct())
+        wanted = wanted.unionByName(hints.select(F.col("u").alias("tid"))).unionByName(hints.select(F.col("v").alias("tid")))
+    need = few(wanted.distinct().join(texts.select("tid", "least"), "tid").select("tid", F.col("least.key").alias("need"), F.col("least.doc_id").alias("own")))
     chosen = keyed.join(need, F.col("key") == F.col("need")).where(F.col("doc_id").eqNullSafe(F.col("own"))).select("tid", "text")
     sets = scratch.write("sets", chosen.mapInArrow(sets_of, "tid long, shingles binary"))
     if (several := sets.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).limit(1).count():
         repeated = sets.join(few(several.select("tid")), "tid", "left_semi").groupBy("tid").agg(F.first("shingles").alias("shingles"))
         sets = scratch.write("single", sets.join(few(several.select("tid")), "tid", "left_anti").unionByName(repeated))
 
+    placed, linked = placed.withColumn("known", F.col("tid")), None
+    if hinted:
+        parts = hints.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        dealt = hints.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
+        ends = dealt.select("u", "part", F.col("u").alias("tid"), F.lit(0).alias("side")).distinct().unionByName(dealt.select("u", "part", F.col("v").alias("tid"), F.lit(1).alias("side")))
+        ends = sets.join(few(ends), "tid").withColumn("known", F.col("tid"))
+        linked = scratch.write("linked", _join_units(ends, ["u", "part"], similarity))
+        settled = components(linked, inner).withColumnRenamed("node", "tid")
+        placed = placed.join(few(settled), "tid", "left").withColumn("known", F.coalesce("component", "tid")).drop("component")
+        open_ = placed.groupBy("kind", "lot").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("kind", "lot")
+        placed = scratch.write("open", placed.join(open_, ["kind", "lot"]))
+        inner.drop("components")
+        scratch.drop("hints")
+
     zero = F.lit(0).cast("long")
-    small = placed.where(F.col("all") <= BLOCK).select("kind", "lot", *[zero.alias(c) for c in ("ci", "bi", "cj", "bj")], "tid", F.lit(2).alias("side"))
-    large = placed.where(F.col("all") > BLOCK).select("kind", "lot", "tid", "cls")
+    small = placed.where(F.col("all") <= BLOCK).select("kind", "lot", *[zero.alias(c) for c in ("ci", "bi", "cj", "bj")], "tid", F.lit(2).alias("side"), "known")
+    large = placed.where(F.col("all") > BLOCK).select("kind", "lot", "tid", "cls", "known")
     blocks = large.groupBy("kind", "lot", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     own = large.join(blocks, ["kind", "lot", "cls"]).withColumn("own", F.struct(F.col("cls").alias("c"), F.pmod(F.xxhash64("tid"), "blocks").alias("b"))).drop("blocks")
     near = own.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).join(blocks, ["kind", "lot", "cls"])
     near = near.withColumn("b", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("with", F.struct(F.col("cls").alias("c"), "b"))
     i, j = F.least("own", "with"), F.greatest("own", "with")
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") == i, 0).otherwise(1)
-    large = near.select("kind", "lot", i["c"].alias("ci"), i["b"].alias("bi"), j["c"].alias("cj"), j["b"].alias("bj"), "tid", side.alias("side"))
+    large = near.select("kind", "lot", i["c"].alias("ci"), i["b"].alias("bi"), j["c"].alias("cj"), j["b"].alias("bj"), "tid", side.alias("side"), "known")
     units = sets.join(few(small.unionByName(large)), "tid")
     edges = scratch.write("edges", _join_units(units, ["kind", "lot", "ci", "bi", "cj", "bj"], similarity))
-    group = components(edges, scratch).withColumnRenamed("node", "tid")
+    group = components(edges.unionByName(linked) if linked else edges, scratch).withColumnRenamed("node", "tid")
     named = texts.select("set", "tid", F.col("least.doc_id").alias("own")).join(group, "tid", "left").select("set", F.coalesce("component", "tid").alias("class"), "own")
     heads = named.groupBy("class").agg(F.min("own").alias("first"))
     named = scratch.write("named", named.join(heads, "class").select("set", "class", "first"))
-    scratch.drop("slim", "sets", "single", "edges", "placed", "components")
+    scratch.drop("slim", "sets", "single", "edges", "placed", "linked", "open", "components")
     return rows.select("doc_id", "key", "set", "n").join(named, "set", "left").select("doc_id", "key", "n", "class", "first")
 
 

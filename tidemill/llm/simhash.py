@@ -205,9 +205,10 @@ def dedup(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5),
     shingles have a Jaccard similarity of at least similarity = num / den; texts without words are copies of each
     other. All columns are kept, whatever their names.
 
-    The index in Gray order finds texts whose fingerprints differ in at most `most` bits. Each such pair is compared by
+    The index in Gray order finds texts whose fingerprints differ in at most `most` bits. Each pair that it gives is compared by
     its shingles and links only if these are similar: texts that repeat one phrase have like fingerprints, whatever
-    else they hold. Behind a pair that is refused nothing is lost, as what is not linked then is joined by leading shingles (see jaccard)."""
+    else they hold. The classes of these links are settled; the join by leading shingles that follows (see jaccard) is for
+    the links that are left, so nothing is lost behind a pair that is refused or that the index can't find."""
     scratch = Scratch(docs.sparkSession)
     rows = jaccard.classes(docs, scratch, size, similarity, fingerprint, lambda texts: hints(texts, most))
     rows = scratch.write("classes", rows.select("doc_id", "key", F.coalesce("class", F.lit(-1).cast("long")).alias("class")))
