@@ -72,3 +72,24 @@ def test_held_out_labels_are_not_learned(spark):
     assert one == two
     with pytest.raises(ValueError):
         quality.judge(docs, spark.createDataFrame([(i, 1) for i, _ in labels], "doc_id long, quality int"))
+
+
+def test_training_measures_labelled_texts_only(spark, monkeypatch):
+    """Folds 1 to 4 of the labelled ids, whatever else the table holds."""
+    seen, plain = [], quality.measured
+    monkeypatch.setattr(quality, "measured", lambda docs: (seen.append({r.doc_id for r in docs.collect()}), plain(docs))[1])
+    rows, labels = texts(400, 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame(labels[:200], "doc_id long, quality int"))
+    assert seen == [{i for i, _ in labels[:200] if zlib.crc32(str(i).encode()) % 5}]
+
+
+def test_measures(spark):
+    """As counted one character at a time."""
+    said = ["Ab1 c.\u00c9\u00e9! 22\n\n \t?x", "", None, "  ", "\U0001d400\u4e2d3..A", "...", "word"]
+    got = {r.doc_id: r for r in quality.measured(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(t or "" for t in said):
+        n, words = max(1, len(t)), t.lower().split()
+        share = lambda test: sum(map(test, t)) / n
+        want = [share(str.isalpha), share(lambda c: c in "0123456789"), share(str.isupper), share(str.isspace), share(lambda c: c in ".!?"), sum(map(len, words)) / max(1, len(words))]
+        assert [got[i][k] for k in ("letters", "digits", "capitals", "blanks", "stops", "mean_word")] == pytest.approx(want) and got[i].words == words

@@ -32,16 +32,18 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, words and the measures of each text. Shares are of its characters, of all words or of all lines."""
     text = F.coalesce("text", F.lit(""))
     cut = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("words"),
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.array_remove(F.split(F.lower(text), r"\s+"), "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "").alias("lines"), F.greatest(F.char_length(text), F.lit(1)).alias("size"),
     )
+    # runs and not characters are taken out, and for letters all but them: a replacement costs more than what it takes out
     left = lambda pattern: (F.char_length("text") - F.char_length(F.regexp_replace("text", pattern, ""))) / F.col("size")
     n, lines = F.greatest(F.array_size("words"), F.lit(1)), F.greatest(F.array_size("lines"), F.lit(1))
-    kinds = {"letters": r"\p{L}", "digits": r"[0-9]", "capitals": r"\p{Lu}", "blanks": r"\s", "stops": r"[.!?]"}
+    kinds = {"digits": r"[0-9]+", "capitals": r"\p{Lu}+", "blanks": r"\s+", "stops": r"[.!?]+"}
     measures = {
-        "n_words": F.log1p(F.array_size("words")), "mean_word": F.aggregate("words", F.lit(0), lambda a, w: a + F.char_length(w)) / n,
+        "n_words": F.log1p(F.array_size("words")), "mean_word": F.char_length(F.array_join("words", "")) / n,
         "distinct": F.array_size(F.array_distinct("words")) / n, "n_lines": F.log1p(F.array_size("lines")),
-        "distinct_lines": F.array_size(F.array_distinct("lines")) / lines, "mean_line": F.log1p(F.col("size") / lines), **{k: left(p) for k, p in kinds.items()},
+        "distinct_lines": F.array_size(F.array_distinct("lines")) / lines, "mean_line": F.log1p(F.col("size") / lines),
+        "letters": F.char_length(F.regexp_replace("text", r"\P{L}+", "")) / F.col("size"), **{k: left(p) for k, p in kinds.items()},
     }
     out = cut.select("doc_id", "words", *[c.alias(k) for k, c in measures.items()])
     return out.withColumn("others", 1 - F.col("letters") - F.col("digits") - F.col("blanks") - F.col("stops"))
@@ -50,7 +52,9 @@ def measured(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 200_000) -> tuple[PipelineModel, IsotonicRegressionModel]:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
     known = known.where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = measured(docs).join(known, "doc_id").withColumn("fold", fold()).cache()
+    known = F.broadcast(known)  # at most `most` rows of two numbers
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id", "left_semi")  # only these are measured
+    rows = measured(asked).join(known, "doc_id").withColumn("fold", fold()).cache()
     try:
         sizes = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}  # at most four folds and the classes
         by = {c: sum(n for (f, x), n in sizes.items() if f > 1 and x == c) for c in (0.0, 1.0)}
