@@ -4,9 +4,10 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import copies, quality
+from tidemill.operators import copies, joins, quality
 from tidemill.sources.tables import clear
 
 
@@ -93,3 +94,31 @@ def test_measures(spark):
         share = lambda test: sum(map(test, t)) / n
         want = [share(str.isalpha), share(lambda c: c in "0123456789"), share(str.isupper), share(str.isspace), share(lambda c: c in ".!?"), sum(map(len, words)) / max(1, len(words))]
         assert [got[i][k] for k in ("letters", "digits", "capitals", "blanks", "stops", "mean_word")] == pytest.approx(want) and got[i].words == words
+
+
+def test_all_labels_are_learned_from(spark):
+    """A word stands only in the labelled texts whose ids hash highest, behind more than 200,000 others."""
+    ids = spark.range(300_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality")).where(quality.fold() != 0)
+    by_hash = Window.orderBy(F.xxhash64("doc_id"))
+    ids = ids.withColumn("late", F.row_number().over(by_hash) > 210_000)
+    labels = ids.select("doc_id", F.when(F.col("late"), 0).otherwise(F.col("quality")).alias("quality"))
+    docs = ids.select("doc_id", F.when(F.col("late"), "tardy").otherwise("early").alias("text"))
+    model, isotonic = quality.train(docs, labels)
+    seen = model.stages[-1].summary.predictions.count()
+    asked = quality.measured(spark.createDataFrame([(0, "tardy"), (1, "early")], "doc_id long, text string"))
+    tardy, early = (r.probability[1] for r in model.transform(asked).orderBy("doc_id").collect())
+    assert seen == ids.where(quality.fold() > 1).count() and labels.count() > 235_000
+    assert tardy < 0.2 < 0.45 < early
+
+
+def test_labels_sent_or_shuffled(spark, monkeypatch):
+    """The same rows either way, of ids with several labels or texts too."""
+    rows, labels = texts(400, 11)
+    docs = spark.createDataFrame([*rows, (1, "again"), (2, None), (None, "no id")], "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([*labels, (1, 1), (2, 0), (7_000, 1), (None, 0)], "doc_id long, quality int")
+    found = []
+    for sent in (500_000, 0):
+        monkeypatch.setattr(quality, "SENT", sent)
+        monkeypatch.setattr(quality, "small", lambda df, n: joins.small(df, n) if n else df.hint("shuffle_hash"))
+        found.append(sorted(((r.doc_id is None, r.doc_id, r.predicted, round(r.score, 6)) for r in quality.judge(docs, known).collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) == len(rows) + 3

@@ -5,14 +5,15 @@ functions, and hashed counts of its words. A logistic regression learns from thr
 classes weighing the same; an isotonic regression on a fourth turns its margin into a share of good documents;
 the fifth is held out. Folds go by the CRC-32 of the id, modulo 5: 0 is held out, 1 calibrates.
 
-Learning reads at most `most` labelled documents, those whose ids hash lowest, and is the only bounded part: all documents are scored.
+Learning and calibrating read all labelled documents of their folds, and all documents are scored. Labels are sent to all executors up to
+a number of rows; beyond it Spark's own broadcast threshold decides whether they are sent or shuffled with the texts. Features of the labelled texts, and not their words, are what is kept for the passes of the regression.
 Null texts are empty. Rows without id are scored and never learned from; of ids with several labels the largest counts. An empty table gives nothing. Without
 labels of both classes in the learning folds, or without any in the calibrating one, there is no model: an error says so.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +21,10 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.joins import small
+
+#: Labels up to which they are sent to all executors; two numbers each.
+SENT = 500_000
 HASHED = 4096
 MEASURES = ["n_words", "mean_word", "distinct", "n_lines", "distinct_lines", "mean_line", "letters", "digits", "capitals", "blanks", "stops", "others"]
 
@@ -49,28 +54,27 @@ def measured(docs: DataFrame) -> DataFrame:
     return out.withColumn("others", 1 - F.col("letters") - F.col("digits") - F.col("blanks") - F.col("stops"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 200_000) -> tuple[PipelineModel, IsotonicRegressionModel]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[PipelineModel, IsotonicRegressionModel]:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
-    known = known.where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    known = F.broadcast(known)  # at most `most` rows of two numbers
+    known = small(known.where(fold() != 0), SENT)
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id", "left_semi")  # only these are measured
-    rows = measured(asked).join(known, "doc_id").withColumn("fold", fold()).cache()
+    featured = [HashingTF(inputCol="words", outputCol="hashed", numFeatures=HASHED, binary=True), VectorAssembler(inputCols=[*MEASURES, "hashed"], outputCol="features")]
+    rows = PipelineModel(featured).transform(measured(asked).join(known, "doc_id")).select("label", fold().alias("fold"), "features").cache()
     try:
         sizes = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}  # at most four folds and the classes
         by = {c: sum(n for (f, x), n in sizes.items() if f > 1 and x == c) for c in (0.0, 1.0)}
         if not all(by.values()) or not any(f == 1 for f, _ in sizes):
             raise ValueError("labels of both classes are needed in the learning folds, and some in the calibrating one")
         weight = F.when(F.col("label") == 1, sum(by.values()) / (2 * by[1.0])).otherwise(sum(by.values()) / (2 * by[0.0]))
-        stages = [HashingTF(inputCol="words", outputCol="hashed", numFeatures=HASHED, binary=True), VectorAssembler(inputCols=[*MEASURES, "hashed"], outputCol="features"), LogisticRegression(weightCol="weight", regParam=0.05, elasticNetParam=0.0, maxIter=50)]
-        model = Pipeline(stages=stages).fit(rows.where("fold > 1").withColumn("weight", weight))
-        margins = model.transform(rows.where("fold = 1")).select(F.col("label"), vector_to_array("rawPrediction")[1].alias("features"))
-        return model, IsotonicRegression().fit(margins)
+        learned = LogisticRegression(weightCol="weight", regParam=0.05, elasticNetParam=0.0, maxIter=50).fit(rows.where("fold > 1").withColumn("weight", weight))
+        margins = learned.transform(rows.where("fold = 1")).select(F.col("label"), vector_to_array("rawPrediction")[1].alias("features"))
+        return PipelineModel([*featured, learned]), IsotonicRegression().fit(margins)
     finally:
         rows.unpersist()
 
 
-def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 200_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """For each row of docs: doc_id, held_out, score (the calibrated share of good documents), predicted (1 if margin > 0)."""
-    model, isotonic = train(docs, labels, label, most)
+    model, isotonic = train(docs, labels, label)
     found = model.transform(measured(docs)).select("doc_id", (F.coalesce(fold(), F.lit(-1)) == 0).alias("held_out"), vector_to_array("rawPrediction")[1].alias("features"))
     return isotonic.transform(found).select("doc_id", "held_out", F.col("prediction").alias("score"), (F.col("features") > 0).cast("int").alias("predicted"))
